@@ -1,0 +1,308 @@
+"""Simple per-series forecasters as panel jobs.
+
+Fits are aggregates over lagged pairs (map-side sums), so a series is never
+gathered for its fit; forecasts are short array recursions inside a row.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from panelspark.operators.features import is_train, lag_features
+from panelspark.operators.layout import CHUNK_ROWS, framed, unframed
+from panelspark.operators.windows import last_values, mean_of
+from panelspark.session import cut
+
+# --- forecasts from the window itself -------------------------------------------
+
+
+def naive(last: Column, horizon: Column) -> Column:
+    """Last value, repeated."""
+    return F.array_repeat(last, horizon)
+
+
+def mean(recent: Column, horizon: Column) -> Column:
+    return F.array_repeat(mean_of(recent), horizon)
+
+
+def drift(recent: Column, horizon: Column) -> Column:
+    """Last value plus the mean step of the window."""
+    first, last = F.element_at(recent, 1), F.element_at(recent, -1)
+    slope = (last - first) / F.greatest(F.lit(1), F.size(recent) - 1)
+    return F.transform(F.sequence(F.lit(1), horizon), lambda k: last + slope * k)
+
+
+def recurse_line(slope: Column, intercept: Column, last: Column, horizon: Column) -> Column:
+    """x[k] = intercept + slope * x[k-1], started at the last value."""
+    return F.slice(
+        F.aggregate(
+            F.sequence(F.lit(1), horizon),
+            F.array(last),
+            lambda path, _: F.concat(path, F.array(intercept + slope * F.element_at(path, -1))),
+        ),
+        2,
+        horizon,
+    )
+
+
+def with_window_forecasts(df: DataFrame, lookback: int | Column) -> DataFrame:
+    """Explode each window into one row per in-window forecaster (naive, mean, drift, ar1)."""
+    recent = df.withColumn("_r", last_values(lookback))
+    x, y = F.slice("_r", 1, F.size("_r") - 1), F.slice("_r", 2, F.size("_r") - 1)
+    recent = recent.withColumns({"_mx": mean_of(x), "_my": mean_of(y)})
+    sums = F.aggregate(
+        F.zip_with(x, y, lambda a, b: F.struct((a - F.col("_mx")).alias("a"), (b - F.col("_my")).alias("b"))),
+        F.struct(F.lit(0.0).alias("xx"), F.lit(0.0).alias("xy")),
+        lambda s, d: F.struct((s["xx"] + d["a"] * d["a"]).alias("xx"), (s["xy"] + d["a"] * d["b"]).alias("xy")),
+    )
+    recent = recent.withColumn("_s", sums)
+    moving = F.col("_s")["xx"] > 0
+    recent = recent.withColumn("_b", F.when(moving, F.col("_s")["xy"] / F.col("_s")["xx"]).otherwise(F.lit(0.0)))
+    recent = recent.withColumn("_a", F.when(moving, F.col("_my") - F.col("_b") * F.col("_mx")).otherwise(F.col("last_price")))
+    h = F.col("horizon")
+    made = F.array(
+        F.struct(F.lit("naive").alias("model"), naive(F.col("last_price"), h).alias("pred")),
+        F.struct(F.lit("mean").alias("model"), mean(F.col("_r"), h).alias("pred")),
+        F.struct(F.lit("drift").alias("model"), drift(F.col("_r"), h).alias("pred")),
+        F.struct(
+            F.lit("ar1").alias("model"),
+            recurse_line(F.col("_b"), F.col("_a"), F.col("last_price"), h).alias("pred"),
+        ),
+    )
+    return recent.withColumn("_m", F.explode(made)).select(*df.columns, "_m.model", "_m.pred")
+
+
+# --- autoregressions fitted per series on the training part ----------------------
+
+
+def _lagged(df: DataFrame, value: str, series: Sequence[str], p: int, d: int, chunk_rows: int) -> DataFrame:
+    """Training rows with ``_y`` (d-times differenced value) and its lags ``_l1.._lp``."""
+    rows, w = framed(df.filter(is_train()), series, back=p + d, chunk_rows=chunk_rows)
+    weights = [1]
+    for _ in range(d):
+        weights = [a - b for a, b in zip([*weights, 0], [0, *weights])]
+
+    def at(lag: int) -> Column:
+        return reduce(
+            lambda a, b: a + b,
+            [F.lit(float(c)) * F.lag(value, lag + i).over(w) for i, c in enumerate(weights)],
+        )
+
+    cols = [at(0).alias("_y")] + [at(i).alias(f"_l{i}") for i in range(1, p + 1)]
+    return unframed(rows.select("*", *cols), chunk_rows=chunk_rows).filter(F.col("pos") > p + d)
+
+
+def fit_ar1(
+    df: DataFrame, value: str = "close", series: Sequence[str] = ("series",), d: int = 1, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """First-order autoregression of the d-times differenced training part, by least squares."""
+    return _lagged(df, value, series, 1, d, chunk_rows).groupBy(*series).agg(
+        F.regr_slope("_y", "_l1").alias("slope"),
+        F.regr_intercept("_y", "_l1").alias("intercept"),
+        F.count(F.lit(1)).alias("pairs"),
+    )
+
+
+def forecast_ar1(
+    df: DataFrame, horizon: int, value: str = "close", series: Sequence[str] = ("series",), d: int = 1
+) -> DataFrame:
+    """Path of ``horizon`` steps from the end of the training part (d = 0 or 1)."""
+    if d not in (0, 1):
+        raise ValueError("d must be 0 or 1")
+    split = F.floor(F.col("n") * F.lit(0.8))
+    ends = (
+        df.filter((F.col("pos") > split - 2) & (F.col("pos") <= split))
+        .groupBy(*series)
+        .agg(F.max_by(value, "pos").alias("_last"), F.min_by(value, "pos").alias("_before"))
+    )
+    fitted = ends.join(fit_ar1(df, value, series, d), list(series))
+    h = F.lit(horizon)
+    if d == 0:
+        path = recurse_line(F.col("slope"), F.col("intercept"), F.col("_last"), h)
+    else:
+        steps = recurse_line(F.col("slope"), F.col("intercept"), F.col("_last") - F.col("_before"), h)
+        path = F.transform(
+            F.sequence(F.lit(1), h),
+            lambda k: F.col("_last") + F.aggregate(F.slice(steps, 1, k), F.lit(0.0), lambda a, x: a + x),
+        )
+    return fitted.select(*series, "slope", "intercept", "pairs", path.alias("pred"))
+
+
+def _sweep(row: dict[tuple[int, int], str], k: int, size: int) -> list[tuple[tuple[int, int], str]]:
+    """Column expressions that remove lag k from a covariance table held in named columns."""
+    out = []
+    for i in range(size):
+        for j in range(i, size):
+            if i > k:
+                a, b = row[(min(i, k), max(i, k))], row[(min(j, k), max(j, k))]
+                out.append(((i, j), f"{row[(i, j)]} - {a} * {b} / nullif({row[(k, k)]}, 0)"))
+    return out
+
+
+def order_scores(
+    df: DataFrame,
+    value: str = "close",
+    series: Sequence[str] = ("series",),
+    max_p: int = 5,
+    max_d: int = 2,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """AIC = n ln(SSE / n) + 2 (p + 1) for every series and order (p, d).
+
+    For one d all orders share the same rows.  The covariances of value and lags
+    are one aggregate; removing lag after lag from them leaves the residual
+    variance of every nested order, so nothing is refitted.
+    """
+    size = max_p + 1  # lags 1..max_p, then the value itself
+    parts = []
+    for d in range(max_d + 1):
+        rows = _lagged(df, value, series, max_p, d, chunk_rows)
+        names = [f"_l{i}" for i in range(1, max_p + 1)] + ["_y"]
+        cov = {(i, j): f"c_{i}_{j}" for i in range(size) for j in range(i, size)}
+        moments = rows.groupBy(*series).agg(
+            F.count(F.lit(1)).alias("pairs"),
+            *[F.covar_pop(names[i], names[j]).alias(c) for (i, j), c in cov.items()],
+        )
+        for k in range(max_p + 1):
+            mse = F.col(cov[(max_p, max_p)])
+            aic = F.when(mse > 0, F.col("pairs") * F.log(mse) + 2 * (k + 1))
+            moments = moments.withColumn(f"aic_{k}", aic)
+            if k < max_p:
+                nxt = _sweep(cov, k, size)
+                moments = moments.withColumns({f"s{k}_{i}_{j}": F.expr(e) for (i, j), e in nxt})
+                cov = {**cov, **{ij: f"s{k}_{ij[0]}_{ij[1]}" for ij, _ in nxt}}
+        scored = F.array(*[F.struct(F.lit(k).alias("p"), F.col(f"aic_{k}").alias("aic")) for k in range(max_p + 1)])
+        parts.append(
+            moments.select(*series, F.lit(d).alias("d"), "pairs", F.explode(scored).alias("_o")).select(
+                *series, "_o.p", "d", "pairs", "_o.aic"
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def select_order(scores: DataFrame, series: Sequence[str] = ("series",)) -> DataFrame:
+    """Order with the smallest AIC; orders that could not be scored are skipped, ties go to smaller (p, d)."""
+    best = Window.partitionBy(*series).orderBy("aic", "p", "d")
+    return scores.filter(F.col("aic").isNotNull()).withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
+
+
+def direct_multi_step(
+    df: DataFrame,
+    horizon: int,
+    value: str = "close",
+    series: Sequence[str] = ("series",),
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """One regression per step ahead on the training part, all steps in one aggregate."""
+    rows, w = framed(df.filter(is_train()), series, ahead=horizon, chunk_rows=chunk_rows)
+    rows = unframed(
+        rows.select("*", *[F.lead(value, k).over(w).alias(f"_y{k}") for k in range(1, horizon + 1)]),
+        chunk_rows=chunk_rows,
+    )
+    fits = []
+    for k in range(1, horizon + 1):
+        fits += [F.regr_slope(f"_y{k}", value).alias(f"_b{k}"), F.regr_intercept(f"_y{k}", value).alias(f"_a{k}")]
+    fitted = rows.groupBy(*series).agg(*fits, F.max_by(value, "pos").alias("last_price"))
+    steps = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("step"),
+                F.col(f"_b{k}").alias("slope"),
+                F.col(f"_a{k}").alias("intercept"),
+                (F.col(f"_a{k}") + F.col(f"_b{k}") * F.col("last_price")).alias("pred"),
+            )
+            for k in range(1, horizon + 1)
+        ]
+    )
+    return fitted.select(*series, "last_price", F.inline(steps))
+
+
+def in_blocks(predict: Callable[[DataFrame], DataFrame], df: DataFrame, horizon: int, block: int) -> DataFrame:
+    """Extend ``pred`` block by block to ``horizon`` steps and cut the surplus.
+
+    ``predict`` maps rows with ``hist`` to rows with ``_block`` (block values).
+    The number of rounds depends on the horizon only.
+    """
+    out = df.withColumn("pred", F.array().cast("array<double>"))
+    for _ in range(-(-horizon // block)):
+        out = predict(out).withColumn("hist", F.concat("hist", "_block")).withColumn("pred", F.concat("pred", "_block"))
+        out = out.drop("_block")
+    return out.withColumn("pred", F.slice("pred", 1, horizon))
+
+
+# --- boosted trees -------------------------------------------------------------------
+
+
+def fit_trees(
+    features: DataFrame,
+    columns: Sequence[str],
+    value: str = "close",
+    rounds: int = 100,
+    depth: int = 5,
+    rate: float = 0.1,
+    seed: int = 42,
+):
+    """One boosted-tree model for the whole panel on min-max scaled features."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import MinMaxScaler, VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    stages = [
+        VectorAssembler(inputCols=list(columns), outputCol="_v"),
+        MinMaxScaler(inputCol="_v", outputCol="_x"),
+        GBTRegressor(
+            featuresCol="_x", labelCol=value, predictionCol="prediction",
+            maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed,
+        ),
+    ]
+    return Pipeline(stages=stages).fit(features.select(*columns, value))
+
+
+def forecast_trees(
+    panel: DataFrame,
+    horizon: int,
+    value: str = "close",
+    series: Sequence[str] = ("series",),
+    n_lags: int = 30,
+    rolling: Sequence[int] = (7, 14, 30),
+    **fit: float,
+) -> DataFrame:
+    """Fit on the training part, then predict step by step from its end.
+
+    Each round appends one predicted value per series and is cut from the plan,
+    so plans do not grow with the horizon.
+    """
+    train = panel.filter(is_train())
+    columns = [f"lag_{i}" for i in range(1, n_lags + 1)]
+    columns += [f"rolling_{s}_{k}" for k in rolling for s in ("mean", "std")]
+    model = fit_trees(lag_features(train, value, series, n_lags, rolling), columns, value, **fit)
+
+    need = max(n_lags, *rolling)
+    split = F.floor(F.col("n") * F.lit(0.8))
+    state = (
+        panel.filter((F.col("pos") <= split) & (F.col("pos") > split - need))
+        .groupBy(*series)
+        .agg(F.array_sort(F.collect_list(F.struct("pos", value))).alias("_s"))
+        .select(*series, F.col(f"_s.{value}").alias("hist"))
+        .filter(F.size("hist") == need)
+    )
+
+    def one_step(rows: DataFrame) -> DataFrame:
+        newest_first = F.reverse(F.slice("hist", -need, need))
+        f = rows.withColumn("_h", newest_first)
+        f = f.withColumns({f"lag_{i}": F.col("_h")[i - 1] for i in range(1, n_lags + 1)})
+        for k in rolling:
+            f = f.withColumn(f"rolling_mean_{k}", mean_of(F.slice("_h", 1, k)))
+            m = F.col(f"rolling_mean_{k}")
+            square = F.aggregate(F.slice("_h", 1, k), F.lit(0.0), lambda a, x, m=m: a + (x - m) * (x - m))
+            f = f.withColumn(f"rolling_std_{k}", F.sqrt(square / (k - 1)))
+        done = model.transform(f).withColumn("_block", F.array("prediction"))
+        return cut(done.select(*rows.columns, "_block"))
+
+    return in_blocks(one_step, state, horizon, 1).select(*series, F.posexplode("pred").alias("step", "pred")).withColumn(
+        "step", F.col("step") + 1
+    )
