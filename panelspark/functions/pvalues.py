@@ -55,27 +55,29 @@ def t_two_sided(t: Column, df: Column) -> Column:
 
 
 def rank_sum_table(spark: SparkSession) -> DataFrame:
-    """Chance of a signed-rank sum <= k for k = 0.., one row per number of ranks (50 rows).
+    """Number of ways to reach each signed-rank sum, one row per number of ranks (50 rows).
 
     The number of subsets of 1..n with sum k grows rank by rank; counts stay below
     2**50 and are exact in doubles.
     """
-    n = F.col("n_ranks")
-    size = (F.lit(EXACT_RANKS) * (EXACT_RANKS + 1) / 2).cast("int")
-    start = F.transform(F.sequence(F.lit(0), size), lambda k: F.when(k == 0, 1.0).otherwise(0.0))
-    counts = F.aggregate(
-        F.sequence(F.lit(1), n),
+    cells = EXACT_RANKS * (EXACT_RANKS + 1) // 2 + 1
+    start = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), F.lit(cells - 1)))
+    ways = F.aggregate(
+        F.sequence(F.lit(1), F.col("n_ranks")),
         start,
-        lambda acc, i: F.transform(
-            acc, lambda v, k: v + F.when(k >= i, F.element_at(acc, F.greatest(F.lit(1), k - i + 1))).otherwise(0.0)
+        lambda acc, i: F.zip_with(
+            acc, F.slice(F.concat(F.array_repeat(F.lit(0.0), i), acc), 1, cells), lambda a, b: a + b
         ),
     )
-    running = F.aggregate(
-        F.slice("_c", 1, (n * (n + 1) / 2 + 1).cast("int")),
-        F.array().cast("array<double>"),
-        lambda acc, v: F.concat(
-            acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + v / F.pow(F.lit(2.0), n))
-        ),
-    )
-    rows = spark.range(1, EXACT_RANKS + 1).select(F.col("id").cast("int").alias("n_ranks"))
-    return rows.withColumn("_c", counts).select("n_ranks", running.alias("cdf"))
+    rows = spark.range(1, EXACT_RANKS + 1, numPartitions=1).select(F.col("id").cast("int").alias("n_ranks"))
+    return rows.withColumn("ways", ways)
+
+
+def signed_rank_exact(ways: Column, n: Column, w_plus: Column) -> Column:
+    """Two-sided p from the ways table; half ranks are cut to the whole sum below."""
+    k = F.floor(w_plus).cast("int")
+
+    def up_to(count: Column) -> Column:
+        return F.aggregate(F.slice(ways, 1, count), F.lit(0.0), lambda a, x: a + x) / F.pow(F.lit(2.0), n)
+
+    return F.least(F.lit(1.0), 2 * F.least(up_to(k + 1), 1 - up_to(k)))
