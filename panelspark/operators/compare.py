@@ -263,10 +263,10 @@ def feature_correlations(
         for t in targets:
             x, y = F.col(f).cast("double"), F.col(t).cast("double")
             both = x.isNotNull() & y.isNotNull()
-            spread = (F.var_pop(F.when(both, x)) > 0) & (F.var_pop(F.when(both, y)) > 0)
+            x, y = F.when(both, x), F.when(both, y)
             enough = F.count(F.when(both, 1)) >= at_least
-            value = F.corr(F.when(both, x), F.when(both, y))
-            cols.append(F.when(enough & spread, F.round(value, 4)).alias(f"corr_{f}_vs_{t}"))
+            value = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))
+            cols.append(F.when(enough, F.round(value, 4)).alias(f"corr_{f}_vs_{t}"))
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *cols).filter(F.col("n") >= at_least)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.features import is_train, lag_features
 from panelspark.operators.layout import CHUNK_ROWS, framed, unframed
-from panelspark.operators.windows import last_values, mean_of
+from panelspark.operators.windows import last_values, mean_of, sample_deviation
 from panelspark.session import cut
 
 # --- forecasts from the window itself -------------------------------------------
@@ -60,7 +60,7 @@ def with_window_forecasts(df: DataFrame, lookback: int | Column) -> DataFrame:
         lambda s, d: F.struct((s["xx"] + d["a"] * d["a"]).alias("xx"), (s["xy"] + d["a"] * d["b"]).alias("xy")),
     )
     recent = recent.withColumn("_s", sums)
-    moving = F.col("_s")["xx"] > 0
+    moving = F.array_min(x) < F.array_max(x)
     recent = recent.withColumn("_b", F.when(moving, F.col("_s")["xy"] / F.col("_s")["xx"]).otherwise(F.lit(0.0)))
     recent = recent.withColumn("_a", F.when(moving, F.col("_my") - F.col("_b") * F.col("_mx")).otherwise(F.col("last_price")))
     h = F.col("horizon")
@@ -297,9 +297,7 @@ def forecast_trees(
         f = f.withColumns({f"lag_{i}": F.col("_h")[i - 1] for i in range(1, n_lags + 1)})
         for k in rolling:
             f = f.withColumn(f"rolling_mean_{k}", mean_of(F.slice("_h", 1, k)))
-            m = F.col(f"rolling_mean_{k}")
-            square = F.aggregate(F.slice("_h", 1, k), F.lit(0.0), lambda a, x, m=m: a + (x - m) * (x - m))
-            f = f.withColumn(f"rolling_std_{k}", F.sqrt(square / (k - 1)))
+            f = f.withColumn(f"rolling_std_{k}", sample_deviation(F.slice("_h", 1, k), F.col(f"rolling_mean_{k}")))
         done = model.transform(f).withColumn("_block", F.array("prediction"))
         return cut(done.select(*rows.columns, "_block"))
 

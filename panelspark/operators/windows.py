@@ -113,13 +113,17 @@ def last_values(lookback: int | Column, hist: str = "hist") -> Column:
 
 
 def mean_of(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x, lambda a: a / F.size(values))
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
+
+
+def sample_deviation(values: Column, mean: Column) -> Column:
+    square = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    return F.when(F.size(values) > 1, F.sqrt(square / (F.size(values) - 1)))
 
 
 def window_stats(df: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
     """Current, mean, sample deviation, trend and daily volatility of each window."""
     recent = df.withColumn("_r", last_values(lookback)).withColumn("_mean", mean_of(F.col("_r")))
-    square = F.aggregate("_r", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean")))
     steps = F.zip_with(F.slice("_r", 2, F.size("_r") - 1), F.slice("_r", 1, F.size("_r") - 1), lambda b, a: b - a)
     recent = recent.withColumn("_steps", steps).withColumn("_step_mean", mean_of(F.col("_steps")))
     step_square = F.aggregate(
@@ -130,7 +134,7 @@ def window_stats(df: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
         *df.columns,
         F.element_at("_r", -1).alias("current"),
         F.col("_mean").alias("mean"),
-        F.when(F.size("_r") > 1, F.sqrt(square / (F.size("_r") - 1))).alias("volatility"),
+        sample_deviation(F.col("_r"), F.col("_mean")).alias("volatility"),
         F.when(rising, F.lit("upward")).otherwise(F.lit("downward")).alias("trend"),
         F.when(F.size("_steps") > 0, F.sqrt(step_square / F.size("_steps"))).alias("daily_vol"),
     )

@@ -467,8 +467,8 @@ def _signed_ranks(by: str, src: str) -> str:
     same = " AND ".join(f"s.{k.strip()} = z.{k.strip()}" for k in by.split(","))
     first = by.split(",")[0].strip()
     keys = ", ".join(f"z.{k.strip()}" for k in by.split(","))
-    normal = """1 - 2 * exp(-z * z / 2) / sqrt(2 * pi()) * abs(z) *
-      list_sum([pow(z * z / 2, j) * exp(lgamma(1.5) - lgamma(j + 1.5)) for j in range(0, 150)])"""
+    normal = """CASE WHEN abs(z) > 8 THEN 0.0 ELSE 1 - 2 * exp(-z * z / 2) / sqrt(2 * pi()) * abs(z) *
+      list_sum([pow(z * z / 2, j) * exp(lgamma(1.5) - lgamma(j + 1.5)) for j in range(0, 150)]) END"""
     return f"""ranked AS (SELECT {by}, d, rank() OVER w + (count(*) OVER (PARTITION BY {by}, abs(d)) - 1) / 2.0 AS r,
     count(*) OVER (PARTITION BY {by}, abs(d)) AS tie
   FROM {src} WHERE d <> 0 WINDOW w AS (PARTITION BY {by} ORDER BY abs(d))),
@@ -514,10 +514,10 @@ dm1 AS (SELECT *, CASE WHEN n >= 2 AND v > 0 THEN mean_d / sqrt(v / n) * sqrt((n
 dm AS (SELECT *, {_t_p('dm', 'f')} AS p FROM dm1)"""
 SQL["dm_pairs"] = f"""{STUDY}, {DM}
 SELECT rq, currency, horizon, model, n, round(CASE WHEN n >= 2 THEN mean_d END, 2) AS mean_d, round(dm, 5) AS dm_hln, round(p, 5) AS p,
-  CASE WHEN p IS NULL THEN 'n/a' WHEN round(p, 5) < 0.001 THEN 'p<0.001' ELSE printf('p=%.3f', round(p, 5)) END AS p_text FROM dm"""
+  CASE WHEN p IS NULL THEN 'n/a' WHEN p < 0.001 THEN 'p<0.001' ELSE printf('p=%.3f', p) END AS p_text FROM dm"""
 SQL["dm_rollup"] = f"""{STUDY}, {DM}
 SELECT rq, count(*) AS n_pairs, count(*) FILTER (p < 0.05) AS n_sig, round(avg(dm), 4) AS mean_dm, round(avg(mean_d), 2) AS mean_loss_diff,
-  count(*) FILTER (mean_d < 0) AS n_negative, count(*) FILTER (mean_d > 0) AS n_positive FROM dm WHERE n >= 2 GROUP BY rq"""
+  count(*) FILTER (round(mean_d, 6) < 0) AS n_negative, count(*) FILTER (round(mean_d, 6) > 0) AS n_positive FROM dm WHERE n >= 2 GROUP BY rq"""
 
 # --- tokens ------------------------------------------------------------------------------------
 

@@ -16,6 +16,7 @@ from panelspark.operators import windows as win
 from panelspark.operators.layout import checked_broadcast, day_chunk, with_position
 from panelspark.params import CONFIGS, HORIZONS
 from panelspark.plans import tables as t
+from panelspark.session import cut
 from panelspark.sources.results import experiment_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,8 +49,17 @@ def _windows(spark: SparkSession, sf: str, size: int = 30) -> DataFrame:
     return win.origin_windows(_order_panel(spark, sf), context=size)
 
 
+def _results(spark: SparkSession, sf: str) -> DataFrame:
+    """Summary table, written once: comparisons read it several times and must not redo the study."""
+    return cut(t.results(spark, sf))
+
+
+def _window_results(spark: SparkSession, sf: str) -> DataFrame:
+    return cut(t.window_results(spark, sf))
+
+
 def _llm(spark: SparkSession, sf: str) -> DataFrame:
-    return t.results(spark, sf).filter(F.col("type") == "llm")
+    return _results(spark, sf).filter(F.col("type") == "llm")
 
 
 # --- panels, quality, fill ------------------------------------------------------------
@@ -358,7 +368,7 @@ def param_grid(spark, sf):
 
 @query
 def leaderboard(spark, sf):
-    rows = t.results(spark, sf)
+    rows = _results(spark, sf)
     both = [
         compare.leaderboard(rows, m, 10).select(
             F.lit(m).alias("metric"), "model", "config", "currency", "horizon", F.col(m).alias("value")
@@ -370,7 +380,7 @@ def leaderboard(spark, sf):
 
 @query
 def best_per_group(spark, sf):
-    rows = t.results(spark, sf)
+    rows = _results(spark, sf)
     both = [
         compare.best_per_group(rows, compare.CELL, m).select(
             F.lit(m).alias("metric"), "currency", "horizon", "model", "config", F.col(m).alias("value")
@@ -388,7 +398,7 @@ def best_by_mean(spark, sf):
 
 @query
 def best_summary(spark, sf):
-    return compare.best_summary(t.results(spark, sf))
+    return compare.best_summary(_results(spark, sf))
 
 
 @query
@@ -419,7 +429,7 @@ def prefix_groups(spark, sf):
 
 @query
 def union_results(spark, sf):
-    rows = t.results(spark, sf).drop("ord")
+    rows = _results(spark, sf).drop("ord")
     base = rows.filter(F.col("type") == "baseline").drop("n_windows")
     llm = compare.with_factors(rows.filter(F.col("type") == "llm")).withColumn("news", F.col("news").cast("string"))
     return compare.union_results(base, llm)
@@ -433,7 +443,7 @@ def common_units(spark, sf):
 @query
 def aligned_pairs(spark, sf):
     """Windows of two configs side by side, by key and by rank."""
-    rows = t.window_results(spark, sf)
+    rows = _window_results(spark, sf)
     a, b = (rows.filter(F.col("config") == c) for c in ("baseline_llm", "full_model"))
     keys = [*compare.UNIT, "window"]
     by_key = compare.aligned(a, b, keys, "window_rmse").groupBy(*compare.UNIT).agg(
@@ -464,7 +474,7 @@ def factor_pivot(spark, sf):
 
 @query
 def config_means(spark, sf):
-    rows = t.results(spark, sf)
+    rows = _results(spark, sf)
     configs = ("baseline", *CONFIGS)
     overall = [
         compare.mean_by_config(rows, m, configs, positive_only=m == "da").select(
@@ -480,7 +490,7 @@ def config_means(spark, sf):
 
 @query
 def winners_matrix(spark, sf):
-    rows = t.results(spark, sf)
+    rows = _results(spark, sf)
     both = [
         compare.winners_matrix(rows, m, HORIZONS).withColumn("metric", F.lit(m)) for m in ("rmse", "da")
     ]
@@ -494,7 +504,7 @@ def type_best(spark, sf):
 
 @query
 def model_ranking(spark, sf):
-    rows = t.results(spark, sf)
+    rows = _results(spark, sf)
     return compare.model_ranking(rows, "rmse").select("model", "type", _r("mean_rmse", 3)).join(
         compare.model_ranking(rows, "da").select("model", "type", _r("mean_da", 3)), ["model", "type"]
     )
@@ -560,7 +570,7 @@ def paired_t(spark, sf):
 
 @query
 def wilcoxon(spark, sf):
-    units = significance.question_units(t.results(spark, sf))
+    units = significance.question_units(_results(spark, sf))
     tests = significance.wilcoxon(units.withColumn("d", F.round("d", 4)), ["rq", "metric"])
     return tests.select("rq", "metric", "n_zero", "n_ranks", "w_plus", "w_minus", _r("w_p", 6))
 
@@ -577,24 +587,24 @@ def signed_ranks_lines(spark, sf):
 
 @query
 def rq_units(spark, sf):
-    units = significance.question_units(t.results(spark, sf))
+    units = significance.question_units(_results(spark, sf))
     tests = significance.t_statistics(units, ["rq", "metric"])
     return tests.select("rq", "metric", "n", _r("mean_delta", 3), _r("t_p", 6))
 
 
 @query
 def dm_pairs(spark, sf):
-    losses = significance.dm_losses(t.window_results(spark, sf))
+    losses = significance.dm_losses(_window_results(spark, sf))
     tests = significance.dm_statistics(losses, ["rq", *compare.UNIT])
     return tests.select(
-        "rq", *compare.UNIT, "n", _r("mean_d", 2), _r("dm_hln", 5), _r("p", 5), p_text(F.round("p", 5)).alias("p_text")
+        "rq", *compare.UNIT, "n", _r("mean_d", 2), _r("dm_hln", 5), _r("p", 5), p_text(F.col("p")).alias("p_text")
     )
 
 
 @query
 def dm_rollup(spark, sf):
-    losses = significance.dm_losses(t.window_results(spark, sf))
-    rolled = significance.dm_rollup(significance.dm_statistics(losses, ["rq", *compare.UNIT]))
+    tests = significance.dm_statistics(significance.dm_losses(_window_results(spark, sf)), ["rq", *compare.UNIT])
+    rolled = significance.dm_rollup(tests.withColumn("mean_d", F.round("mean_d", 6)))
     return rolled.select("rq", "n_pairs", "n_sig", _r("mean_dm"), _r("mean_loss_diff", 2), "n_negative", "n_positive")
 
 
