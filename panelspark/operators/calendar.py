@@ -86,7 +86,7 @@ def fill_days(
         F.col(day).cast("date").alias(day),
         *[c for c in order],
         *[F.when(weekday, F.col(v)).alias(v) if weekdays_only else F.col(v) for v in values],
-    ).withColumn("_chunk", day_chunk(day, chunk_days))
+    ).withColumn("_chunk", day_chunk(day, chunk_days)).filter(F.col("_chunk").isNotNull())
 
     stamp = F.struct(day, *order) if order else F.col(day)
     summary = rows.groupBy(*keys, "_chunk").agg(
@@ -108,7 +108,8 @@ def fill_days(
 
     inside = Window.partitionBy(*keys, "_chunk").orderBy(day, *order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = rows.join(borders, [*keys, "_chunk"]).select(
+    # rows are shuffled by (series, bucket) for the window anyway; the small side is hashed per partition
+    carried = rows.join(borders.hint("shuffle_hash"), [*keys, "_chunk"]).select(
         *keys,
         day,
         "_start",

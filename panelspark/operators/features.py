@@ -7,18 +7,26 @@ Input panels carry ``pos`` (1..n inside a series) and ``n``, from
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators.layout import CHUNK_ROWS, framed, unframed
 from panelspark.params import N_LAGS, ROLLING, TRAIN_SHARE
 
 
-def _full(fn: Column, value: str, w: WindowSpec, k: int) -> Column:
-    """``fn`` over the k rows before the current one, null unless all k hold a value."""
-    frame = w.rowsBetween(-k, -1)
-    return F.when(F.count(value).over(frame) == k, fn.over(frame))
+def _rolling(k: int) -> tuple[Column, Column]:
+    """Mean and sample deviation of ``_b1.._bk``, null if one of them is missing.
+
+    Plain arithmetic on lag columns stays in generated code; sliding window frames
+    would add up all k rows again for every row.
+    """
+    values = [F.col(f"_b{i}") for i in range(1, k + 1)]
+    mean = F.col(f"rolling_mean_{k}")
+    square = reduce(add, [(v - mean) * (v - mean) for v in values])
+    return reduce(add, values) / k, F.sqrt(square / (k - 1))
 
 
 def lag_features(
@@ -31,15 +39,19 @@ def lag_features(
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Lags 1..n and mean / sample deviation of the k rows before; incomplete rows dropped."""
-    rows, w = framed(df, series, back=max(n_lags, *rolling, 1) if rolling else n_lags, chunk_rows=chunk_rows)
-    cols = [F.lag(value, i).over(w).alias(f"lag_{i}") for i in range(1, n_lags + 1)]
-    for k in rolling:
-        cols.append(_full(F.avg(value), value, w, k).alias(f"rolling_mean_{k}"))
-        cols.append(_full(F.stddev_samp(value), value, w, k).alias(f"rolling_std_{k}"))
-    out = unframed(rows.select("*", *cols), chunk_rows=chunk_rows)
-    names = [f"lag_{i}" for i in range(1, n_lags + 1)]
-    names += [f"rolling_{s}_{k}" for k in rolling for s in ("mean", "std")]
-    return out.na.drop(subset=[value, *names]) if complete else out
+    reach = max([n_lags, *rolling])
+    rows, w = framed(df, series, back=reach, chunk_rows=chunk_rows)
+    out = unframed(
+        rows.select("*", *[F.lag(value, i).over(w).alias(f"_b{i}") for i in range(1, reach + 1)]),
+        chunk_rows=chunk_rows,
+    )
+    if complete:  # the longest reach is there only if all shorter ones are
+        out = out.na.drop(subset=[value, *[f"_b{i}" for i in range(1, reach + 1)]])
+    made = {k: _rolling(k) for k in rolling}
+    out = out.withColumns({f"rolling_mean_{k}": m for k, (m, _) in made.items()})
+    names = [f"rolling_{s}_{k}" for k in rolling for s in ("mean", "std")]
+    out = out.withColumns({f"rolling_std_{k}": s for k, (_, s) in made.items()})
+    return out.select(*df.columns, *[F.col(f"_b{i}").alias(f"lag_{i}") for i in range(1, n_lags + 1)], *names)
 
 
 def differences(

@@ -40,7 +40,7 @@ def with_position(
     map-side aggregation, the counts are summed up over the few chunks of a group,
     and rows are only sorted inside their chunk.
     """
-    rows = df.withColumn("_chunk", chunk)
+    rows = df.withColumn("_chunk", chunk).filter(F.col("_chunk").isNotNull())
     sizes = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_size"))
     chunks = Window.partitionBy(*keys)
     before = chunks.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -52,7 +52,7 @@ def with_position(
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return (
-        rows.join(offsets, [*keys, "_chunk"])
+        rows.join(offsets.hint("shuffle_hash"), [*keys, "_chunk"])
         .withColumn(pos, F.col("_offset") + F.row_number().over(inside))
         .drop("_chunk", "_offset")
     )
@@ -82,13 +82,12 @@ def unframed(df: DataFrame, pos: str = "pos", chunk_rows: int = CHUNK_ROWS) -> D
     return df.filter(F.col("_range") == F.floor((F.col(pos) - 1) / chunk_rows)).drop("_range")
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
-    """Hint a broadcast only for a side that was measured to be small.
+def small_side(side: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast for a written table only after measuring that it is small.
 
-    The side is written once, counted and sized; above either bound it is
-    returned without a hint and the join shuffles.
+    Above either bound it is returned without a hint: the join shuffles and adaptive
+    execution splits hot keys.
     """
-    side = cut(df)
     rows, size = (
         side.limit(max_rows + 1)
         .agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*")))))
@@ -97,6 +96,11 @@ def checked_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 6
     return F.broadcast(side) if rows <= max_rows and (size or 0) <= max_bytes else side
 
 
+def checked_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """:func:`small_side` of a computed table, which is written once for it."""
+    return small_side(cut(df), max_rows, max_bytes)
+
+
 def value_ranges(df: DataFrame, by: Sequence[str], value: str, ranges: int = VALUE_RANGES) -> DataFrame:
     """Cut points per group that split its values into parts of about equal size.
 
@@ -105,7 +109,7 @@ def value_ranges(df: DataFrame, by: Sequence[str], value: str, ranges: int = VAL
     """
     probs = [i / ranges for i in range(1, ranges)]
     points = df.groupBy(*by).agg(F.percentile_approx(value, probs, 10_000).alias("_points"))
-    return cut(points)
+    return small_side(cut(points))
 
 
 def range_of(value: str, points: str = "_points") -> Column:
@@ -128,7 +132,7 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str, accura
             F.count(F.lit(1)).alias("_n"),
         )
     )
-    renamed = bracket.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "_b", "_n")
+    renamed = small_side(bracket.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "_b", "_n"))
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]
     lo, hi = F.col("_b")[0], F.col("_b")[1]
     zone = F.when(F.col(value) < lo, -1).when(F.col(value) > hi, 1).otherwise(0)
