@@ -59,7 +59,7 @@ def read_prices_checked(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     """Bars of files in any column order, and a quarantine table (pair, reason).
 
     Lines are read as text and matched to the header line of their own file, so one
-    unusable file does not stop the others.
+    unusable file does not stop the others.  Spark does not list files of zero bytes.
     """
     lines = spark.read.text(f"{path}/*.csv").select(file_key().alias("pair"), F.trim("value").alias("line"))
     lines = lines.filter(F.col("line") != "")
