@@ -270,33 +270,42 @@ def feature_correlations(
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *cols).filter(F.col("n") >= at_least)
 
 
-def param_grid(
-    spark: SparkSession,
-    currencies: Sequence[str],
+def _runs(baselines: Sequence[str], models: Sequence[str], horizons: Sequence[int], subset: str | None) -> Column:
+    configs = CONFIGS if subset is None else ABLATIONS[subset]
+    runs = [("baseline", m, "baseline") for m in baselines] + [("llm", m, c) for m in models for c in configs]
+    return F.array(
+        *[
+            F.struct(F.lit(t).alias("type"), F.lit(m).alias("model"), F.lit(c).alias("config"), F.lit(h).alias("horizon"))
+            for t, m, c in runs
+            for h in horizons
+        ]
+    )
+
+
+def attach_grid(
+    series: DataFrame,
     horizons: Sequence[int],
     baselines: Sequence[str],
     models: Sequence[str],
     subset: str | None = None,
 ) -> DataFrame:
-    """Currency x horizon x model x config; baselines run once, models under the configs of ``subset``.
+    """Every series under every run: horizon x model x config.
 
-    All sides are parameter lists of a few entries.
+    Baselines run once, models under the configs of ``subset`` (news, prompt,
+    interaction; all when None).  The run list is a literal of parameter size that each
+    row expands, so there is no join.
     """
-    configs = CONFIGS if subset is None else ABLATIONS[subset]
-    runs = [("baseline", m, "baseline") for m in baselines] + [("llm", m, c) for m in models for c in configs]
-    lists = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(m).alias("model"), F.lit(c).alias("config")) for t, m, c in runs])
-    return (
-        spark.range(1)
-        .select(F.explode(F.array(*[F.lit(c) for c in currencies])).alias("currency"))
-        .select("currency", F.explode(F.array(*[F.lit(h) for h in horizons])).alias("horizon"))
-        .select("currency", "horizon", F.inline(lists))
-    )
-
+    return series.select("*", F.inline(_runs(baselines, models, horizons, subset)))
 
-def attach_grid(series: DataFrame, runs: DataFrame) -> DataFrame:
-    """Every series under every run of a parameter table (type, model, config, horizon).
 
-    The run list is gathered into one small row; its size is set by parameters.
-    """
-    one = runs.agg(F.array_sort(F.collect_list(F.struct(*runs.columns))).alias("_runs"))
-    return series.crossJoin(F.broadcast(one)).select(*series.columns, F.inline("_runs"))
+def param_grid(
+    spark: SparkSession,
+    currencies: Sequence[str],
+    horizons: Sequence[int],
+    baselines: Sequence[str],
+    models: Sequence[str],
+    subset: str | None = None,
+) -> DataFrame:
+    """The grid of a list of currencies."""
+    names = spark.createDataFrame([(c,) for c in currencies], "currency string")
+    return attach_grid(names, horizons, baselines, models, subset)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from panelspark.operators.features import is_train, lag_features
 from panelspark.operators.layout import CHUNK_ROWS, framed, unframed
 from panelspark.operators.windows import last_values, mean_of, sample_deviation
+from panelspark.params import TRAIN_SHARE
 from panelspark.session import cut
 
 # --- forecasts from the window itself -------------------------------------------
@@ -113,7 +114,7 @@ def forecast_ar1(
     """Path of ``horizon`` steps from the end of the training part (d = 0 or 1)."""
     if d not in (0, 1):
         raise ValueError("d must be 0 or 1")
-    split = F.floor(F.col("n") * F.lit(0.8))
+    split = F.floor(F.col("n") * F.lit(TRAIN_SHARE))
     ends = (
         df.filter((F.col("pos") > split - 2) & (F.col("pos") <= split))
         .groupBy(*series)
@@ -143,6 +144,87 @@ def _sweep(row: dict[tuple[int, int], str], k: int, size: int) -> list[tuple[tup
     return out
 
 
+def _covariances(rows: DataFrame, series: Sequence[str], p: int, means: bool = False) -> tuple[DataFrame, dict]:
+    """One aggregate with the covariances of lags 1..p and the value (last index)."""
+    names = [f"_l{i}" for i in range(1, p + 1)] + ["_y"]
+    cov = {(i, j): f"c_{i}_{j}" for i in range(p + 1) for j in range(i, p + 1)}
+    sums = [F.covar_pop(names[i], names[j]).alias(c) for (i, j), c in cov.items()]
+    if means:
+        sums += [F.avg(x).alias(f"_m{i}") for i, x in enumerate(names)]
+    return rows.groupBy(*series).agg(F.count(F.lit(1)).alias("pairs"), *sums), cov
+
+
+def fit_ar(
+    df: DataFrame,
+    p: int,
+    d: int = 0,
+    value: str = "close",
+    series: Sequence[str] = ("series",),
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Autoregression of order p on the d-times differenced training part, by least squares.
+
+    Normal equations per series come from one aggregate; they are solved by elimination
+    in column expressions on the one row per series.
+    """
+    fitted, cov = _covariances(_lagged(df, value, series, p, d, chunk_rows), series, p, means=True)
+    for k in range(p):
+        nxt = _sweep(cov, k, p + 1)
+        fitted = fitted.withColumns({f"s{k}_{i}_{j}": F.expr(e) for (i, j), e in nxt})
+        # rows up to k keep their eliminated form for the way back
+        cov = {**cov, **{ij: f"s{k}_{ij[0]}_{ij[1]}" for ij, _ in nxt}}
+    for k in reversed(range(p)):
+        rest = "".join(f" - {cov[(k, j)]} * b{j}" for j in range(k + 1, p))
+        fitted = fitted.withColumn(f"b{k}", F.expr(f"({cov[(k, p)]}{rest}) / nullif({cov[(k, k)]}, 0)"))
+    slopes = "".join(f" - b{k} * _m{k}" for k in range(p))
+    coefficients = F.array(*[F.col(f"b{k}") for k in range(p)]) if p else F.array().cast("array<double>")
+    return fitted.select(
+        *series, "pairs", F.expr(f"_m{p}{slopes}").alias("intercept"), coefficients.alias("coefficients")
+    )
+
+
+def forecast_ar(
+    df: DataFrame,
+    horizon: int,
+    p: int,
+    d: int = 0,
+    value: str = "close",
+    series: Sequence[str] = ("series",),
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Path of ``horizon`` steps from the end of the training part, any p and d."""
+    need = p + d + 1
+    split = F.floor(F.col("n") * F.lit(TRAIN_SHARE))
+    ends = (
+        df.filter((F.col("pos") > split - need) & (F.col("pos") <= split))
+        .groupBy(*series)
+        .agg(F.array_sort(F.collect_list(F.struct("pos", value))).alias("_s"))
+        .select(*series, F.col(f"_s.{value}").alias("_h0"))
+    )
+    for k in range(d):
+        h = F.col(f"_h{k}")
+        ends = ends.withColumn(
+            f"_h{k + 1}",
+            F.zip_with(F.slice(h, 2, F.size(h) - 1), F.slice(h, 1, F.size(h) - 1), lambda b, a: b - a),
+        )
+    fitted = ends.join(fit_ar(df, p, d, value, series, chunk_rows), list(series))
+
+    def grow(path: Column, _: Column) -> Column:
+        newest_first = F.slice(F.reverse(path), 1, p) if p else F.array().cast("array<double>")
+        products = F.zip_with(newest_first, F.col("coefficients"), lambda x, c: x * c)
+        return F.concat(path, F.array(F.aggregate(products, F.col("intercept"), lambda a, x: a + x)))
+
+    steps = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col(f"_h{d}"), grow)
+    fitted = fitted.withColumn("_p", F.slice(steps, -horizon, horizon))
+    for k in reversed(range(d)):
+        start = F.element_at(f"_h{k}", -1)
+        summed = F.aggregate(
+            "_p", F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+        )
+        fitted = fitted.withColumn("_p", F.slice(summed, 2, horizon))
+    return fitted.select(*series, "pairs", "intercept", "coefficients", F.col("_p").alias("pred"))
+
+
 def order_scores(
     df: DataFrame,
     value: str = "close",
@@ -160,13 +242,7 @@ def order_scores(
     size = max_p + 1  # lags 1..max_p, then the value itself
     parts = []
     for d in range(max_d + 1):
-        rows = _lagged(df, value, series, max_p, d, chunk_rows)
-        names = [f"_l{i}" for i in range(1, max_p + 1)] + ["_y"]
-        cov = {(i, j): f"c_{i}_{j}" for i in range(size) for j in range(i, size)}
-        moments = rows.groupBy(*series).agg(
-            F.count(F.lit(1)).alias("pairs"),
-            *[F.covar_pop(names[i], names[j]).alias(c) for (i, j), c in cov.items()],
-        )
+        moments, cov = _covariances(_lagged(df, value, series, max_p, d, chunk_rows), series, max_p)
         for k in range(max_p + 1):
             mse = F.col(cov[(max_p, max_p)])
             aic = F.when(mse > 0, F.col("pairs") * F.log(mse) + 2 * (k + 1))
@@ -282,7 +358,7 @@ def forecast_trees(
     model = fit_trees(lag_features(train, value, series, n_lags, rolling), columns, value, **fit)
 
     need = max(n_lags, *rolling)
-    split = F.floor(F.col("n") * F.lit(0.8))
+    split = F.floor(F.col("n") * F.lit(TRAIN_SHARE))
     state = (
         panel.filter((F.col("pos") <= split) & (F.col("pos") > split - need))
         .groupBy(*series)

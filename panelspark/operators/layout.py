@@ -117,7 +117,7 @@ def range_of(value: str, points: str = "_points") -> Column:
     return F.size(F.filter(F.col(points), lambda p: p < F.col(value)))
 
 
-def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str, accuracy: int = 2_000) -> DataFrame:
+def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str, accuracy: int = 10_000) -> DataFrame:
     """Exact median per group (mean of the middle two), for groups of any size.
 
     Approximate quantiles bracket the middle.  Rows below and above the bracket

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.text import base_of, quote_of
 from panelspark.functions.tokens import encode
-from panelspark.operators.context import NO_NEWS, price_examples, price_text, token_examples
+from panelspark.operators.context import NO_NEWS, joined_lines, price_examples, price_text, token_examples
 from panelspark.operators.windows import last_values, window_stats
 from panelspark.params import FACTORS, LOOKBACK, PROMPT_LIMITS
 
@@ -80,46 +80,56 @@ def prompts(
     windows: DataFrame,
     series: str = "series",
     family: str = "token",
-    news: str = "news_text",
+    lines: str = "news_lines",
+    style: str = "brief",
     template: str | None = None,
 ) -> DataFrame:
     """One row per window, model and config with ``prompt``.
 
-    ``windows`` needs ``hist``, ``hist_days``, ``horizon``, ``last_price`` and a text
-    column of articles per model limit: an array of structs (max_news, text), or one
-    text for all.
+    ``windows`` needs ``hist``, ``hist_days``, ``horizon``, ``last_price`` and the array of
+    news lines, of which each model reads as many as its limit allows.
     """
     runs = F.array(
         *[
             F.struct(
                 F.lit(m).alias("model"), F.lit(c).alias("config"), F.lit(n).alias("use_news"),
-                F.lit(p).alias("style"), F.lit(ex).alias("n_examples"),
+                F.lit(p).alias("style"), F.lit(ex).alias("n_examples"), F.lit(k).alias("max_news"),
             )
-            for m, (ex, _) in PROMPT_LIMITS.items()
+            for m, (ex, k) in PROMPT_LIMITS.items()
             for c, (n, p) in FACTORS.items()
         ]
     )
-    rows = window_stats(windows).withColumn("_recent", last_values(LOOKBACK))
-    rows = rows.withColumn("_recent_days", last_values(LOOKBACK, "hist_days"))
-    rows = rows.withColumn("_run", F.explode(runs)).select("*", "_run.*").drop("_run")
-    shots = (
-        token_examples(F.col("hist"), F.col("horizon"), F.col("n_examples"))
-        if family == "token"
-        else price_examples(F.col("hist"), F.col("hist_days"), F.col("horizon"))
+    rows = window_stats(windows).withColumns(
+        {"_recent": last_values(LOOKBACK), "_recent_days": last_values(LOOKBACK, "hist_days")}
+    )
+    counts = sorted({ex for ex, _ in PROMPT_LIMITS.values()})
+    # shared by all runs of a window, so made before the runs are expanded
+    rows = rows.withColumns(
+        {
+            "_tokens": encode(F.col("_recent")),
+            "_prices": price_text(F.col("_recent"), F.col("_recent_days")),
+            **{
+                f"_shots_{k}": token_examples(F.col("hist"), F.col("horizon"), k)
+                if family == "token"
+                else price_examples(F.col("hist"), F.col("hist_days"), F.col("horizon"), k)
+                for k in counts
+            },
+        }
     )
+    rows = rows.withColumn("_run", F.explode(runs)).select("*", "_run.*").drop("_run")
+    shots = F.coalesce(*[F.when(F.col("n_examples") == k, F.col(f"_shots_{k}")) for k in counts])
+    news = joined_lines(F.col(lines), style, F.col("max_news"))
     parts = {
         **_common(series),
         "low": _money(F.array_min("_recent")),
         "high": _money(F.array_max("_recent")),
-        "tokens": encode(F.col("_recent")),
-        "prices": price_text(F.col("_recent"), F.col("_recent_days")),
+        "tokens": F.col("_tokens"),
+        "prices": F.col("_prices"),
         "mean": _money(F.col("mean")),
         "deviation": _money(F.col("volatility")),
         "trend": F.col("trend"),
         "examples": F.when(F.col("style") == "few", F.concat(F.lit("\nPast cases:\n"), shots, F.lit("\n"))).otherwise(""),
-        "news": F.when(
-            F.col("use_news"), F.concat(F.lit("\nNews:\n"), F.coalesce(F.col(news), F.lit(NO_NEWS)), F.lit("\n"))
-        ).otherwise(""),
+        "news": F.when(F.col("use_news"), F.concat(F.lit("\nNews:\n"), news, F.lit("\n"))).otherwise(""),
     }
     text = template or (TOKEN_TEMPLATE if family == "token" else NUMBER_TEMPLATE)
     return rows.withColumn("prompt", fill_template(text, parts)).select(

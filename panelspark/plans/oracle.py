@@ -286,6 +286,17 @@ def _order_scores(max_p: int, max_d: int) -> str:
     return ", ".join(ctes) + ", aics AS (" + " UNION ALL ".join(finals) + ")"
 
 
+SQL["arp_forecast"] = f"""WITH RECURSIVE {ORDER_PANEL.removeprefix('WITH ')},
+diffs AS (SELECT series, pos, close, close - lag(close) OVER w AS y FROM panel WHERE pos <= floor(n * 0.8::DOUBLE) WINDOW w AS (PARTITION BY series ORDER BY pos)),
+pairs AS (SELECT *, lag(y) OVER w AS x1, lag(y, 2) OVER w AS x2 FROM diffs WINDOW w AS (PARTITION BY series ORDER BY pos)),
+sums AS (SELECT series, count(*) AS pairs, covar_pop(x1, x1) AS s11, covar_pop(x1, x2) AS s12, covar_pop(x2, x2) AS s22,
+  covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2 FROM pairs WHERE pos > 3 GROUP BY series),
+fits AS (SELECT series, pairs, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS c1,
+  (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS c2, my, m1, m2 FROM sums),
+ends AS (SELECT series, arg_max(close, pos) AS level, arg_max(y, pos) AS y1, arg_max(x1, pos) AS y2 FROM pairs GROUP BY series),
+path AS (SELECT series, pairs, c1, c2, my - c1 * m1 - c2 * m2 AS c0, 0 AS step, level, y1, y2 FROM fits JOIN ends USING (series)
+  UNION ALL SELECT series, pairs, c1, c2, c0, step + 1, level + c0 + c1 * y1 + c2 * y2, c0 + c1 * y1 + c2 * y2, y1 FROM path WHERE step < 10)
+SELECT series, pairs, round(c1, 6) AS c1, round(c2, 6) AS c2, round(c0, 3) AS intercept, step, round(level, 3) AS pred FROM path WHERE step > 0"""
 SQL["order_select"] = f"""{ORDER_PANEL}, {_order_scores(3, 2)}
 SELECT series, p, d, pairs, round(aic, 3) AS aic FROM aics
 QUALIFY row_number() OVER (PARTITION BY series ORDER BY aic, p, d) = 1"""
@@ -565,6 +576,10 @@ found AS (SELECT * FROM (SELECT d.series, d.horizon, d.win, a.article_id, a.publ
   FROM days d JOIN articles a ON a.series = d.series AND a.published_on < d.window_day AND a.published_on >= d.window_day - 7) WHERE rank <= 8)"""
 SQL["news_asof"] = f"""{WINS30}, {ARTICLES}, {FOUND}
 SELECT series, horizon, win AS "window", CAST(rank AS INTEGER) AS rank, article_id, CAST(published_on AS VARCHAR) AS published_on FROM found"""
+SQL["news_leaky"] = f"""{WINS30}, {ARTICLES},
+tops AS (SELECT series, {_TOP.format(by='series')} AS rank, article_id, published_on FROM articles)
+SELECT w.series, w.horizon, w.win AS "window", CAST(t.rank AS INTEGER) AS rank, t.article_id, CAST(t.published_on AS VARCHAR) AS published_on
+FROM wins w JOIN tops t ON t.series = w.series AND t.rank <= 8"""
 SQL["news_lines"] = f"""{WINS30}, {ARTICLES}, {FOUND},
 blocks AS (SELECT series, horizon, win, string_agg(rank || '. [' || CAST(published_on AS VARCHAR) || '] ' || title || chr(10) || '   Source: ' || publisher ||
   CASE WHEN summary <> '' THEN chr(10) || '   Summary: ' || CASE WHEN length(summary) > 200 THEN substring(summary, 1, 197) || '...' ELSE summary END ELSE '' END,

@@ -276,6 +276,16 @@ def ar1_forecast(spark, sf):
     ).select("series", "pairs", "slope", "intercept", (F.col("step") + 1).alias("step"), _r("pred", 3))
 
 
+@query
+def arp_forecast(spark, sf):
+    """Second-order autoregression of first differences."""
+    path = forecast.forecast_ar(_order_panel(spark, sf), 10, p=2, d=1)
+    return path.select(
+        "series", "pairs", F.round(F.col("coefficients")[0], 6).alias("c1"), F.round(F.col("coefficients")[1], 6).alias("c2"),
+        _r("intercept", 3), F.posexplode("pred").alias("step", "pred"),
+    ).select("series", "pairs", "c1", "c2", "intercept", (F.col("step") + 1).alias("step"), _r("pred", 3))
+
+
 @query
 def order_select(spark, sf):
     scores = forecast.order_scores(_order_panel(spark, sf), max_p=3, max_d=2)
@@ -357,8 +367,7 @@ def window_metrics(spark, sf):
 @query
 def param_grid(spark, sf):
     series = t.supplier_bars(spark, sf).groupBy("series").agg(F.count(F.lit(1)).alias("bars"))
-    runs = compare.param_grid(spark, ["any"], HORIZONS, t.STUDY_MODELS[:2], t.STUDY_MODELS[2:]).drop("currency")
-    grid = compare.attach_grid(series, runs)
+    grid = compare.attach_grid(series, HORIZONS, t.STUDY_MODELS[:2], t.STUDY_MODELS[2:])
     marked = compare.with_factors(grid).select(
         *grid.columns, F.col("news").cast("string").alias("news"), "prompt"
     )
@@ -661,6 +670,15 @@ def news_asof(spark, sf):
     return _news_for_windows(spark, sf, ()).select(*WINDOW, "rank", "article_id", _day("published_on"))
 
 
+@query
+def news_leaky(spark, sf):
+    """Every window with the newest articles of its series, future ones included."""
+    news = t.articles(spark, sf).select("series", "article_id", "published_on")
+    return context.articles_before(_windows(spark, sf), news, leaky=True).select(
+        *WINDOW, "rank", "article_id", _day("published_on")
+    )
+
+
 @query
 def news_lines(spark, sf):
     found = _news_for_windows(spark, sf, ("title", "publisher", "summary"))
@@ -685,9 +703,9 @@ def fewshot_examples(spark, sf):
 @query
 def prompt_table(spark, sf):
     windows = _windows(spark, sf, 500)
-    found = _news_for_windows(spark, sf, ("title",))
-    texts = context.news_text(found, windows, style="brief")
-    return prompts.prompts(texts).select(*WINDOW, "model", "config", "prompt")
+    news = t.articles(spark, sf).select("series", "article_id", "published_on", "title")
+    found = context.articles_before(windows, news, k=10)
+    return prompts.prompts(context.news_lines(found, windows, style="brief")).select(*WINDOW, "model", "config", "prompt")
 
 
 @query

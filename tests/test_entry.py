@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from panelspark.operators import prompts
@@ -38,7 +39,10 @@ def test_prompts_have_their_parts(spark, sf):
 
 def test_number_prompts(spark, sf):
     windows = q._windows(spark, sf, 500).filter("horizon = 5 AND window = 3")
-    row = prompts.prompts(windows.withColumn("news_text", windows.series), family="number").filter("config = 'full_model'").first()
+    lines = windows.withColumn("news_lines", F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.format_string("%d. x", i)))
+    rows = {r.model: r for r in prompts.prompts(lines, family="number").filter("config = 'full_model' AND series = '5-LOW'").collect()}
+    assert {m: r.prompt.count(". x") for m, r in rows.items()} == {"llama3-8b": 10, "qwen2.5-7b": 5, "mistral-7b": 3}
+    row = rows["llama3-8b"]
     assert row.prompt.rstrip().endswith('{"predictions": [') and row.prompt.count("Example ") == 3
 
 

@@ -175,6 +175,8 @@ def test_news_text_styles_and_leak(spark):
     assert texts[1] == "No recent news available."
     assert texts[0].split("\n") == ["[1] [2024-01-09] title 8", f"[2] [2024-01-08] title 7 — {'y' * 147}...",
                                     f"[3] [2024-01-07] title 6 — {'y' * 147}..."]
+    leaky = context.articles_before(windows, news, k=3, leaky=True)
+    assert sorted((r.window, r.article_id) for r in leaky.collect()) == [(w, a) for w in (0, 1) for a in (17, 18, 19)]
     brief = {r.window: r.news_text for r in context.news_text(found, windows, style="brief").collect()}
     assert brief[0].startswith("1. [2024-01-09] title 8\n2. ")
 

@@ -199,6 +199,26 @@ def test_order_scores_equal_refits(spark):
     assert best.p in (0, 1, 2)
 
 
+@pytest.mark.parametrize("p, d", [(0, 1), (1, 0), (3, 0), (2, 1), (4, 2)])
+def test_ar_p_equals_least_squares(spark, p, d):
+    df = panel(spark, {"a": 150, "b": 60}, seed=5).cache()
+    for r in forecast.forecast_ar(df, 5, p, d, chunk_rows=40).collect():
+        v = values(df, r.series)
+        v = v[:int(len(v) * 0.8)]
+        y = np.diff(v, n=d)
+        rows = np.arange(p, len(y))
+        x = np.column_stack([np.ones(len(rows))] + [y[rows - i] for i in range(1, p + 1)])
+        beta = np.linalg.lstsq(x, y[rows], rcond=None)[0]
+        assert r.intercept == pytest.approx(beta[0], rel=1e-6, abs=1e-9) and r.coefficients == pytest.approx(list(beta[1:]), rel=1e-6)
+        path = list(y)
+        for _ in range(5):
+            path.append(beta[0] + sum(b * path[-i] for i, b in enumerate(beta[1:], 1)))
+        out = np.array(path[-5:])
+        for k in reversed(range(d)):
+            out = np.diff(v, n=k)[-1] + np.cumsum(out)
+        assert r.pred == pytest.approx(out, rel=1e-6)
+
+
 def test_blocks_cover_the_horizon(spark):
     df = spark.createDataFrame([([1.0, 2.0],)], "hist array<double>")
     out = forecast.in_blocks(
