@@ -30,12 +30,16 @@ def build_session(app: str = "panelspark", master: str | None = None, **conf: st
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when that setting is absent (tests, a laptop) is a fresh local folder made.
+    Only a local session without that setting gets a fresh local folder; on a
+    cluster executors could not share one, so there the setting is required.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
-        current = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelspark-")
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if current is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        current = current or tempfile.mkdtemp(prefix="panelspark-")
         context.setCheckpointDir(current)
     return current
 
