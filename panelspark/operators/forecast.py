@@ -50,8 +50,12 @@ def recurse_line(slope: Column, intercept: Column, last: Column, horizon: Column
     )
 
 
-def with_window_forecasts(df: DataFrame, lookback: int | Column) -> DataFrame:
-    """Explode each window into one row per in-window forecaster (naive, mean, drift, ar1)."""
+def with_window_forecasts(df: DataFrame, lookback: int | Column, digits: int = 6) -> DataFrame:
+    """Explode each window into one row per in-window forecaster (naive, mean, drift, ar1).
+
+    Forecasts are kept to ``digits`` decimals, so one that repeats a price up to the last
+    bits of a sum is no move in any direction.
+    """
     recent = df.withColumn("_r", last_values(lookback))
     x, y = F.slice("_r", 1, F.size("_r") - 1), F.slice("_r", 2, F.size("_r") - 1)
     recent = recent.withColumns({"_mx": mean_of(x), "_my": mean_of(y)})
@@ -74,7 +78,9 @@ def with_window_forecasts(df: DataFrame, lookback: int | Column) -> DataFrame:
             recurse_line(F.col("_b"), F.col("_a"), F.col("last_price"), h).alias("pred"),
         ),
     )
-    return recent.withColumn("_m", F.explode(made)).select(*df.columns, "_m.model", "_m.pred")
+    return recent.withColumn("_m", F.explode(made)).select(
+        *df.columns, "_m.model", F.transform("_m.pred", lambda v: F.round(v, digits)).alias("pred")
+    )
 
 
 # --- autoregressions fitted per series on the training part ----------------------
@@ -355,7 +361,9 @@ def forecast_trees(
     train = panel.filter(is_train())
     columns = [f"lag_{i}" for i in range(1, n_lags + 1)]
     columns += [f"rolling_{s}_{k}" for k in rolling for s in ("mean", "std")]
-    model = fit_trees(lag_features(train, value, series, n_lags, rolling), columns, value, **fit)
+    # written once: scaling, binning and boosting all read the features
+    rows = cut(lag_features(train, value, series, n_lags, rolling).select(*columns, value))
+    model = fit_trees(rows, columns, value, **fit)
 
     need = max(n_lags, *rolling)
     split = F.floor(F.col("n") * F.lit(TRAIN_SHARE))

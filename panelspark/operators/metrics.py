@@ -16,19 +16,22 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def _moves(truth: str, pred: str, before_truth: Column, before_pred: Column) -> Column:
-    """Per step: sign of the true move and of the predicted move."""
-    pairs = F.arrays_zip(
-        F.col(truth).alias("y"), F.col(pred).alias("p"), before_truth.alias("a"), before_pred.alias("b")
-    )
-    return F.transform(
-        pairs, lambda x: F.struct(F.signum(x["y"] - x["a"]).alias("up"), F.signum(x["p"] - x["b"]).alias("said"))
-    )
+def _hits(truth: Column, pred: Column, true_from: Column, pred_from: Column, masked: bool) -> Column:
+    """Per step: 1 if the predicted move has the sign of the true one, else 0; null for steps that do not count."""
+    true_move = F.zip_with(truth, true_from, lambda y, a: F.signum(y - a))
+    pred_move = F.zip_with(pred, pred_from, lambda p, b: F.signum(p - b))
+
+    def hit(up: Column, said: Column) -> Column:
+        same = F.when(up == said, 1.0).otherwise(0.0)
+        return F.when(up != 0, same) if masked else same
 
+    return F.array_compact(F.zip_with(true_move, pred_move, hit))
 
-def _share(moves: Column, counts: Column) -> Column:
-    hits = F.size(F.filter(counts, lambda m: m["up"] == m["said"]))
-    return F.when(F.size(counts) > 0, hits / F.size(counts) * 100)
+
+def _percent(hits: Column) -> Column:
+    # a one-element transform names the array, so it is made once for its sum and its size
+    share = F.transform(F.array(hits), lambda h: F.try_divide(_total(h), F.size(h)) * 100)
+    return F.get(share, F.lit(0))
 
 
 def direction_anchored(truth: str, pred: str, last: str) -> Column:
@@ -37,8 +40,7 @@ def direction_anchored(truth: str, pred: str, last: str) -> Column:
     Steps without an actual move do not count; null when none is left.
     """
     before = F.concat(F.array(F.col(last)), F.slice(truth, 1, F.size(truth) - 1))
-    moves = _moves(truth, pred, before, before)
-    return _share(moves, F.filter(moves, lambda m: m["up"] != 0))
+    return _percent(_hits(F.col(truth), F.col(pred), before, before, True))
 
 
 def direction_of_steps(truth: str, pred: str, masked: bool = True) -> Column:
@@ -53,14 +55,7 @@ def direction_of_steps(truth: str, pred: str, masked: bool = True) -> Column:
     def after(c: str) -> Column:
         return F.slice(c, 2, F.size(c) - 1)
 
-    pairs = F.arrays_zip(
-        after(truth).alias("y"), before(truth).alias("a"), after(pred).alias("p"), before(pred).alias("b")
-    )
-    moves = F.transform(
-        pairs, lambda x: F.struct(F.signum(x["y"] - x["a"]).alias("up"), F.signum(x["p"] - x["b"]).alias("said"))
-    )
-    counts = F.filter(moves, lambda m: m["up"] != 0) if masked else moves
-    return F.when(F.size(truth) > 1, _share(moves, counts))
+    return F.when(F.size(truth) > 1, _percent(_hits(after(truth), after(pred), before(truth), before(pred), masked)))
 
 
 def split_valid(df: DataFrame, truth: str = "truth", pred: str = "pred") -> tuple[DataFrame, DataFrame]:
@@ -81,14 +76,13 @@ def score_windows(
 
     ``parity`` stores an undefined direction score as 0.0 instead of null.
     """
-    nonzero = F.filter(F.zip_with(truth, pred, lambda y, p: F.struct(y.alias("y"), p.alias("p"))), lambda x: x["y"] != 0)
     scored = df.select(
         "*",
         F.size(truth).alias("steps"),
         _total(F.zip_with(truth, pred, lambda y, p: (y - p) * (y - p))).alias("sse"),
         _total(F.zip_with(truth, pred, lambda y, p: F.abs(y - p))).alias("sae"),
-        _total(F.transform(nonzero, lambda x: F.abs((x["y"] - x["p"]) / x["y"]))).alias("sape"),
-        F.size(nonzero).alias("steps_nonzero"),
+        _total(F.zip_with(truth, pred, lambda y, p: F.coalesce(F.try_divide(F.abs(y - p), F.abs(y)), F.lit(0.0)))).alias("sape"),
+        F.size(F.filter(truth, lambda y: y != 0)).alias("steps_nonzero"),
         direction_anchored(truth, pred, last).alias("window_da"),
     ).withColumn("window_rmse", F.sqrt(F.col("sse") / F.col("steps")))
     return scored.withColumn("window_da", F.coalesce("window_da", F.lit(0.0))) if parity else scored
@@ -124,6 +118,7 @@ def flat_prediction(pred: str = "pred", truth: str = "truth") -> Column:
 
     def deviation(c: str) -> Column:
         mean = _total(F.col(c)) / F.size(c)
-        return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(c))
+        spread = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(c))
+        return F.when(F.array_min(c) == F.array_max(c), F.lit(0.0)).otherwise(spread)
 
     return deviation(pred) < deviation(truth) * 0.001

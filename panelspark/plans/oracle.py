@@ -84,10 +84,11 @@ def _forecasts(keys: str, hist: str = "hist", truth: str = "truth") -> str:
   CASE WHEN var_pop(prev) > 0 THEN regr_intercept(close, prev) ELSE arg_max(close, pos) END AS a
   FROM {hist} GROUP BY {keys}),
 steps AS (SELECT t.*, f.m, f.last, f.first, f.k, f.a, f.b FROM {truth} t JOIN feat f USING ({keys})),
-preds AS (SELECT *, unnest(['naive', 'mean', 'drift', 'ar1']) AS model,
+made AS (SELECT *, unnest(['naive', 'mean', 'drift', 'ar1']) AS model,
   unnest([last, m, last + (last - first) / greatest(1, k - 1) * step,
-          pow(b, step) * last + a * list_sum([pow(b, j) for j in range(0, step)])]) AS p
+          pow(b, step) * last + a * list_sum([pow(b, j) for j in range(0, step)])]) AS raw
   FROM steps),
+preds AS (SELECT *, round(raw, 6) AS p FROM made),
 moved AS (SELECT *, sign(y - before) AS up, sign(p - before) AS said,
   sign(y - y_before) AS up_step, sign(p - p_before) AS said_step FROM (
   SELECT *, coalesce(lag(y) OVER w, last) AS before, lag(y) OVER w AS y_before, lag(p) OVER w AS p_before
