@@ -84,17 +84,20 @@ def coherence(
     return F.when(F.length(text) < 10, F.lit(0.0)).otherwise(F.round(length + links + domain, 3))
 
 
-def grounding(lowered: Column, refs: Column, titles: Column) -> Column:
+def title_heads(titles: Column) -> Column:
+    """First four words of each title, lower case.  Make them once per list of articles."""
+    return F.transform(titles, lambda t: F.slice(words(F.lower(t)), 1, 4))
+
+
+def grounding(lowered: Column, refs: Column, heads: Column) -> Column:
     """Share of articles an explanation refers to.
 
     With references: valid numbers over all articles.  Without: articles of whose
-    title one of the first four words occurs in the text.
+    title one of the first four words (``heads``) occurs in the text.
     """
-    total = F.size(titles)
+    total = F.size(heads)
     valid = F.size(F.filter(refs, lambda r: (r >= 1) & (r <= total)))
-    named = F.filter(
-        titles, lambda t: F.exists(F.slice(words(F.lower(t)), 1, 4), lambda w: F.contains(lowered, w))
-    )
+    named = F.filter(heads, lambda ws: F.exists(ws, lambda w: F.contains(lowered, w)))
     return F.when((total > 0) & (F.size(refs) > 0), valid / total).otherwise(
         F.size(named) / F.greatest(total, F.lit(1))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.extract import with_numbers
-from panelspark.functions.text import coherence, factor_types, grounding, word_count
+from panelspark.functions.text import coherence, factor_types, grounding, title_heads, word_count
 from panelspark.functions.tokens import has_tokens
 from panelspark.operators.metrics import direction_of_steps
 from panelspark.params import CONNECTORS, FACTOR_TERMS
@@ -19,10 +19,14 @@ def with_explanation_scores(
     text: str = "explanation_text",
     refs: str | None = "news_refs",
     titles: str | None = "titles",
+    heads: str | None = None,
     terms: Mapping[str, Sequence[str]] = FACTOR_TERMS,
     connectors: Sequence[str] = CONNECTORS,
 ) -> DataFrame:
-    """Word count, factor categories, coherence and, with titles, grounding per response."""
+    """Word count, factor categories, coherence and, with titles, grounding per response.
+
+    ``heads`` names a column of title heads made beforehand, instead of ``titles``.
+    """
     low = df.withColumn("_low", F.lower(text))
     scored = low.withColumns(
         {
@@ -31,9 +35,9 @@ def with_explanation_scores(
             "coherence_score": coherence(F.col(text), F.col("_low"), terms, connectors),
         }
     ).withColumn("n_factors_cited", F.size("factor_types"))
-    if titles:
+    if titles or heads:
         cited = F.col(refs) if refs else F.array().cast("array<int>")
-        scored = scored.withColumn("news_grounding_rate", grounding(F.col("_low"), cited, F.col(titles)))
+        scored = scored.withColumn("news_grounding_rate", grounding(F.col("_low"), cited, F.col(heads) if heads else title_heads(F.col(titles))))
     return scored.drop("_low")
 
 

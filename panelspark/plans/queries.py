@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.extract import in_scale, with_numbers
-from panelspark.functions.text import base_of, label, p_text, quote_of, words
+from panelspark.functions.text import base_of, label, p_text, quote_of, title_heads
 from panelspark.functions.tokens import decode, encode, encode_future, has_tokens
 from panelspark.operators import calendar, compare, context, explain, features, forecast, metrics, prompts, significance
 from panelspark.operators import windows as win
@@ -761,11 +761,11 @@ def coherence(spark, sf):
 def grounding(spark, sf):
     """Each document against the ten newest titles of its series; 5 x 10 short titles are the small side."""
     news = t.articles(spark, sf)
-    head = F.array_join(F.slice(words(F.col("title")), 1, 4), " ")
-    newest = context.latest_articles(news.select("series", "article_id", "published_on", head.alias("title")), 10)
-    titles = newest.groupBy("series").agg(F.array_sort(F.collect_list("title")).alias("titles"))
-    docs = news.select("article_id", "series", "summary").join(checked_broadcast(titles), "series")
-    scored = explain.with_explanation_scores(docs, "summary", refs=None)
+    newest = context.latest_articles(news.select("series", "article_id", "published_on", "title"), 10)
+    titles = newest.groupBy("series").agg(F.collect_list("title").alias("titles"))
+    heads = checked_broadcast(titles.select("series", title_heads(F.col("titles")).alias("heads")))
+    docs = news.select("article_id", "series", "summary").join(heads, "series")
+    scored = explain.with_explanation_scores(docs, "summary", refs=None, titles=None, heads="heads")
     return scored.select(F.col("article_id").alias("doc_id"), _r("news_grounding_rate", 6))
 
 
