@@ -1,12 +1,10 @@
-"""Fixed values and parameter tables.
+"""Fixed values and parameters.
 
 Values in this file must equal published ones for results to be comparable.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 # --- fixed values: study layout -------------------------------------------------
 HORIZONS = (1, 5, 10)
 LOOKBACK = 30
@@ -85,14 +83,3 @@ CONNECTORS = (
     "because", "due to", "driven by", "as a result", "following", "amid", "despite",
     "given", "reflecting", "supported by", "weighed by",
 )
-
-
-# --- parameter tables (sizes fixed by the code above, never by data) -----------------
-def factor_table(spark: SparkSession) -> DataFrame:
-    rows = [(c, news, prompt, i) for i, (c, (news, prompt)) in enumerate(FACTORS.items())]
-    return spark.createDataFrame(rows, "config string, news boolean, prompt string, config_ord int")
-
-
-def prompt_limit_table(spark: SparkSession) -> DataFrame:
-    rows = [(m, ex, news) for m, (ex, news) in PROMPT_LIMITS.items()]
-    return spark.createDataFrame(rows, "model string, n_examples int, max_news int")

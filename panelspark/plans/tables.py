@@ -11,7 +11,7 @@ from panelspark.operators.calendar import fill_days
 from panelspark.operators.forecast import with_window_forecasts
 from panelspark.operators.metrics import score_windows, summarise
 from panelspark.operators.windows import origin_windows
-from panelspark.params import CONFIGS, HORIZONS, N_WINDOWS, STEP
+from panelspark.params import CONFIGS
 
 # Stand-ins for the two factors: calendar or trading-day fill x lookback.
 STUDY = {
