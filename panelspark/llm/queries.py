@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import decontaminate as leak
-from panelspark.llm import lines, mixing, neardup
+from panelspark.llm import language, lines, mixing, neardup, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_table(_table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -28,15 +32,24 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.train(docs, ~language.is_held_out())
+    out = language.identify(docs, model)
+    return out.select("doc_id", language.is_held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.md5("kept_text").alias("kept_md5"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bit_planes": op2_bit_planes,
     "op3_near_duplicates": op3_near_duplicates,
     "op6_mix": op6_mix,
     "op7_decontaminate": op7_decontaminate,
+    "op9_language": op9_language,
     "op10_line_windows": op10_line_windows,
 }
 
