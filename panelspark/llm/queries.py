@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import decontaminate as leak
-from panelspark.llm import language, lines, mixing, neardup, tokens
+from panelspark.llm import language, lines, mixing, neardup, suffixes, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -47,6 +51,7 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bit_planes": op2_bit_planes,
     "op3_near_duplicates": op3_near_duplicates,
+    "op5_suffix_columns": op5_suffix_columns,
     "op6_mix": op6_mix,
     "op7_decontaminate": op7_decontaminate,
     "op9_language": op9_language,
