@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import decontaminate as leak
-from panelspark.llm import language, lines, mixing, neardup, suffixes, tokens
+from panelspark.llm import language, lines, mixing, neardup, neighbours, suffixes, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.train(docs, ~language.is_held_out())
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_columns": op5_suffix_columns,
     "op6_mix": op6_mix,
     "op7_decontaminate": op7_decontaminate,
+    "op8_kmeans_tree": op8_kmeans_tree,
     "op9_language": op9_language,
     "op10_line_windows": op10_line_windows,
 }
