@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import decontaminate as leak
-from panelspark.llm import language, lines, mixing, neardup, neighbours, suffixes, tokens
+from panelspark.llm import cotrain, language, lines, mixing, neardup, neighbours, personal, suffixes, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(_table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return personal.find_personal(docs, personal.train(docs))
+
+
 def op5_suffix_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -53,8 +62,10 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cotraining": op1_cotraining,
     "op2_bit_planes": op2_bit_planes,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_personal_data": op4_personal_data,
     "op5_suffix_columns": op5_suffix_columns,
     "op6_mix": op6_mix,
     "op7_decontaminate": op7_decontaminate,
