@@ -35,7 +35,7 @@ ROUNDS = 4
 SURE = 150
 LEVEL = 0.95
 REFUSE = 0.002
-BUCKETS = 1 << 12
+BUCKETS = 1 << 10
 META = 128
 
 # byte classes: other, lower, upper, digit, space, line feed, sentence mark, symbol, beyond ASCII
@@ -87,14 +87,14 @@ def _name(value: str | None) -> int:
     return 0 if value is None else 1 + sum((i + 1) * b * 2654435761 for i, b in enumerate(value.encode("utf-8", "surrogatepass"))) % 1_000_003
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 250) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 150) -> np.ndarray:
     """Weights (bias last) by full gradient steps with per-weight rates; classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, seen = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
     share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ ((p - y) * share) + l2 * w
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype), -30, 30)))
+        grad = x.T @ ((p - y) * share).astype(x.dtype) + l2 * w
         seen += grad**2
         w -= 0.3 * grad / np.sqrt(seen)
     return w
