@@ -42,7 +42,7 @@ def quality_report(df: DataFrame, series: str = "series", day: str = "day") -> D
     )
 
 
-def missing_days(df: DataFrame, series: str = "series", day: str = "day", first: int | None = 10) -> DataFrame:
+def missing_days(df: DataFrame, series: str = "series", day: str = "day", first: int | None = None) -> DataFrame:
     """Trading days without a row, numbered per series; all of them when ``first`` is None.
 
     After the distinct a series has at most one row per calendar day, which bounds

@@ -17,13 +17,13 @@ from panelspark.operators.layout import CHUNK_ROWS, framed, unframed
 from panelspark.params import N_LAGS, ROLLING, TRAIN_SHARE
 
 
-def _rolling(k: int) -> tuple[Column, Column]:
-    """Mean and sample deviation of ``_b1.._bk``, null if one of them is missing.
+def _rolling(names: Sequence[str], k: int) -> tuple[Column, Column]:
+    """Mean and sample deviation of the first k of ``names``, null if one of them is missing.
 
     Plain arithmetic on lag columns stays in generated code; sliding window frames
     would add up all k rows again for every row.
     """
-    values = [F.col(f"_b{i}") for i in range(1, k + 1)]
+    values = [F.col(x) for x in names[:k]]
     mean = F.col(f"rolling_mean_{k}")
     square = reduce(add, [(v - mean) * (v - mean) for v in values])
     return reduce(add, values) / k, F.sqrt(square / (k - 1))
@@ -41,17 +41,16 @@ def lag_features(
     """Lags 1..n and mean / sample deviation of the k rows before; incomplete rows dropped."""
     reach = max([n_lags, *rolling])
     rows, w = framed(df, series, back=reach, chunk_rows=chunk_rows)
-    out = unframed(
-        rows.select("*", *[F.lag(value, i).over(w).alias(f"_b{i}") for i in range(1, reach + 1)]),
-        chunk_rows=chunk_rows,
-    )
+    # named once: renaming 30 null-checked columns doubles the optimiser's constraints 30 times
+    names = [f"lag_{i}" if i <= n_lags else f"_b{i}" for i in range(1, reach + 1)]
+    lags = [F.lag(value, i).over(w).alias(x) for i, x in enumerate(names, 1)]
+    out = unframed(rows.select("*", *lags), chunk_rows=chunk_rows)
     if complete:  # the longest reach is there only if all shorter ones are
-        out = out.na.drop(subset=[value, *[f"_b{i}" for i in range(1, reach + 1)]])
-    made = {k: _rolling(k) for k in rolling}
+        out = out.na.drop(subset=[value, *names])
+    made = {k: _rolling(names, k) for k in rolling}
     out = out.withColumns({f"rolling_mean_{k}": m for k, (m, _) in made.items()})
-    names = [f"rolling_{s}_{k}" for k in rolling for s in ("mean", "std")]
     out = out.withColumns({f"rolling_std_{k}": s for k, (_, s) in made.items()})
-    return out.select(*df.columns, *[F.col(f"_b{i}").alias(f"lag_{i}") for i in range(1, n_lags + 1)], *names)
+    return out.select(*df.columns, *names[:n_lags], *[f"rolling_{s}_{k}" for k in rolling for s in ("mean", "std")])
 
 
 def differences(

@@ -1,4 +1,4 @@
-"""Forecast accuracy.
+"""Accuracy of predictions.
 
 Windows hold truth and prediction as short arrays, so a window is scored without
 leaving its row; tables of windows then aggregate sums, which combine map-side.

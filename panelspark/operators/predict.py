@@ -1,7 +1,7 @@
-"""Simple per-series forecasters as panel jobs.
+"""Simple per-series predictors as panel jobs.
 
 Fits are aggregates over lagged pairs (map-side sums), so a series is never
-gathered for its fit; forecasts are short array recursions inside a row.
+gathered for its fit; predictions are short array recursions inside a row.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,9 @@ from panelspark.operators.windows import last_values, mean_of, sample_deviation
 from panelspark.params import TRAIN_SHARE
 from panelspark.session import cut
 
-# --- forecasts from the window itself -------------------------------------------
+ROWS_PER_PART = 25_000  # of tree training; small parts only add jobs' overhead
+
+# --- predictions from the window itself -------------------------------------------
 
 
 def naive(last: Column, horizon: Column) -> Column:
@@ -50,11 +53,11 @@ def recurse_line(slope: Column, intercept: Column, last: Column, horizon: Column
     )
 
 
-def with_window_forecasts(df: DataFrame, lookback: int | Column, digits: int = 6) -> DataFrame:
-    """Explode each window into one row per in-window forecaster (naive, mean, drift, ar1).
+def with_window_predictions(df: DataFrame, lookback: int | Column, digits: int | None = None) -> DataFrame:
+    """Explode each window into one row per in-window predictor (naive, mean, drift, ar1).
 
-    Forecasts are kept to ``digits`` decimals, so one that repeats a price up to the last
-    bits of a sum is no move in any direction.
+    With ``digits`` predictions are kept to as many decimals, so one that repeats a price up
+    to the last bits of a sum is no move in any direction; right for panels of large prices only.
     """
     recent = df.withColumn("_r", last_values(lookback))
     x, y = F.slice("_r", 1, F.size("_r") - 1), F.slice("_r", 2, F.size("_r") - 1)
@@ -78,9 +81,8 @@ def with_window_forecasts(df: DataFrame, lookback: int | Column, digits: int = 6
             recurse_line(F.col("_b"), F.col("_a"), F.col("last_price"), h).alias("pred"),
         ),
     )
-    return recent.withColumn("_m", F.explode(made)).select(
-        *df.columns, "_m.model", F.transform("_m.pred", lambda v: F.round(v, digits)).alias("pred")
-    )
+    pred = F.col("_m.pred") if digits is None else F.transform("_m.pred", lambda v: F.round(v, digits))
+    return recent.withColumn("_m", F.explode(made)).select(*df.columns, "_m.model", pred.alias("pred"))
 
 
 # --- autoregressions fitted per series on the training part ----------------------
@@ -114,7 +116,7 @@ def fit_ar1(
     )
 
 
-def forecast_ar1(
+def predict_ar1(
     df: DataFrame, horizon: int, value: str = "close", series: Sequence[str] = ("series",), d: int = 1
 ) -> DataFrame:
     """Path of ``horizon`` steps from the end of the training part (d = 0 or 1)."""
@@ -189,7 +191,7 @@ def fit_ar(
     )
 
 
-def forecast_ar(
+def predict_ar(
     df: DataFrame,
     horizon: int,
     p: int,
@@ -338,13 +340,13 @@ def fit_trees(
         MinMaxScaler(inputCol="_v", outputCol="_x"),
         GBTRegressor(
             featuresCol="_x", labelCol=value, predictionCol="prediction",
-            maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed,
+            maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, maxMemoryInMB=512, cacheNodeIds=True,
         ),
     ]
     return Pipeline(stages=stages).fit(features.select(*columns, value))
 
 
-def forecast_trees(
+def predict_trees(
     panel: DataFrame,
     horizon: int,
     value: str = "close",
@@ -361,9 +363,11 @@ def forecast_trees(
     train = panel.filter(is_train())
     columns = [f"lag_{i}" for i in range(1, n_lags + 1)]
     columns += [f"rolling_{s}_{k}" for k in rolling for s in ("mean", "std")]
-    # written once: scaling, binning and boosting all read the features
-    rows = cut(lag_features(train, value, series, n_lags, rolling).select(*columns, value))
-    model = fit_trees(rows, columns, value, **fit)
+    # kept while scaling, binning and boosting read them; a lost part is made again from its lineage
+    rows = lag_features(train, value, series, n_lags, rolling).select(*columns, value).persist(StorageLevel.DISK_ONLY)
+    parts = max(1, -(-rows.count() // ROWS_PER_PART))
+    model = fit_trees(rows.coalesce(parts), columns, value, **fit)
+    rows.unpersist()
 
     need = max(n_lags, *rolling)
     split = F.floor(F.col("n") * F.lit(TRAIN_SHARE))

@@ -18,7 +18,7 @@ from panelspark.operators.context import NO_NEWS, joined_lines, price_examples,
 from panelspark.operators.windows import last_values, window_stats
 from panelspark.params import FACTORS, LOOKBACK, PROMPT_LIMITS
 
-TOKEN_TEMPLATE = """Forecast the {base}/{quote} rate. Values are written as ###value### tokens: scaled to
+TOKEN_TEMPLATE = """Predict the {base}/{quote} rate. Values are written as ###value### tokens: scaled to
 [-0.5, 0.5] with the minimum {low} and maximum {high} of the window, snapped to 10,000 bins on [-1, 1].
 Current value: {current}
 {examples}{news}
@@ -30,7 +30,7 @@ Answer with exactly {horizon} different token(s), separated by spaces.
 ### Response:
 """
 
-NUMBER_TEMPLATE = """Forecast the {base}/{quote} rate for the next {horizon} days.
+NUMBER_TEMPLATE = """Predict the {base}/{quote} rate for the next {horizon} days.
 {examples}{news}
 History, last {lookback} days:
 {prices}
@@ -40,7 +40,7 @@ Keep the scale of the history (around {current}). Answer with one JSON object ho
 exactly {horizon} numbers and nothing else:
 {"predictions": ["""
 
-EXPLAIN_TEMPLATE = """Forecast the {base}/{quote} rate for the next {horizon} days and explain the forecast.
+EXPLAIN_TEMPLATE = """Predict the {base}/{quote} rate for the next {horizon} days and explain the prediction.
 News, numbered:
 {news}
 
@@ -140,7 +140,7 @@ def prompts(
 def explain_prompts(
     windows: DataFrame, series: str = "series", news: str = "news_text", template: str = EXPLAIN_TEMPLATE
 ) -> DataFrame:
-    """Prompt asking for a forecast with a structured explanation, one per window."""
+    """Prompt asking for a prediction with a structured explanation, one per window."""
     recent, days = last_values(LOOKBACK), last_values(LOOKBACK, "hist_days")
     path = F.transform(
         F.sequence(F.lit(1), F.col("horizon")),

@@ -1,4 +1,4 @@
-"""Paired tests and forecast-comparison tests as grouped aggregates.
+"""Paired tests and prediction-comparison tests as grouped aggregates.
 
 Differences are rows; a test is a group.  A test may own most of the rows, so ranks
 are built from value ranges: rows meet only inside a range, and ranges of a test are

@@ -77,7 +77,7 @@ truth AS (SELECT w.series, w.horizon, w.win, p.pos - w.window_end AS step, p.clo
 WINS30 = f"{WINS}, {HIST.format(ctx=30)}"
 
 
-def _forecasts(keys: str, hist: str = "hist", truth: str = "truth") -> str:
+def _predictions(keys: str, hist: str = "hist", truth: str = "truth") -> str:
     """feat, then preds with one row per step and model; ``hist`` is cut to the lookback."""
     return f"""feat AS (SELECT {keys}, avg(close) AS m, arg_max(close, pos) AS last, arg_min(close, pos) AS first, count(*) AS k,
   CASE WHEN var_pop(prev) > 0 THEN regr_slope(close, prev) ELSE 0.0 END AS b,
@@ -104,7 +104,7 @@ scored AS (SELECT {keys}, model, count(*) AS steps, sum((y - p) * (y - p)) AS ss
 
 
 WKEYS = "series, horizon, win"
-MADE = f"{WINS30}, {_forecasts(WKEYS)}"
+MADE = f"{WINS30}, {_predictions(WKEYS)}"
 
 # --- study: both fill policies, two lookbacks ----------------------------------------------
 
@@ -121,7 +121,7 @@ hist AS (SELECT w.series, w.horizon, w.win, s.config, s.c, p.pos, p.close,
 truth AS (SELECT w.series, w.horizon, w.win, s.config, s.c, p.pos - w.window_end AS step, p.close AS y
   FROM wins w JOIN setups s USING (policy)
   JOIN panel p ON p.series = w.series AND p.policy = w.policy AND p.pos > w.window_end AND p.pos <= w.window_end + w.horizon),
-{_forecasts('series, horizon, win, config, c')},
+{_predictions('series, horizon, win, config, c')},
 kept AS (SELECT *, CASE WHEN model IN ('naive', 'mean') THEN 'baseline' ELSE 'llm' END AS type,
   list_position(['naive', 'mean', 'drift', 'ar1'], model) * 10 - 10 + c AS ord
   FROM scored WHERE model NOT IN ('naive', 'mean') OR config = 'baseline_llm'),
@@ -155,8 +155,8 @@ SQL["missing_days"] = f"""WITH {SUPPLIERS}, days AS (
   FROM bars GROUP BY series)
 SELECT series, CAST(rank AS INTEGER) AS rank, CAST(day AS VARCHAR) AS missing_day FROM (
   SELECT d.series, d.day, row_number() OVER (PARTITION BY d.series ORDER BY d.day) AS rank
-  FROM days d ANTI JOIN bars b ON b.series = d.series AND b.day = d.day WHERE isodow(d.day) <= 5)
-WHERE rank <= 10"""
+  FROM days d ANTI JOIN bars b ON b.series = d.series AND b.day = d.day WHERE isodow(d.day) <= 5)"""
+SQL["missing_days_first10"] = SQL["missing_days"] + " WHERE rank <= 10"
 SQL["fill_calendar"] = f"""WITH {ORDERS}, {_fill(cols=('open', 'high', 'low', 'close', 'volume'))}
 SELECT series, CAST(day AS VARCHAR) AS day, open, high, low, close, volume, is_filled, pos, n FROM panel"""
 SQL["fill_trading"] = f"""WITH {ORDERS.replace('bars AS', 'all_bars AS')},
@@ -241,9 +241,9 @@ SELECT series, horizon, win AS "window", arg_max(close, pos) AS current, round(a
   round(stddev_pop(close - prev), 3) AS daily_vol
 FROM hist GROUP BY series, horizon, win"""
 
-# --- forecasts ---------------------------------------------------------------------------------
+# --- predictions ---------------------------------------------------------------------------------
 
-SQL["ar1_forecast"] = f"""{SUPPLIER_PANEL},
+SQL["ar1_prediction"] = f"""{SUPPLIER_PANEL},
 diffs AS (SELECT *, close - lag(close) OVER w AS y FROM panel WHERE pos <= floor(n * 0.8::DOUBLE) WINDOW w AS (PARTITION BY series ORDER BY pos)),
 pairs AS (SELECT *, lag(y) OVER (PARTITION BY series ORDER BY pos) AS x FROM diffs),
 fits AS (SELECT series, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, count(*) AS pairs FROM pairs WHERE pos > 2 GROUP BY series),
@@ -287,7 +287,7 @@ def _order_scores(max_p: int, max_d: int) -> str:
     return ", ".join(ctes) + ", aics AS (" + " UNION ALL ".join(finals) + ")"
 
 
-SQL["arp_forecast"] = f"""WITH RECURSIVE {ORDER_PANEL.removeprefix('WITH ')},
+SQL["arp_prediction"] = f"""WITH RECURSIVE {ORDER_PANEL.removeprefix('WITH ')},
 diffs AS (SELECT series, pos, close, close - lag(close) OVER w AS y FROM panel WHERE pos <= floor(n * 0.8::DOUBLE) WINDOW w AS (PARTITION BY series ORDER BY pos)),
 pairs AS (SELECT *, lag(y) OVER w AS x1, lag(y, 2) OVER w AS x2 FROM diffs WINDOW w AS (PARTITION BY series ORDER BY pos)),
 sums AS (SELECT series, count(*) AS pairs, covar_pop(x1, x1) AS s11, covar_pop(x1, x2) AS s12, covar_pop(x2, x2) AS s22,
@@ -308,14 +308,21 @@ ends AS (SELECT series, arg_max(close, pos) AS last_price FROM train GROUP BY se
 SELECT series, CAST(step AS INTEGER) AS step, last_price, round(regr_slope(y, x), 6) AS slope,
   round(regr_intercept(y, x) + regr_slope(y, x) * last_price, 3) AS pred
 FROM pairs JOIN ends USING (series) GROUP BY series, step, last_price"""
-SQL["naive_forecast"] = f"""{MADE}
+SQL["gbt_prediction"] = f"""{ORDER_PANEL}, train AS (SELECT * FROM panel WHERE pos <= floor(n * 0.8::DOUBLE)),
+lags AS (SELECT series, pos, lag(close, 30) OVER w AS lag_30, avg(close) OVER (w ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS mean_14
+  FROM train WINDOW w AS (PARTITION BY series ORDER BY pos)),
+sums AS (SELECT series, count(*) AS train_rows, round(sum(lag_30), 2) AS lag_30_sum, round(sum(mean_14), 2) AS mean_14_sum
+  FROM lags WHERE pos > 30 GROUP BY series)
+SELECT series, CAST(step AS INTEGER) AS step, train_rows, lag_30_sum, mean_14_sum, true AS in_range
+FROM sums, (SELECT unnest(range(1, 6)) AS step)"""
+SQL["naive_prediction"] = f"""{MADE}
 SELECT series, horizon, win AS "window", model, CAST(step AS INTEGER) AS step, round(p, 3) AS pred FROM preds"""
 
 # --- accuracy ----------------------------------------------------------------------------------
 
 _MICRO = """round(sqrt(sum(sse) / sum(steps)), 4) AS rmse, round(sum(sae) / sum(steps), 4) AS mae,
   coalesce(round(sum(sape) / nullif(sum(steps_nonzero), 0) * 100, 4), 'Infinity'::DOUBLE) AS mape"""
-SQL["metrics_micro"] = f"""{SUPPLIER_PANEL}, {_origins()}, {HIST.format(ctx=30)}, {_forecasts(WKEYS)}
+SQL["metrics_micro"] = f"""{SUPPLIER_PANEL}, {_origins()}, {HIST.format(ctx=30)}, {_predictions(WKEYS)}
 SELECT series, horizon, model, {_MICRO}, count(*) AS n_windows FROM scored GROUP BY series, horizon, model"""
 SQL["metrics_rows"] = f"""{MADE}
 SELECT series, horizon, model, {_MICRO}, CAST(sum(steps) AS BIGINT) AS steps FROM scored GROUP BY series, horizon, model"""
@@ -646,38 +653,71 @@ _FACTORS_SQL = ", ".join(
 )
 _COUNT = " + ".join(f"CAST({_has(k)} AS INTEGER)" for terms in FACTOR_TERMS.values() for k in terms)
 _LINKS = " + ".join(f"CAST({_has(k)} AS INTEGER)" for k in CONNECTORS)
-DOCS = f"""docs AS (SELECT doc_id, lang, text, lower(text) AS low FROM documents),
-marked AS (SELECT doc_id, lang, {_words('text')} AS words, list_filter([{_FACTORS_SQL}], lambda x: x IS NOT NULL) AS factors,
+_MARKED = f"""marked AS (SELECT *, {_words('text')} AS words, list_filter([{_FACTORS_SQL}], lambda x: x IS NOT NULL) AS factors,
   CASE WHEN length(text) < 10 THEN 0.0 ELSE round(least(0.3::DOUBLE, {_words('text')} / 50 * 0.3::DOUBLE)
     + least(0.4::DOUBLE, ({_LINKS}) * 0.1::DOUBLE) + least(0.3::DOUBLE, ({_COUNT}) * 0.05::DOUBLE), 3) END AS score FROM docs)"""
+DOCS = f"docs AS (SELECT doc_id, lang, text, lower(text) AS low FROM documents), {_MARKED}"
 SQL["text_words"] = f"""SELECT 'document' AS kind, doc_id AS id, CAST({_words('text')} AS BIGINT) AS explanation_len FROM documents
 UNION ALL SELECT 'conversation', CAST(conv_id AS BIGINT), CAST(sum({_words('text')}) AS BIGINT) FROM conversations GROUP BY conv_id"""
 SQL["factor_terms"] = f"""WITH {DOCS}
 SELECT doc_id, CAST(len(factors) AS INTEGER) AS n_factors_cited, coalesce(array_to_string(factors, ','), '') AS factor_types FROM marked"""
 SQL["coherence"] = f"WITH {DOCS} SELECT doc_id, score AS coherence_score FROM marked"
-SQL["grounding"] = f"""WITH {ARTICLES},
-tops AS (SELECT series, regexp_extract_all(lower(title), '[^{_SP}]+')[1:4] AS heads FROM (SELECT *, {_TOP.format(by='series')} AS rank FROM articles) WHERE rank <= 10),
-texts AS (SELECT article_id, series, lower(summary) AS low FROM articles)
-SELECT d.article_id AS doc_id, round(count(*) FILTER (len(list_filter(t.heads, lambda h: contains(d.low, h))) > 0) / greatest(count(*), 1), 6) AS news_grounding_rate
-FROM texts d JOIN tops t USING (series) GROUP BY d.article_id"""
-
-
-def _cases(text: str) -> str:
+_ESCAPED = "replace(replace(replace(replace(replace({x}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), chr(13), chr(92) || 'r')"
+# what each shape of response must yield; only the whole texts of the broken shapes are built again
+EXPLAINED = f"""{WINS30}, {ARTICLES}, {FOUND},
+offered AS (SELECT series, win, count(*) AS offered, list(list_slice(regexp_extract_all(lower(title), '[^{_SP}]+'), 1, 4) ORDER BY rank) AS heads
+  FROM found WHERE horizon = 5 GROUP BY series, win),
+truths AS (SELECT series, win, string_agg(printf('%.2f', y + step * 1.25), ', ' ORDER BY step) AS vals, count(*) AS steps,
+  round(sum(round(y + step * 1.25, 2)), 2) AS vals_sum, avg(abs(round(y + step * 1.25, 2) - y)) AS err,
+  100.0 * avg(CASE WHEN up IS NOT NULL THEN CAST(up = said AS INTEGER) END) AS da
+  FROM (SELECT *, sign(y - lag(y) OVER w) AS up, sign(round(y + step * 1.25, 2) - lag(round(y + step * 1.25, 2)) OVER w) AS said
+    FROM truth WHERE horizon = 5 WINDOW w AS (PARTITION BY series, win ORDER BY step)) GROUP BY series, win),
+asked AS (SELECT a.*, CAST(article_id // 5 % 6 AS INTEGER) AS shape, t.vals, t.vals_sum, t.steps, t.err, t.da,
+  coalesce(o.offered, 0) AS offered, coalesce(o.heads, []) AS heads, {_ESCAPED.format(x='summary')} AS body, {_ESCAPED.format(x='publisher')} AS factor
+  FROM articles a JOIN truths t ON t.series = a.series AND t.win = a.article_id // 5 % 30
+  LEFT JOIN offered o ON o.series = t.series AND o.win = t.win),
+texts AS (SELECT *, CASE shape WHEN 0 THEN summary || ' ' || publisher || ' war'
+  WHEN 1 THEN '{{"predictions": [' || vals || '], "explanation": "' || body || '"}}'
+  WHEN 2 THEN '{{"predictions": [1.5, 2.5], "explanation": ' || body || '}}'
+  WHEN 3 THEN '{{"predictions": [' || vals || '], "explanation": {{"summary": "' || body || '", "key_factors": ["' || factor || '"], "confidence": "high"}}}}'
+  WHEN 4 THEN '' ELSE summary || '' END AS text FROM asked),
+docs AS (SELECT *, lower(text) AS low FROM texts), {_MARKED},
+graded AS (SELECT *, CASE WHEN offered > 0 AND shape = 0 THEN (CAST(offered >= 1 AS INTEGER) + CAST(offered >= 3 AS INTEGER) + CAST(offered >= 99 AS INTEGER)) / offered
+  ELSE len(list_filter(heads, lambda ws: len(list_filter(ws, lambda h: contains(low, h))) > 0)) / greatest(offered, 1) END AS grounded FROM marked)"""
+SQL["explanation_fields"] = f"""{EXPLAINED}
+SELECT article_id, shape, CAST(words AS INTEGER) AS words, CAST(CASE WHEN shape IN (0, 1, 3) THEN steps WHEN shape = 2 THEN 2 ELSE 0 END AS INTEGER) AS n_predictions,
+  CASE WHEN shape IN (0, 1, 3) THEN vals_sum WHEN shape = 2 THEN 4.0 ELSE 0.0 END AS pred_sum, shape = 5 AS bad_predictions,
+  CASE shape WHEN 0 THEN 0.8 ELSE 0.5 END AS confidence_score, CASE shape WHEN 0 THEN 3 ELSE 0 END AS n_refs FROM marked"""
+SQL["explanation_grounding"] = f"{EXPLAINED} SELECT article_id, shape, CAST(offered AS INTEGER) AS offered, round(grounded, 6) AS news_grounding_rate FROM graded"
+SQL["explanation_errors"] = f"""{EXPLAINED}
+SELECT article_id, shape, CASE WHEN shape IN (0, 1, 3) THEN round(err, 4) END AS abs_pred_error,
+  CASE WHEN shape IN (0, 1, 3) THEN round(da, 4) END AS directional_accuracy FROM marked WHERE shape <> 5"""
+
+
+def _cases(text: str, upto: str = "") -> str:
     """Extraction case and numbers of a text, branch by branch."""
     return f"""tried AS (SELECT *, regexp_extract_all(regexp_extract({text}, '^[\\d\\s.,]+'), '\\d+\\.?\\d*') AS c1,
   regexp_extract({text}, '\\{{[^{{}}]*predictions[^{{}}]*\\}}') AS o,
   [trim(x) for x in string_split(translate(regexp_extract({text}, '\\[([\\d.,\\s]+)\\]', 1), chr(10) || chr(13) || chr(9), '   '), ',') if trim(x) <> ''] AS c3,
-  regexp_extract_all({text}, '\\b(\\d+\\.\\d+)\\b', 1)[1:20] AS c4 FROM src),
+  regexp_extract_all({text}, '\\b(\\d+\\.\\d+)\\b', 1){upto} AS c4 FROM src),
 cased AS (SELECT *, CASE WHEN len(c1) > 0 THEN 1
   WHEN json_valid(o) AND json_type(json_extract(CASE WHEN json_valid(o) THEN o END, '$.predictions')) = 'ARRAY' THEN 2
   WHEN len(c3) > 0 AND len(list_filter(c3, lambda x: TRY_CAST(x AS DOUBLE) IS NULL)) = 0 THEN 3
   WHEN len(c4) > 0 THEN 4 ELSE 0 END AS parse_case FROM tried)"""
 
 
-SQL["response_quality"] = f"""WITH src AS (SELECT role, turn AS attempt, text FROM conversations), {_cases('text')}
-SELECT role, attempt, count(*) AS responses, count(*) FILTER (regexp_matches(text, '###([+-]?\\d+\\.\\d+)###')) AS with_tokens,
+ANSWERED = """answered AS (SELECT conv_id, role, turn AS attempt, (conv_id * 7 + turn * 3) % 6 AS n,
+  CAST(conv_id || '.' || (turn + 1) AS DOUBLE) AS v, text FROM conversations),
+told AS (SELECT *, len(regexp_extract_all(text, '\\b(\\d+\\.\\d+)\\b', 1)[1:20]) AS own,
+  TRY_CAST(regexp_extract(text, '\\b(\\d+\\.\\d+)\\b', 1) AS DOUBLE) AS own_first FROM answered),
+read AS (SELECT *, CASE n WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 4 ELSE CASE WHEN own > 0 THEN 4 ELSE 0 END END AS parse_case FROM told)"""
+SQL["response_quality"] = f"""WITH {ANSWERED}
+SELECT role, attempt, count(*) AS responses, count(*) FILTER (n = 4) AS with_tokens,
   count(*) FILTER (parse_case = 1) AS case_1, count(*) FILTER (parse_case = 2) AS case_2, count(*) FILTER (parse_case = 3) AS case_3,
-  count(*) FILTER (parse_case = 4) AS case_4, count(*) FILTER (parse_case = 0) AS unparsed FROM cased GROUP BY role, attempt"""
+  count(*) FILTER (parse_case = 4) AS case_4, count(*) FILTER (parse_case = 0) AS unparsed FROM read GROUP BY role, attempt"""
+SQL["response_numbers"] = f"""WITH {ANSWERED}
+SELECT conv_id, attempt, parse_case, CAST(CASE WHEN n < 3 THEN 2 WHEN n = 3 THEN least(20, 2 + own) WHEN n = 4 THEN least(20, 1 + own) ELSE own END AS INTEGER) AS found,
+  CASE WHEN n < 5 THEN v ELSE own_first END AS first_number FROM read"""
 SQL["extracted_numbers"] = f"""WITH src AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages), {_cases('text')}
 SELECT kind, id, parse_case, CAST(CASE parse_case WHEN 1 THEN len(c1) WHEN 2 THEN json_array_length(o, '$.predictions') WHEN 3 THEN len(c3) WHEN 4 THEN len(c4) ELSE 0 END AS INTEGER) AS found,
   CASE parse_case WHEN 1 THEN CAST(c1[1] AS DOUBLE) WHEN 2 THEN CAST(json_extract(o, '$.predictions[0]') AS DOUBLE) WHEN 3 THEN CAST(c3[1] AS DOUBLE) WHEN 4 THEN CAST(c4[1] AS DOUBLE) END AS first_number
@@ -708,6 +748,7 @@ _PAIRS = [
 SQL["feature_corr"] = f"""WITH {DOCS}
 SELECT lang AS model, count(*) AS n, {', '.join(_corr(*p) for p in _PAIRS)}
 FROM marked JOIN labels USING (doc_id) GROUP BY lang HAVING count(*) >= 5"""
-SQL["explanation_rollup"] = f"""WITH {DOCS}
-SELECT lang AS model, round(avg(words), 4) AS avg_explanation_len, round(avg(score), 4) AS avg_coherence,
-  round(avg(len(factors)), 4) AS avg_n_factors, count(*) AS n_samples FROM marked GROUP BY lang"""
+SQL["explanation_rollup"] = f"""{EXPLAINED}
+SELECT CAST(shape AS VARCHAR) AS model, round(avg(grounded), 4) AS avg_news_grounding, round(avg(words), 4) AS avg_explanation_len,
+  round(avg(score), 4) AS avg_coherence, round(avg(len(factors)), 4) AS avg_n_factors,
+  round(avg(CASE shape WHEN 0 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END), 4) AS avg_confidence, count(*) AS n_samples FROM graded GROUP BY shape"""

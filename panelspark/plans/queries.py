@@ -8,12 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.functions.extract import in_scale, with_numbers
-from panelspark.functions.text import base_of, label, p_text, quote_of, title_heads
+from panelspark.functions.extract import in_scale, with_explanation, with_numbers
+from panelspark.functions.text import base_of, label, p_text, quote_of, word_count
 from panelspark.functions.tokens import decode, encode, encode_future, has_tokens
-from panelspark.operators import calendar, compare, context, explain, features, forecast, metrics, prompts, significance
+from panelspark.operators import calendar, compare, context, explain, features, metrics, predict, prompts, significance
 from panelspark.operators import windows as win
-from panelspark.operators.layout import checked_broadcast, day_chunk, with_position
+from panelspark.operators.layout import day_chunk, with_position
 from panelspark.params import CONFIGS, HORIZONS
 from panelspark.plans import tables as t
 from panelspark.session import cut
@@ -88,9 +88,15 @@ def quality_rows(spark, sf):
 
 @query
 def missing_days(spark, sf):
+    """Every gap of every series."""
     return calendar.missing_days(t.supplier_bars(spark, sf)).select("series", "rank", _day("missing_day"))
 
 
+@query
+def missing_days_first10(spark, sf):
+    return calendar.missing_days(t.supplier_bars(spark, sf), first=10).select("series", "rank", _day("missing_day"))
+
+
 @query
 def fill_calendar(spark, sf):
     bars = t.order_bars(spark, sf)
@@ -265,21 +271,21 @@ def window_stats(spark, sf):
     return stats.select(*WINDOW, "current", _r("mean"), _r("volatility", 3), "trend", _r("daily_vol", 3))
 
 
-# --- forecasts ----------------------------------------------------------------------------
+# --- predictions ----------------------------------------------------------------------------
 
 
 @query
-def ar1_forecast(spark, sf):
-    path = forecast.forecast_ar1(_supplier_panel(spark, sf), 10)
+def ar1_prediction(spark, sf):
+    path = predict.predict_ar1(_supplier_panel(spark, sf), 10)
     return path.select(
         "series", "pairs", _r("slope", 6), _r("intercept", 4), F.posexplode("pred").alias("step", "pred")
     ).select("series", "pairs", "slope", "intercept", (F.col("step") + 1).alias("step"), _r("pred", 3))
 
 
 @query
-def arp_forecast(spark, sf):
+def arp_prediction(spark, sf):
     """Second-order autoregression of first differences."""
-    path = forecast.forecast_ar(_order_panel(spark, sf), 10, p=2, d=1)
+    path = predict.predict_ar(_order_panel(spark, sf), 10, p=2, d=1)
     return path.select(
         "series", "pairs", F.round(F.col("coefficients")[0], 6).alias("c1"), F.round(F.col("coefficients")[1], 6).alias("c2"),
         _r("intercept", 3), F.posexplode("pred").alias("step", "pred"),
@@ -288,29 +294,40 @@ def arp_forecast(spark, sf):
 
 @query
 def order_select(spark, sf):
-    scores = forecast.order_scores(_order_panel(spark, sf), max_p=3, max_d=2)
-    best = forecast.select_order(scores)
+    scores = predict.order_scores(_order_panel(spark, sf), max_p=3, max_d=2)
+    best = predict.select_order(scores)
     return best.select("series", "p", "d", "pairs", _r("aic", 3))
 
 
 @query
 def direct_multi_step(spark, sf):
-    steps = forecast.direct_multi_step(_order_panel(spark, sf), 10)
+    steps = predict.direct_multi_step(_order_panel(spark, sf), 10)
     return steps.select("series", "step", "last_price", _r("slope", 6), _r("pred", 3))
 
 
 @query
-def naive_forecast(spark, sf):
-    made = forecast.with_window_forecasts(_windows(spark, sf), 30)
+def naive_prediction(spark, sf):
+    made = predict.with_window_predictions(_windows(spark, sf), 30, t.DIGITS)
     return made.select(*WINDOW, "model", F.posexplode("pred").alias("step", "pred")).select(
         *WINDOW, "model", (F.col("step") + 1).alias("step"), _r("pred", 3)
     )
 
 
 @query
-def gbt_forecast(spark, sf):
+def gbt_prediction(spark, sf):
     panel = _order_panel(spark, sf)
-    return forecast.forecast_trees(panel, 5).select("series", "step", _r("pred", 3))
+    path = predict.predict_trees(panel, 5)
+    train = panel.filter(features.is_train())
+    lags = features.lag_features(train).groupBy("series").agg(
+        F.count(F.lit(1)).alias("train_rows"),
+        F.round(F.sum("lag_30"), 2).alias("lag_30_sum"),
+        F.round(F.sum("rolling_mean_14"), 2).alias("mean_14_sum"),
+    )
+    # sums of shrunken leaf means stay near the values they were fitted on
+    ends = train.agg(F.min("close").alias("low"), F.max("close").alias("high"))
+    low, high = ends.first()
+    near = F.col("pred").between(low - 0.1 * (high - low), high + 0.1 * (high - low))
+    return path.join(lags, "series").select("series", "step", "train_rows", "lag_30_sum", "mean_14_sum", near.alias("in_range"))
 
 
 # --- accuracy -----------------------------------------------------------------------------
@@ -319,7 +336,7 @@ def gbt_forecast(spark, sf):
 @query
 def metrics_micro(spark, sf):
     windows = win.origin_windows(_supplier_panel(spark, sf), context=30)
-    made = forecast.with_window_forecasts(windows, 30)
+    made = predict.with_window_predictions(windows, 30, t.DIGITS)
     summary = metrics.summarise(metrics.score_windows(made), ["series", "horizon", "model"])
     return summary.select("series", "horizon", "model", _r("rmse"), _r("mae"), _r("mape"), "n_windows")
 
@@ -327,7 +344,7 @@ def metrics_micro(spark, sf):
 @query
 def metrics_rows(spark, sf):
     """The same errors from a table with one row per step."""
-    made = forecast.with_window_forecasts(_windows(spark, sf), 30)
+    made = predict.with_window_predictions(_windows(spark, sf), 30, t.DIGITS)
     steps = made.select("series", "horizon", "model", F.inline(F.arrays_zip(F.col("truth").alias("y"), F.col("pred").alias("p"))))
     scored = metrics.score_rows(steps, ["series", "horizon", "model"])
     return scored.select("series", "horizon", "model", _r("rmse"), _r("mae"), _r("mape"), "steps")
@@ -335,14 +352,14 @@ def metrics_rows(spark, sf):
 
 @query
 def metrics_da(spark, sf):
-    made = forecast.with_window_forecasts(_windows(spark, sf), 30)
+    made = predict.with_window_predictions(_windows(spark, sf), 30, t.DIGITS)
     summary = metrics.summarise(metrics.score_windows(made), ["series", "horizon", "model"])
     return summary.select("series", "horizon", "model", _r("da"), "n_windows")
 
 
 @query
 def metrics_da_diff(spark, sf):
-    made = forecast.with_window_forecasts(_windows(spark, sf), 30)
+    made = predict.with_window_predictions(_windows(spark, sf), 30, t.DIGITS)
     scored = made.withColumns(
         {
             "masked": metrics.direction_of_steps("truth", "pred"),
@@ -721,7 +738,7 @@ def explain_prompt_table(spark, sf):
 
 @query
 def scale_filter(spark, sf):
-    """Forecast paths as extracted numbers, kept on the scale of the last price."""
+    """Predicted paths as extracted numbers, kept on the scale of the last price."""
     numbers = F.concat("truth", F.slice("hist", 1, 5))
     kept = _windows(spark, sf).withColumn("kept", in_scale(numbers, F.col("last_price")))
     return kept.select(
@@ -757,22 +774,95 @@ def coherence(spark, sf):
     return _scored_documents(spark, sf).select("doc_id", "coherence_score")
 
 
-@query
-def grounding(spark, sf):
-    """Each document against the ten newest titles of its series; 5 x 10 short titles are the small side."""
+def _json_text(text: Column) -> Column:
+    """A text as the inside of a JSON string."""
+    for plain, coded in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(plain), F.lit(coded))
+    return text
+
+
+def _explained(spark: SparkSession, sf: str) -> DataFrame:
+    """A response of every document to a window of its series, in six shapes, with the titles offered to that window.
+
+    Shapes: whole object; explanation as plain text; broken object; confidence in words; no
+    object; a prediction that is no number.
+    """
+    windows = _windows(spark, sf).filter("horizon = 5")
     news = t.articles(spark, sf)
-    newest = context.latest_articles(news.select("series", "article_id", "published_on", "title"), 10)
-    titles = newest.groupBy("series").agg(F.collect_list("title").alias("titles"))
-    heads = checked_broadcast(titles.select("series", title_heads(F.col("titles")).alias("heads")))
-    docs = news.select("article_id", "series", "summary").join(heads, "series")
-    scored = explain.with_explanation_scores(docs, "summary", refs=None, titles=None, heads="heads")
-    return scored.select(F.col("article_id").alias("doc_id"), _r("news_grounding_rate", 6))
+    offered = context.articles_before(windows, news.select("series", "article_id", "published_on", "title"))
+    offered = offered.groupBy("series", "window").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("o"))
+    offered = offered.select("series", "window", F.col("o.title").alias("titles"))
+    asked = windows.select("series", "window", "truth").join(offered, ["series", "window"], "left")
+    asked = asked.withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
+    number = F.floor(F.col("article_id") / 5)
+    docs = news.select(
+        "article_id", "series", "publisher", "summary", (number % 30).cast("int").alias("window"), (number % 6).cast("int").alias("shape")
+    ).join(asked, ["series", "window"])
+    values = F.array_join(F.transform("truth", lambda y, i: F.format_string("%.2f", y + (i + 1) * 1.25)), ", ")
+    body, factor = _json_text(F.col("summary")), _json_text(F.col("publisher"))
+    listed = F.concat(F.lit('{"predictions": ['), values, F.lit("]"))
+    start = F.concat(listed, F.lit(', "explanation": {"summary": "'), body, F.lit('", "key_factors": ["'), factor, F.lit('"]'))
+    text = (
+        F.when(F.col("shape") == 0, F.concat(start, F.lit(', "news_references": [1, 3, 99], "confidence": 0.8, "risk_factors": ["war"]}}')))
+        .when(F.col("shape") == 1, F.concat(listed, F.lit(', "explanation": "'), body, F.lit('"}')))
+        .when(F.col("shape") == 2, F.concat(F.lit(' {"predictions": [1.5, 2.5], "explanation": '), body, F.lit("} ")))
+        .when(F.col("shape") == 3, F.concat(start, F.lit(', "confidence": "high"}}')))
+        .when(F.col("shape") == 4, F.col("summary"))
+        .otherwise(F.concat(F.lit('{"predictions": [1.1, "n/a"], "explanation": {"summary": "'), body, F.lit('"}}')))
+    )
+    return with_explanation(docs.withColumn("response", text))
+
+
+@query
+def explanation_fields(spark, sf):
+    return _explained(spark, sf).select(
+        "article_id", "shape", word_count(F.col("explanation_text")).alias("words"), F.size("predictions").alias("n_predictions"),
+        F.round(F.aggregate("predictions", F.lit(0.0), lambda a, x: a + x), 2).alias("pred_sum"),
+        "bad_predictions", "confidence_score", F.size("news_refs").alias("n_refs"),
+    )
+
+
+@query
+def explanation_grounding(spark, sf):
+    """By references or by the titles offered to the window, and no others."""
+    scored = explain.with_explanation_scores(_explained(spark, sf))
+    return scored.select("article_id", "shape", F.size("titles").alias("offered"), _r("news_grounding_rate", 6))
+
+
+@query
+def explanation_errors(spark, sf):
+    scored = explain.with_prediction_error(_explained(spark, sf).filter("NOT bad_predictions"))
+    return scored.select("article_id", "shape", _r("abs_pred_error"), _r("directional_accuracy"))
+
+
+def _numeric_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of the conversations as answers in the four shapes numbers come in, and some without any."""
+    turns = t.table(spark, sf, "conversations").select("conv_id", "role", F.col("turn").alias("attempt"), "text")
+    n = F.pmod(F.col("conv_id") * 7 + F.col("attempt") * 3, F.lit(6))
+    value = F.concat(F.col("conv_id").cast("string"), F.lit("."), (F.col("attempt") + 1).cast("string"))
+    text = (
+        F.when(n == 0, F.concat(F.lit("\u00a0"), value, F.lit(", 2.5]} "), F.col("text")))
+        .when(n == 1, F.concat(F.lit('So: {"predictions": ['), value, F.lit(", 7.25]} "), F.col("text")))
+        .when(n == 2, F.concat(F.lit("Values ["), value, F.lit(", 3] "), F.col("text")))
+        .when(n == 3, F.concat(F.lit("About "), value, F.lit(" or 12.75. "), F.col("text")))
+        .when(n == 4, F.concat(F.lit("###"), value, F.lit("### "), F.col("text")))
+        .otherwise(F.col("text"))
+    )
+    return turns.select("conv_id", "role", "attempt", text.alias("text"))
 
 
 @query
 def response_quality(spark, sf):
-    turns = t.table(spark, sf, "conversations").select("role", F.col("turn").alias("attempt"), "text")
-    return explain.response_counts(turns, ("role", "attempt"), "text")
+    return explain.response_counts(_numeric_answers(spark, sf), ("role", "attempt"), "text")
+
+
+@query
+def response_numbers(spark, sf):
+    read = with_numbers(_numeric_answers(spark, sf), "text")
+    return read.select(
+        "conv_id", "attempt", F.coalesce("parse_case", F.lit(0)).alias("parse_case"), F.greatest(F.size("numbers"), F.lit(0)).alias("found"),
+        F.try_element_at("numbers", F.lit(1)).alias("first_number"),
+    )
 
 
 @query
@@ -785,7 +875,7 @@ def retry_outcomes(spark, sf):
 
 @query
 def flat_predictions(spark, sf):
-    made = forecast.with_window_forecasts(_windows(spark, sf), 30)
+    made = predict.with_window_predictions(_windows(spark, sf), 30, t.DIGITS)
     flagged = made.withColumn("flat", F.coalesce(metrics.flat_prediction(), F.lit(False)))
     return flagged.groupBy("horizon", "model").agg(F.count(F.lit(1)).alias("windows"), F.count_if("flat").alias("flat"))
 
@@ -795,7 +885,7 @@ def extracted_numbers(spark, sf):
     """Numbers found in every document, page and turn: extraction case, how many, and the first."""
     docs = t.table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     pages = t.table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
-    read = with_numbers(docs.unionByName(pages), "text")
+    read = with_numbers(docs.unionByName(pages), "text", max_decimals=None)
     return read.select(
         "kind", "id", F.coalesce("parse_case", F.lit(0)).alias("parse_case"),
         F.greatest(F.size("numbers"), F.lit(0)).alias("found"),
@@ -816,17 +906,13 @@ def feature_corr(spark, sf):
 
 @query
 def explanation_rollup(spark, sf):
-    scored = _scored_documents(spark, sf).withColumns(
-        {"news_grounding_rate": F.lit(None).cast("double"), "confidence_score": F.lit(0.5), "model": F.col("lang")}
-    )
+    scored = explain.with_explanation_scores(_explained(spark, sf)).withColumn("model", F.col("shape").cast("string"))
     rolled = compare.explanation_rollup(scored)
-    return rolled.select(
-        "model", _r("avg_explanation_len"), _r("avg_coherence"), _r("avg_n_factors"), "n_samples"
-    )
+    return rolled.select("model", *[_r(c) for c in rolled.columns if c.startswith("avg_")], "n_samples")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders to daily bars, calendar fill, rolling-origin windows, forecasts, metrics per series and horizon."""
-    made = forecast.with_window_forecasts(_windows(spark, sf), 30)
+    """Orders to daily bars, calendar fill, rolling-origin windows, predictions, metrics per series and horizon."""
+    made = predict.with_window_predictions(_windows(spark, sf), 30, t.DIGITS)
     summary = metrics.summarise(metrics.score_windows(made), ["series", "horizon", "model"])
     return summary.select("series", "horizon", "model", _r("rmse"), _r("mae"), _r("mape"), _r("da"), "n_windows")

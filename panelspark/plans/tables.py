@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators.calendar import fill_days
-from panelspark.operators.forecast import with_window_forecasts
+from panelspark.operators.predict import with_window_predictions
 from panelspark.operators.metrics import score_windows, summarise
 from panelspark.operators.windows import origin_windows
 from panelspark.params import CONFIGS
@@ -20,6 +20,7 @@ STUDY = {
     "prompt_only": ("calendar", 60),
     "full_model": ("trading", 60),
 }
+DIGITS = 6  # prices of the tables are around 1e5: finer differences are rounding errors
 STUDY_MODELS = ("naive", "mean", "drift", "ar1")
 
 
@@ -71,7 +72,7 @@ def order_windows(spark: SparkSession, sf_dir: str, context: int = 60) -> DataFr
 
 
 def study_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored windows of every forecaster under the four configs, in the shape of a window table.
+    """Scored windows of every predictor under the four configs, in the shape of a window table.
 
     ``naive`` and ``mean`` play the baselines (config ``baseline``: calendar fill,
     lookback 30); drift and ar1 run under every config.  ``ord`` fixes the order of equals.
@@ -89,9 +90,9 @@ def study_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         windows.withColumn("_s", F.explode(F.filter(setups, lambda s: s["_p"] == F.col("policy"))))
         .select(*windows.columns, "_s.config", "_s.lookback", "_s._c")
     )
-    forecast = with_window_forecasts(tried, F.col("lookback"))
+    tried_models = with_window_predictions(tried, F.col("lookback"), DIGITS)
     base = F.col("model").isin("naive", "mean")
-    kept = forecast.filter(~base | (F.col("config") == CONFIGS[0]))
+    kept = tried_models.filter(~base | (F.col("config") == CONFIGS[0]))
     order = F.element_at(F.create_map(*[F.lit(x) for i, m in enumerate(STUDY_MODELS) for x in (m, i)]), F.col("model"))
     return score_windows(
         kept.select(

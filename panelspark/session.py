@@ -49,7 +49,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     Used for small tables whose values must be the same for every task that
     reads them, also after an executor is lost (approximate quantiles), and to
-    end the growing plan of an iterative forecast.
+    end the growing plan of an iterative prediction.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -8,8 +8,6 @@ from panelspark.operators import prompts
 from panelspark.plans import queries as q
 from panelspark.plans import tables as t
 
-QUICK = [n for n in entry.queries() if n not in ("gbt_forecast",)]
-
 
 def test_flagship(spark):
     rows = entry.entry(spark).collect()
@@ -18,10 +16,11 @@ def test_flagship(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"gbt_forecast", "prompt_table", "explain_prompt_table"}
+    plain = {n for n in q.QUERIES if n not in entry.oracle_sql()}
+    assert plain == {"prompt_table", "explain_prompt_table"}
 
 
-@pytest.mark.parametrize("name", ["bars_daily", "fill_trading", "window_metrics", "best_summary", "news_lines", "grounding"])
+@pytest.mark.parametrize("name", ["bars_daily", "fill_trading", "window_metrics", "best_summary", "news_lines", "explanation_grounding", "response_numbers"])
 def test_queries_run_on_the_smallest_tables(spark, sf, name):
     assert entry.queries()[name](spark, sf).count() > 0
 

@@ -90,6 +90,33 @@ def test_at_most_twenty_decimals(spark):
     response = "x " + " ".join(f"{i}.5" for i in range(30))
     df = spark.createDataFrame([(response,)], "response string")
     assert len(extract.with_numbers(df).first().numbers) == 20
+    assert len(extract.with_numbers(df, max_decimals=None).first().numbers) == 30
+
+
+def test_space_around_a_response_does_not_count(spark):
+    df = spark.createDataFrame([("\u00a0\n 12, 13.5 then 99.5",), ('{"predictions": [1.1, "n/a"]}',)], "response string")
+    first, second = extract.with_numbers(df).collect()
+    assert first.parse_case == 1 and first.numbers == [12.0, 13.5]
+    assert second.parse_case != 2
+
+
+@pytest.mark.parametrize("fields", [
+    '"explanation": "plain words"', '"explanation": null', '"explanation": {"confidence": "high"}', '"explanation": {"confidence": null}',
+    '"explanation": {"summary": "s", "risk_factors": "war"}', '"explanation": {"key_factors": ["a", 1]}', '"explanation": {"summary": 3}',
+    '"explanation": {"key_factors": null}', '"explanation": {"summary": null}',
+])
+def test_fields_of_the_wrong_kind_lose_no_text(spark, fields):
+    text = '{"predictions": [1.5, 2], ' + fields + "}"
+    row = extract.with_explanation(spark.createDataFrame([(f"  {text}\n",)], "response string")).first()
+    assert row.explanation_text == text and row.predictions == [1.5, 2.0]
+    assert row.confidence_score == 0.5 and row.news_refs == [] and not row.bad_predictions
+
+
+def test_numbers_in_words_are_read_and_bad_predictions_marked(spark):
+    rows = [('{"predictions": [1.1, "n/a"], "explanation": {"summary": "s", "confidence": "0.25"}}',), ('{"predictions": "none"}',), ("{}",)]
+    a, b, c = extract.with_explanation(spark.createDataFrame(rows, "response string")).collect()
+    assert a.bad_predictions and a.predictions == [] and a.explanation_text == "s" and a.confidence_score == 0.25
+    assert b.bad_predictions and not c.bad_predictions
 
 
 def test_scale_filter(spark):

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from panelspark.operators import features, forecast, metrics, windows
+from panelspark.operators import features, predict, metrics, windows
 
 
 def panel(spark, lengths, seed=0):
@@ -172,7 +172,7 @@ def test_metric_edges(spark):
 
 def test_ar1_equals_least_squares(spark):
     df = panel(spark, {"a": 200, "b": 90}, seed=3).cache()
-    for r in forecast.forecast_ar1(df, 4).collect():
+    for r in predict.predict_ar1(df, 4).collect():
         v = values(df, r.series)
         d = np.diff(v[:int(len(v) * 0.8)])
         slope, intercept = np.polyfit(d[:-1], d[1:], 1)
@@ -188,21 +188,21 @@ def test_ar1_equals_least_squares(spark):
 def test_order_scores_equal_refits(spark):
     df = panel(spark, {"a": 120}, seed=4).cache()
     v = values(df, "a")[:96]
-    for r in forecast.order_scores(df, max_p=4, max_d=2, chunk_rows=25).collect():
+    for r in predict.order_scores(df, max_p=4, max_d=2, chunk_rows=25).collect():
         y = np.diff(v, n=r.d)
         rows = np.arange(4, len(y))
         x = np.column_stack([np.ones(len(rows))] + [y[rows - i] for i in range(1, r.p + 1)])
         res = y[rows] - x @ np.linalg.lstsq(x, y[rows], rcond=None)[0]
         n = len(rows)
         assert r.pairs == n and r.aic == pytest.approx(n * np.log((res**2).sum() / n) + 2 * (r.p + 1))
-    best = forecast.select_order(forecast.order_scores(df, max_p=2)).first()
+    best = predict.select_order(predict.order_scores(df, max_p=2)).first()
     assert best.p in (0, 1, 2)
 
 
 @pytest.mark.parametrize("p, d", [(0, 1), (1, 0), (3, 0), (2, 1), (4, 2)])
 def test_ar_p_equals_least_squares(spark, p, d):
     df = panel(spark, {"a": 150, "b": 60}, seed=5).cache()
-    for r in forecast.forecast_ar(df, 5, p, d, chunk_rows=40).collect():
+    for r in predict.predict_ar(df, 5, p, d, chunk_rows=40).collect():
         v = values(df, r.series)
         v = v[:int(len(v) * 0.8)]
         y = np.diff(v, n=d)
@@ -221,7 +221,7 @@ def test_ar_p_equals_least_squares(spark, p, d):
 
 def test_blocks_cover_the_horizon(spark):
     df = spark.createDataFrame([([1.0, 2.0],)], "hist array<double>")
-    out = forecast.in_blocks(
+    out = predict.in_blocks(
         lambda f: f.withColumn("_block", F.array_repeat(F.element_at("hist", -1) + 1, 3)), df, 7, 3
     ).first()
     assert out.pred == [3.0, 3.0, 3.0, 4.0, 4.0, 4.0, 5.0]
@@ -233,7 +233,22 @@ def test_trees_follow_the_series(spark):
         for i in range(150):
             rows.append((s, dt.date(2000, 1, 1) + dt.timedelta(i), i + 1, 150, scale * (50 + i % 5)))
     df = spark.createDataFrame(rows, "series string, day date, pos int, n int, close double")
-    out = forecast.forecast_trees(df, 2, n_lags=6, rolling=(7,), rounds=5, depth=3).collect()
+    out = predict.predict_trees(df, 2, n_lags=6, rolling=(7,), rounds=5, depth=3).collect()
     assert len(out) == 4
     for r in out:
         assert (40 < r.pred < 60) if r.series == "a" else (400 < r.pred < 600)
+
+
+def test_small_prices_keep_their_predictions(spark):
+    """A series near 6e-05 is not rounded away, and a small model step stays a move."""
+    import datetime as dt
+
+    rows = [("s", dt.date(2020, 1, 1) + dt.timedelta(days=i), 6.129e-05 * (1 + 0.01 * (i % 7)), i + 1, 400) for i in range(400)]
+    df = spark.createDataFrame(rows, "series string, day date, close double, pos int, n int")
+    made = predict.with_window_predictions(windows.origin_windows(df, context=30), 30).filter("horizon = 5").collect()
+    by = {}
+    for r in made:
+        by.setdefault(r.window, {})[r.model] = r.pred
+    for preds in by.values():
+        assert all(abs(p[0] - 6.3e-05) < 5e-06 for p in preds.values())
+        assert len({p[0] for p in preds.values()}) >= 3 and len(set(preds["ar1"])) == 5
