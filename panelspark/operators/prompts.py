@@ -16,7 +16,7 @@ from panelspark.functions.text import base_of, quote_of
 from panelspark.functions.tokens import encode
 from panelspark.operators.context import NO_NEWS, joined_lines, price_examples, price_text, token_examples
 from panelspark.operators.windows import last_values, window_stats
-from panelspark.params import FACTORS, LOOKBACK, PROMPT_LIMITS
+from panelspark.params import FACTORS, LOOKBACK
 
 TOKEN_TEMPLATE = """Predict the {base}/{quote} rate. Values are written as ###value### tokens: scaled to
 [-0.5, 0.5] with the minimum {low} and maximum {high} of the window, snapped to 10,000 bins on [-1, 1].
@@ -78,13 +78,14 @@ def _common(series: str) -> dict[str, Column]:
 
 def prompts(
     windows: DataFrame,
+    limits: Mapping[str, tuple[int, int]],
     series: str = "series",
     family: str = "token",
     lines: str = "news_lines",
     style: str = "brief",
     template: str | None = None,
 ) -> DataFrame:
-    """One row per window, model and config with ``prompt``.
+    """One row per window, model and config with ``prompt``; ``limits`` maps a model to its examples and articles.
 
     ``windows`` needs ``hist``, ``hist_days``, ``horizon``, ``last_price`` and the array of
     news lines, of which each model reads as many as its limit allows.
@@ -95,14 +96,14 @@ def prompts(
                 F.lit(m).alias("model"), F.lit(c).alias("config"), F.lit(n).alias("use_news"),
                 F.lit(p).alias("style"), F.lit(ex).alias("n_examples"), F.lit(k).alias("max_news"),
             )
-            for m, (ex, k) in PROMPT_LIMITS.items()
+            for m, (ex, k) in limits.items()
             for c, (n, p) in FACTORS.items()
         ]
     )
     rows = window_stats(windows).withColumns(
         {"_recent": last_values(LOOKBACK), "_recent_days": last_values(LOOKBACK, "hist_days")}
     )
-    counts = sorted({ex for ex, _ in PROMPT_LIMITS.values()})
+    counts = sorted({ex for ex, _ in limits.values()})
     # shared by all runs of a window, so made before the runs are expanded
     rows = rows.withColumns(
         {

@@ -66,18 +66,18 @@ def signed_rank_sums(df: DataFrame, by: Sequence[str], d: str = "d") -> DataFram
     return zeros.join(sums, list(by), "left")
 
 
-def wilcoxon(df: DataFrame, by: Sequence[str], d: str = "d") -> DataFrame:
+def wilcoxon(df: DataFrame, by: Sequence[str], d: str = "d", exact_ranks: int = EXACT_RANKS) -> DataFrame:
     """Two-sided signed-rank test per group.
 
-    Exact for up to 50 differences without zeros; otherwise the normal form with tie
+    Exact for up to ``exact_ranks`` differences without zeros, as the study's test; otherwise the normal form with tie
     correction and no continuity correction.  Null when every difference is zero.
     """
     sums = signed_rank_sums(df, by, d)
     n = F.col("n_ranks").cast("double")
     spread = n * (n + 1) * (n * 2 + 1) / 24 - F.col("tie_term") / 48
     z = (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.sqrt(spread)
-    exact = (F.col("n_zero") == 0) & (F.col("n_ranks") <= EXACT_RANKS)
-    table = rank_sum_table(df.sparkSession).withColumnRenamed("n_ranks", "_n")  # 50 rows by construction
+    exact = (F.col("n_zero") == 0) & (F.col("n_ranks") <= exact_ranks)
+    table = rank_sum_table(df.sparkSession, exact_ranks).withColumnRenamed("n_ranks", "_n")  # as many rows
     p_exact = signed_rank_exact(F.col("ways"), F.col("_n"), F.col("w_plus"))
     return (
         sums.withColumn("_key", F.when(exact, F.col("n_ranks").cast("int")))

@@ -14,7 +14,6 @@ STEP = 10
 TRAIN_SHARE = 0.8
 N_LAGS = 30
 ROLLING = (7, 14, 30)
-PAIRS = ("USDIDR", "USDEUR", "USDSGD", "USDTWD", "USDAUD")
 
 BASELINE_MODELS = ("arima", "lstm", "xgboost", "itransformer")
 LANGUAGE_MODELS = ("llama3-8b", "qwen2.5-7b", "mistral-7b")
@@ -35,13 +34,6 @@ ABLATIONS = {
     "interaction": CONFIGS,
 }
 
-# model -> (worked examples, articles) put into a prompt
-PROMPT_LIMITS = {
-    "llama3-8b": (3, 10),
-    "qwen2.5-7b": (1, 5),
-    "mistral-7b": (3, 3),
-}
-
 # --- fixed values: token format ---------------------------------------------------
 N_BINS = 10_000
 TOKEN_PATTERN = r"###([+-]?\d+\.\d+)###"

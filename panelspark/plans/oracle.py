@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+from panelspark.operators.prompts import EXPLAIN_TEMPLATE, NUMBER_TEMPLATE, TOKEN_TEMPLATE
 from panelspark.params import CONNECTORS, FACTOR_TERMS
+from panelspark.params import FACTORS as CONFIG_FACTORS
+from panelspark.plans.queries import LIMITS
 
 SQL: dict[str, str] = {}
 
@@ -607,25 +612,80 @@ vals AS (SELECT c.series, c.horizon, c.win, c.i, p.day, p.close, p.pos - c.start
   FROM cases c JOIN panel p ON p.series = c.series AND p.pos > c.start AND p.pos <= c.start + 30 + c.horizon)"""
 
 
-SQL["fewshot_examples"] = f"""{WINS}, {_examples(10)},
+FEWSHOT = f"""{_examples(10)},
 spans AS (SELECT *, min(CASE WHEN k <= 30 THEN close END) OVER w AS lo, max(CASE WHEN k <= 30 THEN close END) OVER w AS hi
   FROM vals WINDOW w AS (PARTITION BY series, horizon, win, i)),
 coded AS (SELECT *, CASE WHEN hi = lo THEN 0.0 ELSE (close - lo) / (hi - lo) - 0.5 END AS v,
   round_even(greatest(-0.5, least(0.5, (close - lo) / (hi - lo + 1e-8::DOUBLE) - 0.5)) * 10000, 0) / 10000 AS q FROM spans),
-blocks AS (SELECT series, horizon, win, i, 'Example ' || (i + 1) || ':' || chr(10) || '### Input:' || chr(10) ||
+blocks AS (SELECT series, horizon, win, i, 'Case ' || (i + 1) || chr(10) || '### Input:' || chr(10) ||
   string_agg(CASE WHEN k <= 30 THEN printf('###%.4f###', {_snap('v')}) END, '  ' ORDER BY k) || chr(10) || '### Response:' || chr(10) ||
   string_agg(CASE WHEN k > 30 THEN printf('###%.4f###', q) END, '  ' ORDER BY k) || chr(10) AS block FROM coded GROUP BY series, horizon, win, i),
 tok AS (SELECT series, horizon, win, string_agg(block, chr(10) ORDER BY i) AS token_examples FROM blocks GROUP BY series, horizon, win),
 {_examples(0).replace('cases AS', 'cases2 AS').replace('FROM cases c', 'FROM cases2 c').replace('vals AS', 'vals2 AS')},
-blocks2 AS (SELECT series, horizon, win, i, 'Example ' || (i + 1) || ':' || chr(10) || 'Historical Data (last 10 days):' || chr(10) ||
-  string_agg(CASE WHEN k > 20 AND k <= 30 THEN CAST(day AS VARCHAR) || ': ' || printf('%.4f', close) END, chr(10) ORDER BY k) || chr(10) || chr(10) ||
-  'Actual next ' || horizon || ' day(s): [' || string_agg(CASE WHEN k > 30 THEN CAST(round(close, 4) AS VARCHAR) END, ', ' ORDER BY k) || ']' || chr(10) AS block
+blocks2 AS (SELECT series, horizon, win, i, 'Case ' || (i + 1) || chr(10) || 'Seen, 10 days at the end:' || chr(10) ||
+  string_agg(CASE WHEN k > 20 AND k <= 30 THEN CAST(day AS VARCHAR) || ': ' || printf('%.4f', close) END, chr(10) ORDER BY k) || chr(10) ||
+  'Followed by ' || horizon || ' value(s): [' || string_agg(CASE WHEN k > 30 THEN CAST(round(close, 4) AS VARCHAR) END, ', ' ORDER BY k) || ']' || chr(10) AS block
   FROM vals2 GROUP BY series, horizon, win, i),
-num AS (SELECT series, horizon, win, string_agg(block, chr(10) ORDER BY i) AS price_examples FROM blocks2 GROUP BY series, horizon, win)
+num AS (SELECT series, horizon, win, string_agg(block, chr(10) ORDER BY i) AS price_examples FROM blocks2 GROUP BY series, horizon, win)"""
+SQL["fewshot_examples"] = f"""{WINS}, {FEWSHOT}
 SELECT w.series, w.horizon, w.win AS "window", coalesce(token_examples, 'No examples available.') AS token_examples,
   coalesce(price_examples, 'No examples available.') AS price_examples
 FROM wins w LEFT JOIN tok USING (series, horizon, win) LEFT JOIN num USING (series, horizon, win)"""
 
+
+
+def _filled(template: str, **parts: str) -> str:
+    """A template as SQL text: literals and the named expressions in turn."""
+    pieces = re.split(r"\{(" + "|".join(parts) + r")\}", template)
+    return " || ".join(parts[x] if i % 2 else "'" + x.replace("'", "''") + "'" for i, x in enumerate(pieces) if x)
+
+
+def _prompt(template: str, blocks: str) -> str:
+    """One row per window, model and config; ``blocks`` has the worked examples, one row each."""
+    limits = ", ".join(f"('{m}', {ex}, {k})" for m, (ex, k) in LIMITS.items())
+    factors = ", ".join(f"('{c}', {str(n).lower()}, '{p}')" for c, (n, p) in CONFIG_FACTORS.items())
+    text = _filled(
+        template, base="substring(series, 1, 3)", quote="substring(series, 4)", horizon="horizon", lookback="'30'",
+        current="printf('%.4f', last)", low="printf('%.4f', lo)", high="printf('%.4f', hi)", tokens="tokens", prices="prices",
+        mean="printf('%.4f', mean)", deviation="printf('%.4f', sd)", trend="trend",
+        examples="CASE WHEN style = 'few' THEN chr(10) || 'Past cases:' || chr(10) || shots || chr(10) ELSE '' END",
+        news="CASE WHEN use_news THEN chr(10) || 'News:' || chr(10) || lines || chr(10) ELSE '' END",
+    )
+    return f"""{WINS30}, {ARTICLES}, {FOUND.replace('rank <= 8', 'rank <= 10')}, {FEWSHOT},
+ranged AS (SELECT *, min(close) OVER w AS lo, max(close) OVER w AS hi FROM hist WINDOW w AS (PARTITION BY {WKEYS})),
+scaled AS (SELECT *, CASE WHEN hi = lo THEN 0.0 ELSE (close - lo) / (hi - lo) - 0.5 END AS v FROM ranged),
+facts AS (SELECT series, horizon, win, arg_max(close, pos) AS last, min(lo) AS lo, max(hi) AS hi, avg(close) AS mean, stddev_samp(close) AS sd,
+  CASE WHEN arg_max(close, pos) > arg_min(close, pos) THEN 'upward' ELSE 'downward' END AS trend,
+  string_agg(printf('###%.4f###', {_snap('v')}), '  ' ORDER BY pos) AS tokens,
+  string_agg(CAST(day AS VARCHAR) || ': ' || printf('%.4f', close), chr(10) ORDER BY pos) AS prices FROM scaled GROUP BY ALL),
+limits(model, n_examples, max_news) AS (VALUES {limits}), factors(config, use_news, style) AS (VALUES {factors}),
+shots AS (SELECT series, horizon, win, model, string_agg(block, chr(10) ORDER BY i) AS shots
+  FROM {blocks} b JOIN limits l ON b.i < l.n_examples GROUP BY series, horizon, win, model),
+lined AS (SELECT series, horizon, win, model, string_agg(rank || '. [' || CAST(published_on AS VARCHAR) || '] ' || title, chr(10) ORDER BY rank) AS lines
+  FROM found f JOIN limits l ON f.rank <= l.max_news GROUP BY series, horizon, win, model),
+parts AS (SELECT f.*, l.model, c.config, c.use_news, c.style, coalesce(s.shots, 'No examples available.') AS shots,
+  coalesce(n.lines, 'No recent news available.') AS lines
+  FROM facts f, limits l, factors c LEFT JOIN shots s ON s.series = f.series AND s.horizon = f.horizon AND s.win = f.win AND s.model = l.model
+  LEFT JOIN lined n ON n.series = f.series AND n.horizon = f.horizon AND n.win = f.win AND n.model = l.model)
+SELECT series, horizon, win AS "window", model, config, {text} AS prompt FROM parts"""
+
+
+SQL["prompt_table"] = _prompt(TOKEN_TEMPLATE, "blocks")
+# with fewer fitting examples than asked for, all of them are shown
+SQL["number_prompt_table"] = _prompt(NUMBER_TEMPLATE, "blocks2")
+_ASKED = _filled(
+    EXPLAIN_TEMPLATE, base="substring(series, 1, 3)", quote="substring(series, 4)", horizon="horizon", lookback="'30'",
+    current="printf('%.4f', last)", news="coalesce(lines, 'No recent news available.')", prices="prices",
+    example_path="list_reduce([printf('%.4f', CAST(round(CAST(CAST(last * (i * 0.001::DOUBLE + 1) AS VARCHAR) AS DECIMAL(28, 12)), 4) AS DOUBLE)) for i in range(1, horizon + 1)], lambda a, x: a || ', ' || x)",
+)
+SQL["explain_prompt_table"] = f"""{ORDER_PANEL}, {SLIDING}, {HIST.format(ctx=30)}, {ARTICLES}, {FOUND},
+facts AS (SELECT series, horizon, win, arg_max(close, pos) AS last,
+  string_agg(CAST(day AS VARCHAR) || ': ' || printf('%.4f', close), chr(10) ORDER BY pos) AS prices FROM hist GROUP BY ALL),
+lined AS (SELECT series, horizon, win, string_agg('[' || rank || '] [' || CAST(published_on AS VARCHAR) || '] ' || title ||
+  CASE WHEN summary <> '' THEN ' — ' || CASE WHEN length(summary) > 150 THEN substring(summary, 1, 147) || '...' ELSE summary END ELSE '' END,
+  chr(10) ORDER BY rank) AS lines FROM found GROUP BY ALL)
+SELECT series, horizon, win AS "window", {_ASKED} AS prompt FROM facts LEFT JOIN lined USING (series, horizon, win)"""
+
 # --- responses ---------------------------------------------------------------------------------
 
 SQL["scale_filter"] = f"""{WINS30}, lasts AS (SELECT {WKEYS}, window_end, arg_max(close, pos) AS s FROM hist GROUP BY ALL),

@@ -717,12 +717,24 @@ def fewshot_examples(spark, sf):
     )
 
 
-@query
-def prompt_table(spark, sf):
+# model -> (worked examples, articles) of its prompt
+LIMITS = {"llama3-8b": (3, 10), "qwen2.5-7b": (1, 5), "mistral-7b": (3, 3)}
+
+
+def _lined_windows(spark: SparkSession, sf: str) -> DataFrame:
     windows = _windows(spark, sf, 500)
     news = t.articles(spark, sf).select("series", "article_id", "published_on", "title")
-    found = context.articles_before(windows, news, k=10)
-    return prompts.prompts(context.news_lines(found, windows, style="brief")).select(*WINDOW, "model", "config", "prompt")
+    return context.news_lines(context.articles_before(windows, news, k=10), windows, style="brief")
+
+
+@query
+def prompt_table(spark, sf):
+    return prompts.prompts(_lined_windows(spark, sf), LIMITS).select(*WINDOW, "model", "config", "prompt")
+
+
+@query
+def number_prompt_table(spark, sf):
+    return prompts.prompts(_lined_windows(spark, sf), LIMITS, family="number").select(*WINDOW, "model", "config", "prompt")
 
 
 @query

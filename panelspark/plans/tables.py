@@ -53,10 +53,6 @@ def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(lines, "l_suppkey", "l_shipdate", "l_extendedprice", "_key")
 
 
-def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(table(spark, sf_dir, "events"), "event_type", "ts", "value", "event_id")
-
-
 def filled(source: DataFrame, policy: str = "calendar", values: tuple[str, ...] = ("close",)) -> DataFrame:
     return fill_days(source, list(values), weekdays_only=policy == "trading", dense=True)
 

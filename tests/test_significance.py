@@ -130,3 +130,11 @@ def test_pairing_by_rank(spark):
 def test_grid_subsets(spark):
     sizes = {s: compare.param_grid(spark, ["a", "b"], [1, 5], ["x"], ["y"], s).count() for s in (None, "news", "prompt", "interaction")}
     assert sizes == {None: 20, "news": 12, "prompt": 12, "interaction": 20}
+
+
+def test_forms_of_p_values_agree_at_the_border(spark):
+    from panelspark.functions.pvalues import t_two_sided
+
+    rows = spark.range(1, 60).selectExpr("id / 10.0D AS t").crossJoin(spark.createDataFrame([(999.0,), (1000.0,)], "df double"))
+    both = rows.select(t_two_sided(F.col("t"), F.col("df"), 1000).alias("a"), t_two_sided(F.col("t"), F.col("df"), 10).alias("b")).collect()
+    assert max(abs(r.a - r.b) for r in both) < 1e-10

@@ -228,8 +228,8 @@ def test_examples_fit_short_histories(spark):
                                F.transform(F.sequence(F.lit(1), F.lit(70)), lambda x: F.date_add(F.lit("2024-01-01").cast("date"), x)).alias("hist_days"))
     a = df.select(context.token_examples(F.col("hist"), F.lit(5)).alias("t"), context.price_examples(F.col("hist"), F.col("hist_days"), F.lit(5)).alias("p"),
                   context.token_examples(F.slice("hist", 1, 34), F.lit(5)).alias("none")).first()
-    assert a.t.count("Example ") == 1 and a.none == "No examples available."
-    assert a.p.count("Example ") == 1 and "[31.0, 32.0, 33.0, 34.0, 35.0]" in a.p and "2024-01-22: 21.0000" in a.p
+    assert a.t.count("Case ") == 1 and a.none == "No examples available."
+    assert a.p.count("Case ") == 1 and "[31.0, 32.0, 33.0, 34.0, 35.0]" in a.p and "2024-01-22: 21.0000" in a.p
 
 
 def test_retries(spark):
