@@ -17,7 +17,7 @@ from panelspark.session import cut
 
 CHUNK_DAYS = 1024
 CHUNK_ROWS = 8192
-VALUE_RANGES = 64
+ROWS_PER_RANGE = 200_000
 
 
 def day_chunk(day: Column | str, days: int = CHUNK_DAYS) -> Column:
@@ -101,14 +101,21 @@ def checked_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 6
     return small_side(cut(df), max_rows, max_bytes)
 
 
-def value_ranges(df: DataFrame, by: Sequence[str], value: str, ranges: int = VALUE_RANGES) -> DataFrame:
+def value_ranges(
+    df: DataFrame, by: Sequence[str], value: str, ranges: int | None = None, per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
     """Cut points per group that split its values into parts of about equal size.
 
+    Their number follows the largest group, so that a range holds about ``per_range`` rows.
+
     Approximate quantiles merge in arrival order, so the cut points are written
     down once: every later task has to see the same ones.
     """
+    if ranges is None:
+        largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        ranges = max(2, -(-largest // per_range))
     probs = [i / ranges for i in range(1, ranges)]
-    points = df.groupBy(*by).agg(F.percentile_approx(value, probs, 10_000).alias("_points"))
+    points = df.groupBy(*by).agg(F.percentile_approx(value, probs, max(10_000, 4 * ranges)).alias("_points"))
     return small_side(cut(points))
 
 

@@ -20,7 +20,7 @@ from panelspark.functions.pvalues import (
     t_two_sided,
 )
 from panelspark.operators.compare import CELL, UNIT, best_by_mean, best_per_group, delta_vs_base
-from panelspark.operators.layout import exact_median, range_of, value_ranges
+from panelspark.operators.layout import ROWS_PER_RANGE, exact_median, range_of, value_ranges
 
 ALPHA = 0.05
 
@@ -34,13 +34,13 @@ def t_statistics(df: DataFrame, by: Sequence[str], d: str = "d") -> DataFrame:
     return sums.withColumn("t", t).withColumn("t_p", t_two_sided(F.col("t"), F.col("n") - 1)).drop("_sd")
 
 
-def signed_rank_sums(df: DataFrame, by: Sequence[str], d: str = "d") -> DataFrame:
+def signed_rank_sums(df: DataFrame, by: Sequence[str], d: str = "d", per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Rank sums of positive and negative differences, zeros dropped, average ranks for ties."""
     rows = df.filter(F.col(d).isNotNull()).select(*by, F.col(d).alias("_d"), F.abs(d).alias("_a"))
     ties = rows.filter("_a > 0").groupBy(*by, "_a").agg(
         F.count(F.lit(1)).alias("_tie"), F.count_if(F.col("_d") > 0).alias("_pos")
     )
-    points = value_ranges(rows.filter("_a > 0"), by, "_a")
+    points = value_ranges(rows.filter("_a > 0"), by, "_a", per_range=per_range)
     ranged = ties.join(points, list(by)).withColumn("_range", range_of("_a")).drop("_points")
     inside = Window.partitionBy(*by, "_range").orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,8 @@ DEFAULTS = {
     # call sites of column expressions are not recorded: building long plans is several times faster
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # files of cut tables go when no plan refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -30,7 +34,7 @@ def build_session(app: str = "panelspark", master: str | None = None, **conf: st
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a fresh local folder; on a
+    Only a local session without that setting gets a fresh local folder, removed at its end; on a
     cluster executors could not share one, so there the setting is required.
     """
     context = spark.sparkContext
@@ -39,7 +43,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = spark.conf.get("spark.checkpoint.dir", None)
         if current is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        current = current or tempfile.mkdtemp(prefix="panelspark-")
+        if current is None:
+            current = tempfile.mkdtemp(prefix="panelspark-")
+            atexit.register(shutil.rmtree, current, ignore_errors=True)
         context.setCheckpointDir(current)
     return current
 

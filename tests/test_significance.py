@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import pvalues
 from panelspark.operators import compare, significance
-from panelspark.operators.layout import exact_median
+from panelspark.operators.layout import exact_median, range_of, value_ranges
 
 
 def t_tail(t, df, steps=200_001):
@@ -74,12 +74,15 @@ def test_rank_sums_of_a_large_group(spark):
     rng = np.random.default_rng(1)
     d = np.round(rng.normal(0.2, 5, 20_000), 2)
     df = spark.createDataFrame([(float(x),) for x in d], "d double").withColumn("g", F.lit("one"))
-    r = significance.signed_rank_sums(df, ["g"]).first()
+    r = significance.signed_rank_sums(df, ["g"], per_range=400).first()
     d = d[d != 0]
     order = np.abs(d)
     values, inverse, counts = np.unique(order, return_inverse=True, return_counts=True)
     ranks = (np.cumsum(counts) - counts + (counts + 1) / 2)[inverse]
     assert r.n_ranks == len(d)
+    points = value_ranges(df.select("g", F.abs("d").alias("a")), ["g"], "a", per_range=400)
+    parts = df.withColumn("a", F.abs("d")).join(points, "g").groupBy(range_of("a")).count()
+    assert parts.agg(F.max("count")).first()[0] < 1200  # the largest range of the only group
     assert r.w_plus == pytest.approx(ranks[d > 0].sum()) and r.w_minus == pytest.approx(ranks[d < 0].sum())
 
 
