@@ -812,3 +812,18 @@ SQL["explanation_rollup"] = f"""{EXPLAINED}
 SELECT CAST(shape AS VARCHAR) AS model, round(avg(grounded), 4) AS avg_news_grounding, round(avg(words), 4) AS avg_explanation_len,
   round(avg(score), 4) AS avg_coherence, round(avg(len(factors)), 4) AS avg_n_factors,
   round(avg(CASE shape WHEN 0 THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END), 4) AS avg_confidence, count(*) AS n_samples FROM graded GROUP BY shape"""
+SQL["table_shapes"] = " UNION ALL ".join(
+    f"SELECT '{n}' AS name, (SELECT count(*) FROM {n}) AS rows, CAST((SELECT count(*) FROM (DESCRIBE {n})) AS INTEGER) AS columns"
+    for n in ("orders", "lineitem", "documents", "labels")
+)
+SQL["window_metrics_parity"] = f"""{MADE}
+SELECT series, horizon, win AS "window", model, round(window_rmse, 4) AS window_rmse, round(coalesce(window_da, 0.0), 4) AS window_da FROM scored"""
+SQL["unscorable_windows"] = f"""{WINS}
+SELECT horizon, CASE win % 4 WHEN 0 THEN 'empty prediction' WHEN 1 THEN 'empty prediction' WHEN 2 THEN 'different lengths' ELSE 'valid' END AS reason,
+  count(*) AS windows FROM wins GROUP BY ALL"""
+SQL["news_flattened"] = f"""WITH {ARTICLES}, links AS (SELECT *, article_id % 3 = 0 AS nested, 'http://news.example.com/' || article_id AS url FROM articles)
+SELECT article_id, title, publisher, url AS link, CASE WHEN nested THEN CAST(published_on AS VARCHAR) || ' 10:30:00' ELSE 'on ' || CAST(published_on AS VARCHAR) END AS published_at,
+  CASE WHEN nested THEN 'STORY' ELSE '' END AS type, CASE WHEN nested THEN url || '/s.png' ELSE 'p.png' END AS thumbnail,
+  CASE WHEN nested THEN 2 ELSE 0 END AS tickers, CAST(length(summary) AS INTEGER) AS summary_chars FROM links"""
+SQL["walk_shape"] = f"""{WINS}
+SELECT series, horizon, win AS "window", CAST(horizon AS INTEGER) AS steps, true AS near, true AS moves FROM wins"""

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.extract import in_scale, with_explanation, with_numbers
 from panelspark.functions.text import base_of, label, p_text, quote_of, word_count
-from panelspark.functions.tokens import decode, encode, encode_future, has_tokens
+from panelspark.functions.tokens import decode, encode, encode_future, has_tokens, random_walk
 from panelspark.operators import calendar, compare, context, explain, features, metrics, predict, prompts, significance
 from panelspark.operators import windows as win
 from panelspark.operators.layout import day_chunk, with_position
 from panelspark.params import CONFIGS, HORIZONS
 from panelspark.plans import tables as t
 from panelspark.session import cut
+from panelspark.sources.news import flatten_articles
 from panelspark.sources.results import experiment_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -923,6 +924,68 @@ def explanation_rollup(spark, sf):
     return rolled.select("model", *[_r(c) for c in rolled.columns if c.startswith("avg_")], "n_samples")
 
 
+@query
+def table_shapes(spark, sf):
+    return compare.table_shapes({n: t.table(spark, sf, n) for n in ("orders", "lineitem", "documents", "labels")})
+
+
+@query
+def window_metrics_parity(spark, sf):
+    """Windows as the study writes them: an undefined direction score is 0.0."""
+    made = predict.with_window_predictions(_windows(spark, sf), 30, t.DIGITS)
+    scored = metrics.score_windows(made, parity=True)
+    return scored.select(*WINDOW, "model", _r("window_rmse"), _r("window_da"))
+
+
+@query
+def unscorable_windows(spark, sf):
+    """Windows with a missing, empty, cut or whole prediction: what can be scored, and why the rest cannot."""
+    kind = F.col("window") % 4
+    pred = (
+        F.when(kind == 0, F.lit(None).cast("array<double>")).when(kind == 1, F.array().cast("array<double>"))
+        .when(kind == 2, F.concat("truth", F.array(F.lit(1.0)))).otherwise(F.col("truth"))
+    )
+    good, bad = metrics.split_valid(_windows(spark, sf).withColumn("pred", pred))
+    both = bad.select("horizon", "reason").unionByName(good.select("horizon", F.lit("valid").alias("reason")))
+    return both.groupBy("horizon", "reason").agg(F.count(F.lit(1)).alias("windows"))
+
+
+@query
+def news_flattened(spark, sf):
+    """Raw articles with fields inside content, at the top, or at the top beside an empty content."""
+    news = t.articles(spark, sf)
+    link = F.concat(F.lit("http://news.example.com/"), F.col("article_id").cast("string"))
+    day = F.col("published_on").cast("string")
+    inner = F.struct(
+        "title", "summary", F.struct(F.col("publisher").alias("displayName")).alias("provider"), F.struct(link.alias("url")).alias("clickThroughUrl"),
+        F.concat(day, F.lit("T10:30:00Z")).alias("pubDate"), F.lit("STORY").alias("contentType"),
+        F.struct(F.array(F.struct(F.concat(link, F.lit("/s.png")).alias("url")), F.struct(link.alias("url"))).alias("resolutions")).alias("thumbnail"),
+        F.struct(F.array("series", F.lit("X")).alias("stockTickers")).alias("finance"),
+    )
+    flat = [F.col("title"), F.col("summary"), F.col("publisher").alias("provider"), link.alias("url"), F.concat(F.lit("on "), day).alias("pubDate"), F.lit("p.png").alias("thumbnail")]
+    shape = F.col("article_id") % 3
+    raw = (
+        F.when(shape == 0, F.to_json(F.struct(inner.alias("content")))).when(shape == 1, F.to_json(F.struct(*flat)))
+        .otherwise(F.to_json(F.struct(F.create_map().cast("map<string,string>").alias("content"), *flat)))
+    )
+    return flatten_articles(news.select("article_id", raw.alias("raw"))).select(
+        "article_id", "title", "publisher", "link", "published_at", "type", "thumbnail", F.size("related_tickers").alias("tickers"),
+        F.length("summary").alias("summary_chars"),
+    )
+
+
+@query
+def walk_shape(spark, sf):
+    """The seeded walk without tokens: as long as the horizon, and no step beyond ten deviations."""
+    key = F.concat_ws("|", "series", "horizon", "window")
+    walked = win.window_stats(_windows(spark, sf), 500).withColumn("walk", random_walk(F.col("hist"), F.col("horizon"), key))
+    steps = F.zip_with(F.concat(F.array("last_price"), F.slice("walk", 1, F.col("horizon") - 1)), "walk", lambda a, b: F.abs(b - a))
+    return walked.select(
+        *WINDOW, F.size("walk").alias("steps"), F.forall(steps, lambda x: x <= F.col("daily_vol") * 10).alias("near"),
+        F.exists(steps, lambda x: x > 0).alias("moves"),
+    )
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Orders to daily bars, calendar fill, rolling-origin windows, predictions, metrics per series and horizon."""
     made = predict.with_window_predictions(_windows(spark, sf), 30, t.DIGITS)
