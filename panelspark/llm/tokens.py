@@ -22,11 +22,12 @@ then text, so repeated rows follow each other. An empty table gives no rows. Ext
 
 from __future__ import annotations
 
+import gc
 import itertools
 import json
 import os
-import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -167,9 +168,8 @@ def _publish(uri: str, to: str) -> None:
 
 # ---- encoding -----------------------------------------------------------------------------
 
-_encoders: dict[str, object] = {}
-_caches: dict[str, dict[str, list[int]]] = {}
-_PLAIN = re.compile(r"(.*\w)([.,;:!?]+)", re.DOTALL)
+_tables: dict[str, WordTable] = {}
+_MARKS = ".,;:!?"
 
 
 def tokenizer_path(name: str) -> str:
@@ -178,69 +178,107 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _encoder(path: str):
-    if path not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _encoders[path] = Tokenizer.from_file(path)
-        _caches[path] = {}
-    return _encoders[path], _caches[path]
-
-
 def _parts(word: str) -> tuple[str, str]:
     """A word and the punctuation after it, both encoded as if together.
 
     Letters and digits before a run of punctuation are always tokens of their own. Words of letters
     are lower-cased, as the tokenizer does; final sigma has rules of its own and is left alone.
     """
-    end = ""
-    if word and word[-1] in ".,;:!?" and (m := _PLAIN.fullmatch(word)) and m[1][-1].isalnum() and m[1][-1].lower().isalnum():
-        word, end = m[1], m[2]
-    return (word.lower() if word.isalpha() and "Σ" not in word else word), end
-
-
-def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words in turn, and the number of ids of each."""
-    encoder, cache = _encoder(path)
-    if len(cache) > CACHE:
-        cache.clear()
-    cache[""] = []
-    unknown = [w for w in words if w not in cache]
-    pairs = list(map(_parts, unknown))
-    new = list({x for pair in pairs for x in pair if x not in cache})
-    for at in range(0, len(new), 1 << 14):
-        part = new[at : at + (1 << 14)]
-        for word, found in zip(part, encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[word] = found.ids
-    for word, (start, end) in zip(unknown, pairs, strict=True):
-        cache[word] = cache[start] + cache[end] if end else cache[start]
-    ids = [cache[w] for w in words]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-    return flat, lengths
+    core = word.rstrip(_MARKS)
+    end = word[len(core) :]
+    if end and not (core and core[-1].isalnum() and core[-1].lower().isalnum()):
+        core, end = word, ""
+    return (core.lower() if core.isalpha() and "Σ" not in core else core), end
+
+
+class WordTable:
+    """The ids of the words met so far, in arrays; emptied when it holds CACHE words."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.encoder = Tokenizer.from_file(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.code: dict[str, int] = {}
+        self.core: dict[str, list[int]] = {"": []}
+        self.n_ids = 0
+        self.starts, self.lengths, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+
+    def _encode(self, parts: list[str]) -> None:
+        """Add parts to `core`. Those of letters alone are one word each to the tokenizer, so many go in one text."""
+        plain = [x for x in parts if x.isalpha() and x.isascii() or x.isalpha() and unicodedata.is_normalized("NFC", x) and x.lower().isalpha()]
+        groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        for at in range(0, len(groups), 256):
+            some = groups[at : at + 256]
+            for group, found in zip(some, self.encoder.encode_batch([" ".join(x) for x in some], add_special_tokens=False), strict=True):
+                ids, of = found.ids, np.array(found.word_ids, np.int64)
+                ends = np.cumsum(np.bincount(of)).tolist() if len(of) else []
+                if len(ends) == len(group):
+                    self.core.update(zip(group, (ids[a:b] for a, b in zip([0, *ends], ends)), strict=True))
+        rest = [x for x in parts if x not in self.core]
+        for at in range(0, len(rest), 1 << 14):
+            some = rest[at : at + (1 << 14)]
+            for part, found in zip(some, self.encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.core[part] = found.ids
+
+    def codes(self, words: list[str]) -> np.ndarray:
+        """A number for each word; `starts`, `lengths` and `ids` hold the ids of these numbers."""
+        if len(self.code) > CACHE:
+            self.clear()
+        new = [w for w in words if w not in self.code]
+        if new:
+            gc.disable()  # many small lists, no cycles
+            pairs = list(map(_parts, new))
+            self._encode(list({x for pair in pairs for x in pair if x not in self.core}))
+            made = [self.core[a] + self.core[b] if b else self.core[a] for a, b in pairs]
+            first, n = len(self.code), len(self.code) + len(new)
+            self.code.update(zip(new, range(first, n), strict=True))
+            lengths = np.fromiter(map(len, made), np.int64, len(made))
+            flat = np.fromiter(itertools.chain.from_iterable(made), np.uint32, int(lengths.sum()))
+            self.starts, self.lengths = _room(self.starts, n), _room(self.lengths, n)
+            self.ids = _room(self.ids, self.n_ids + len(flat))
+            self.lengths[first:n] = lengths
+            self.starts[first:n] = self.n_ids + np.cumsum(lengths) - lengths
+            self.ids[self.n_ids : self.n_ids + len(flat)] = flat
+            self.n_ids += len(flat)
+            gc.enable()
+        return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+
+
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a larger copy with room for n."""
+    if n <= len(array):
+        return array
+    out = np.zeros(max(n, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
 
 
 def encode_texts(texts: pa.Array, path: str, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, each with the end id after it, and the number of ids of each text."""
+    if path not in _tables:
+        _tables[path] = WordTable(path)
+    table = _tables[path]
     plain = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
     if isinstance(plain, pa.ChunkedArray):
         plain = plain.combine_chunks()
     split = pc.split_pattern(plain, " ")
     borders = split.offsets.to_numpy()
     coded = split.values.slice(borders[0], borders[-1] - borders[0]).dictionary_encode()
-    flat, lengths = encode_words(coded.dictionary.to_pylist(), path)
-    codes = coded.indices.to_numpy()
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else lengths
-    each = lengths[codes]
+    codes = table.codes(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+    each = table.lengths[codes]
     total = np.concatenate([[0], np.cumsum(each)])
-    pick = np.repeat(starts[codes] - total[:-1], each) + np.arange(total[-1])
-    words_upto = total[borders[1:] - borders[0]]
-    n = np.diff(words_upto, prepend=0) + 1
+    n = np.diff(total[borders[1:] - borders[0]], prepend=0) + 1
+    # every text's end id moves the ids after it on by one
     ids = np.full(int(n.sum()), end, np.uint32)
     spot = np.ones(len(ids), bool)
     spot[np.cumsum(n) - 1] = False
-    ids[spot] = flat[pick]
+    pick = np.arange(total[-1])
+    pick += np.repeat(table.starts[codes] - total[:-1], each)
+    ids[spot] = table.ids[pick]
     return ids, n
 
 
