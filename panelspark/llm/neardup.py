@@ -9,10 +9,18 @@ for. The signature is cut into floor(T / 2) + 1 chunks: by pigeonhole, two near
 chunk with at most one difference. Every way to leave one minimum out of every chunk is a key, so
 near classes always share a key. Candidates are confirmed on the full sets.
 
-A key that many classes share is not expanded into all pairs. First, rounds link every class of a
-key with one class of it (least, then others by hash); after each round components are known. Then,
-for the keys whose classes lie in several components, all pairs across components are confirmed.
-Pairs inside a component cannot change the result, so no link between components is lost.
+A key that many classes share is not expanded into all pairs. All its classes are measured against
+one of them, then against the class nearest to that one, which in a group of edited copies is the
+original or close to it; what is linked to such a centre c is one component. A class o that is not
+linked to its centre can still be linked to other classes m of the key. Let o differ from c by the
+set D(o), made of added and removed shingles, and let t be the largest difference at which o and m
+are linked. Since |D(o) - D(m)| + |D(m) - D(o)| <= t and the shared removed shingles are at most all
+that m removed, o and m share at least (|D(o)| - t + |m| - |c|) / 2 added shingles; with the sides
+exchanged, at least (|D(o)| - t + |c| - |m|) / 2 removed ones. One of the two is positive because o
+is not linked to c. So each pair has a side on which it must share that many elements, and one of
+them is among the rarest of o on that side but for that many: these are joined, the pairs found are
+confirmed. Edited copies share few added shingles, so a large group makes few pairs, and no link
+between components is lost. Pairs inside a component cannot change the result and are skipped.
 
 Null and empty texts, and texts of white space, have an empty set and are linked with nothing.
 Repeated rows form one class; rows that share an id but not a text are different documents. A null
@@ -26,14 +34,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.components import components
 from panelspark.llm.shared import batch_word_hashes, mix, saved
 
 HASHES = 48
-ROUNDS = 2
 
 _rng = np.random.default_rng(7141)
 _XOR = _rng.integers(1, 2**63, HASHES, dtype=np.uint64)
@@ -132,17 +139,16 @@ def _shingle_sets(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(spread, "node binary, shingles array<long>")
 
 
-def _alike(a: Column, b: Column, percent: int) -> Column:
-    """100 * |a and b| >= percent * |a or b| for arrays of distinct values."""
-    common = F.size(F.array_intersect(a, b))
-    return 100 * common >= percent * (F.size(a) + F.size(b) - common)
+def _allowed(n: Column, m: Column, percent: int) -> Column:
+    """The largest symmetric difference at which sets of n and m elements are linked."""
+    return F.floor((100 - percent) * (n + m) / (100 + percent))
 
 
 def _size_fits(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def near_components(docs: DataFrame, k: int = 3, percent: int = 85, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def near_components(docs: DataFrame, k: int = 3, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, node) of ``docs`` (doc_id, text), and (node, root) of the linked classes."""
     told = saved(described(docs, k, percent / 100), "signatures")
     rows = told.select("doc_id", "n", "node")
@@ -157,39 +163,60 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 85, rounds: int
     texts = docs.join(lead, docs["doc_id"].eqNullSafe(F.col("at"))).select("node", "text")
     sets = saved(_shingle_sets(texts, k), "sets")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The linked ones of distinct pairs (u, v)."""
-        left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-        right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-        return pairs.join(left, "u").join(right, "v").filter(_alike(F.col("a"), F.col("b"), percent)).select("u", "v")
-
-    roots, links = None, None
-    for number in range(rounds):
-        known = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn(
-            "root", F.coalesce("root", "node")
-        )
-        rank = F.lit(0) if number == 0 else F.xxhash64("node", F.lit(number))
-        head = F.min(F.struct(rank.alias("rank"), F.col("node").alias("c"), F.col("n").alias("cn"), F.col("root").alias("cr")))
-        heads = known.groupBy("key").agg(head.alias("h"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-        pairs = known.join(heads.select("key", "h.*"), "key").filter((F.col("root") != F.col("cr")) & _size_fits(F.col("n"), F.col("cn"), percent))
-        pairs = pairs.select(F.least("node", "c").alias("u"), F.greatest("node", "c").alias("v")).distinct()
-        fresh = saved(confirmed(pairs), "links")
-        links = fresh if links is None else links.union(fresh)
-        roots = saved(components(links), "roots")
-    # what is left: pairs across components
-    known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = known.groupBy("key", "root").agg(F.count("*").alias("c"))
-    most = split.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    open_keys = known.join(most.select("key", F.col("m.root").alias("main")), "key")
-    outside = open_keys.filter("root != main").select("key", F.col("node").alias("u"), F.col("n").alias("un"), F.col("root").alias("ur"))
-    # an outsider meets all of the main component, and later outsiders
-    others = open_keys.select("key", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("root").alias("vr"), (F.col("root") == F.col("main")).alias("inside"))
-    pairs = outside.join(others, "key").filter(
-        (F.col("ur") != F.col("vr")) & (F.col("inside") | (F.col("u") < F.col("v"))) & _size_fits(F.col("un"), F.col("vn"), percent)
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        """Pairs (c, node, ...) with both sets, a of c and b of node."""
+        left = sets.select(F.col("node").alias("c"), F.col("shingles").alias("a"))
+        return pairs.join(left, "c").join(sets.withColumnRenamed("shingles", "b"), "node")
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        """(c, node, d, linked): the symmetric difference of distinct pairs."""
+        size, common = F.size("a") + F.size("b"), F.size(F.array_intersect("a", "b"))
+        d = with_sets(pairs).select("c", "node", (size - 2 * common).alias("d"), size.alias("s"))
+        return saved(d.select("c", "node", "d", ((100 - percent) * F.col("s") >= (100 + percent) * F.col("d")).alias("linked")), "measured")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return pairs.filter("linked").select(F.col("c").alias("u"), F.col("node").alias("v"))
+
+    # all classes of a key against its least one
+    first = members.groupBy("key").agg(F.min("node").alias("c"), F.count("*").alias("c_rows"))
+    starred = saved(members.join(first, "key").filter("node != c"), "starred")
+    near = measured(starred.select("c", "node").distinct())
+    # then against the one nearest to that
+    larger = starred.filter("c_rows > 2").join(near.select("c", "node", "d"), ["c", "node"])
+    centres = larger.groupBy("key").agg(F.min(F.struct("d", "node", "n")).alias("m")).select("key", F.col("m.node").alias("c2"), F.col("m.n").alias("c_n"))
+    around = saved(members.select("key", "node", "n").join(centres, "key").filter("node != c2"), "around")
+    second = measured(around.select(F.col("c2").alias("c"), "node").distinct())
+    links = linked(near).union(linked(second))
+    roots = saved(components(links), "roots")
+    # classes outside their centre's component
+    named = around.select(F.col("c2").alias("c"), "c_n", "node", "n").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.join(roots.select(F.col("node").alias("c"), F.col("root").alias("c_root")), "c", "left")
+    named = saved(named.withColumn("outside", F.col("root") != F.coalesce("c_root", "c")), "named")
+    some = named.filter("outside").select("c").distinct()
+    kept = ["c", "c_n", "node", "n", "root", "outside"]
+    both = with_sets(named.join(some, "c", "left_semi").select(*kept))
+    both = both.select(*kept, F.array_except("b", "a").alias("plus"), F.array_except("a", "b").alias("minus"))
+    both = both.withColumn("d", F.size("plus") + F.size("minus"))
+    sides = F.array(F.struct(F.lit(True).alias("added"), F.col("plus").alias("xs")), F.struct(F.lit(False).alias("added"), F.col("minus").alias("xs")))
+    edits = both.select(*kept, "d", F.explode(sides).alias("s")).select(*kept, "d", "s.added", F.size("s.xs").alias("on_side"), F.explode("s.xs").alias("x"))
+    edits = saved(edits, "edits")
+    common = edits.groupBy("c", "x").agg(F.count("*").alias("often"), F.bool_or("outside").alias("asked")).filter("often > 1 AND asked")
+    rarest = Window.partitionBy("c", "node", "added").orderBy("often", "x")
+    # elements that nobody shares come first in the order and find nothing
+    probes = edits.filter("outside").join(common.select("c", "x", "often"), ["c", "x"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    probes = probes.withColumn("r", F.row_number().over(rarest)).filter("often > 1")
+    probes = probes.select(
+        "c", "x", "c_n", "added", "on_side", "r", F.col("d").alias("o_d"), F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("root").alias("o_root")
     )
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    fresh = saved(confirmed(pairs), "links")
-    roots = saved(components(links.union(fresh)), "roots")
+    gap = F.col("o_d") - _allowed(F.col("n"), F.col("o_n"), percent)
+    longer = F.col("n") - F.col("c_n")
+    share = F.ceil(F.when(F.col("added"), gap + longer).otherwise(gap - longer) / 2)
+    its_side = F.col("added") == (gap + longer > 0)
+    pairs = probes.join(edits.select("c", "x", "node", "n", "root"), ["c", "x"]).filter(
+        (F.col("root") != F.col("o_root")) & _size_fits(F.col("n"), F.col("o_n"), percent) & its_side & (F.col("r") <= F.col("on_side") - share + 1)
+    )
+    pairs = pairs.select(F.least("o", "node").alias("c"), F.greatest("o", "node").alias("node")).distinct()
+    roots = saved(components(links.union(linked(measured(pairs)))), "roots")
     return rows, roots
 
 
