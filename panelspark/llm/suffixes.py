@@ -39,7 +39,7 @@ from panelspark.llm.shared import _BYTE, _P, _P_INV, _powers, mix, saved
 
 LENGTH = 200
 CORE = 64
-PACK = 1 << 16
+PACK = 1 << 17
 MOST = 20_000
 SECTION = 1 << 20  # bytes of a text that are named at a time
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -100,33 +100,36 @@ def suffix_order(texts: list[bytes]) -> np.ndarray:
     """
     lengths = np.array([len(x) for x in texts])
     joined = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum(lengths)
-    m = len(texts)
-    bwt, place = np.zeros(m, np.uint8), np.arange(m)
-
-    def extended(bwt: np.ndarray) -> np.ndarray:
-        """For each suffix, the place of itself with the symbol before it."""
-        rank = np.empty(len(bwt), np.int64)
-        rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
-        return rank - int((bwt == 0).sum()) + m
+    ends, m = np.cumsum(lengths), len(texts)
+    # arrays of the final size, used again in every round
+    total = m + len(joined)
+    steps, rank, old = np.arange(total, dtype=np.int32), np.empty(total, np.int32), np.ones(total, bool)
+    bwt, grown = np.zeros(total, np.uint8), np.zeros(total, np.uint8)
+    n, place = m, np.arange(m)
+
+    def ranked() -> np.ndarray:
+        """The place of each suffix with the symbol before it, but for a constant: a stable count."""
+        rank[np.argsort(bwt[:n], kind="stable")] = steps[:n]
+        return rank
 
     for j in range(1, int(lengths.max(initial=0)) + 1):
         going = np.flatnonzero(lengths >= j)
         bwt[place[going]] = joined[ends[going] - j] + 1  # UTF-8 has no byte 255
-        to = extended(bwt)[place[going]]
-        old = np.ones(len(bwt) + len(going), bool)
+        # the m empty suffixes come first, and texts that have ended go no further
+        to = ranked()[place[going]] + len(going)
+        size = n + len(going)
         old[to] = False
-        grown = np.zeros(len(old), np.uint8)
-        grown[old] = bwt
-        # suffixes of texts that have ended keep their place among the others
-        if len(going) < m:
+        grown[:size][old[:size]] = bwt[:n]
+        grown[to] = 0
+        if len(going) < m:  # suffixes of texts that have ended keep their place among the others
             done = np.flatnonzero(lengths < j)
-            place[done] = np.flatnonzero(old)[place[done]]
+            place[done] = np.flatnonzero(old[:size])[place[done]]
+        old[to] = True
         place[going] = to
-        bwt = grown
+        bwt, grown, n = grown, bwt, size
     # once more along the transform: which suffix lies where
-    order = np.full(len(bwt), -1)
-    follow, at = extended(bwt), np.arange(m)
+    order = np.full(n, -1)
+    follow, at = ranked()[:n] - int((bwt[:n] == 0).sum()) + m, np.arange(m)
     for j in range(1, int(lengths.max(initial=0)) + 1):
         going = np.flatnonzero(lengths >= j)
         at[going] = follow[at[going]]
