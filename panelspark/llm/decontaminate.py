@@ -2,11 +2,14 @@
 
 A text becomes a template: numbers, names (capitalised words inside a sentence) and units (after a
 number) turn into typed placeholders, everything else into lower-case words without punctuation.
-All windows of `WINDOW` template words are hashed and joined with those of the benchmark. Windows
-that match at the same distance between document and item lie on one diagonal; a diagonal counts
-when its windows cover at least `COVER` words (the whole item, if shorter) and the slots agree:
-wherever the item repeats a value, the document repeats its own value. So a question whose numbers
-and names were exchanged is caught, a coincidence of placeholders isn't.
+All windows of `WINDOW` template words are hashed and joined with those of the benchmark; windows
+of the same lower-cased words are joined too, whatever their templates. A word that is a name only
+because of what stands before it, at the start of an item or a sentence, is tried as both when it
+opens a window, and runs of blanks are one blank. Windows that match at the same distance between
+document and item lie on one diagonal; a diagonal counts when its windows cover `SHARE` of the
+item's words, but no more than `COVER` are asked for, and the slots agree: wherever the item repeats
+a value, the document repeats its own value. So a question whose numbers and names were exchanged is
+caught, a coincidence of placeholders isn't.
 
 Null and empty texts are never contaminated. Items with fewer than `LEAST` words cannot be told
 from ordinary text and are not searched; items between that and the window are one window of their
@@ -24,6 +27,7 @@ from panelspark.llm.shared import saved
 
 WINDOW = 8
 COVER = 13
+SHARE = 0.8
 LEAST = 5
 BROADCAST_ROWS = 1_000_000
 UNITS = (
@@ -33,39 +37,72 @@ UNITS = (
 )
 
 
-def template(text: Column, values: bool = False) -> Column:
-    """The template words of a text; with ``values`` the placeholders keep what they stand for."""
-    kept = "$0" if values else ""
-    marked = F.translate(F.coalesce(text, F.lit("")), "<>_", "   ")
+def template(text: Column) -> Column:
+    """The template words of a text: <n..>, <u..> and <p..> around a value, _ before a capital that begins a sentence."""
+    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "<>_", "   "), r"\s+", " ")
     marked = F.regexp_replace(marked, r"(?<=[0-9])[.,](?=[0-9])", "_")
-    marked = F.regexp_replace(marked, r"[0-9][0-9_]*", f" <n{kept}> ")
+    marked = F.regexp_replace(marked, r"[0-9][0-9_]*", " <n$0> ")
     units = "|".join(sorted(UNITS.split(), key=len, reverse=True))
-    marked = F.regexp_replace(marked, rf"(?<=>\s{{1,3}})(?:{units})(?![\p{{L}}\p{{N}}])", f"<u{kept}>")
-    marked = F.regexp_replace(marked, r"(?<=[\p{L},;]\s)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", f"<p{kept}>")
+    marked = F.regexp_replace(marked, rf"(?<=>\s{{1,3}})(?:{units})(?![\p{{L}}\p{{N}}])", "<u$0>")
+    marked = F.regexp_replace(marked, r"(?<=[\p{L},;]\s)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "<p$0>")
+    marked = F.regexp_replace(marked, r"(?<![\p{L}\p{M}\p{N}<>_])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "_$0")
     return F.filter(F.split(F.lower(marked), r"[^\p{L}\p{M}\p{N}<>_]+"), lambda w: w != "")
 
 
-def _hashed(codes: str, n: int) -> Column:
-    """Hashes of all runs of ``n`` word codes, by place; the codes must be a column of their own."""
-    last = F.size(codes) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(codes, i + 1, n))))
+def _plain(w: Column) -> Column:
+    """A template word as it stands in the text."""
+    return F.regexp_replace(w, "^<[nup]|^_|>", "")
+
+
+def _kind(w: Column) -> Column:
+    """A template word without its value."""
+    return F.when(w.startswith("<"), F.concat(F.substring(w, 1, 2), F.lit(">"))).otherwise(F.ltrim(w, F.lit("_")))
+
+
+def _coded(ws: str) -> dict[str, Column]:
+    """Codes of the template words ``ws``, of the words as they stand, and whether a word may be a name or none."""
+    return {
+        "kinds": F.transform(ws, lambda w: F.xxhash64(_kind(w))),
+        "plain": F.transform(ws, lambda w: F.xxhash64(_plain(w))),
+        "opens": F.transform(ws, lambda w: w.startswith("_")),
+    }
+
+
+def _keys(i: Column, n: Column) -> tuple[Column, Column, Column]:
+    """Hashes of the ``n`` words from place ``i``: as template, with the first word as a name if it may be one, as they stand."""
+    first = F.when(F.element_at("opens", i + 1), F.xxhash64(F.concat(F.array(F.xxhash64(F.lit("<p>"))), F.slice("kinds", i + 2, n - 1))))
+    return F.xxhash64(F.slice("kinds", i + 1, n)), first, F.xxhash64(F.slice("plain", i + 1, n))
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, item_text, length, n_words, ipos, key) for the windows that can show a leak."""
+    """(item_id, item_text, item_twin, length, n_words, usable, ipos, key, typed) for the windows that can show a leak.
+
+    A window whose values may differ is ``typed``; the others match the same words only. ``usable``
+    is the number of words in windows that are typed.
+    """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("item_text")).distinct()
     items = items.withColumn("ws", template(F.col("item_text"))).withColumn("n_words", F.size("ws"))
     items = items.filter(F.col("n_words") >= LEAST).withColumn("length", F.least("n_words", F.lit(WINDOW)))
-    spots = F.transform(
-        F.sequence(F.lit(0), F.col("n_words") - F.col("length")),
-        lambda i: F.struct(i.alias("ipos"), F.slice("ws", i + 1, F.col("length")).alias("run")),
-    )
-    rows = items.withColumn("spot", F.explode(spots))
-    literal = F.size(F.filter("spot.run", lambda w: ~w.startswith("<")))
-    codes = F.transform("spot.run", lambda w: F.xxhash64(w))
-    return rows.filter(literal * 2 >= F.col("length")).select(
-        "item_id", "item_text", "length", "n_words", "spot.ipos", F.xxhash64(codes).alias("key")
-    )
+    items = items.withColumns({**_coded("ws"), "item_twin": F.xxhash64("item_text")})
+
+    def spot(i: Column) -> Column:
+        run = F.slice("ws", i + 1, F.col("length"))
+        literal = F.size(F.filter(run, lambda w: ~w.startswith("<"))) * 2
+        typed, named, plain = _keys(i, F.col("length"))
+        first = (i == 0) & (literal - 2 >= F.col("length"))
+        return F.struct(
+            i.alias("ipos"), F.when(literal >= F.col("length"), typed).alias("typed"), F.when(first, named).alias("named"), plain.alias("plain")
+        )
+
+    spots = F.transform(F.sequence(F.lit(0), F.col("n_words") - F.col("length")), spot)
+    items = items.withColumn("spots", F.when(F.col("n_words") >= LEAST, spots))  # filters may move
+    fine = F.transform(F.filter("spots", lambda x: x["typed"].isNotNull()), lambda x: F.sequence(x["ipos"], x["ipos"] + F.col("length") - 1))
+    items = items.withColumn("usable", F.size(F.array_distinct(F.flatten(fine))))
+    rows = items.select("item_id", "item_text", "item_twin", "length", "n_words", "usable", F.explode("spots").alias("x"))
+    keys = F.array(*[F.struct(F.col(f"x.{c}").alias("key"), F.lit(c != "plain").alias("typed")) for c in ("typed", "named", "plain")])
+    fresh = F.filter(keys, lambda k: k["key"].isNotNull() & (k["typed"] | ~k["key"].eqNullSafe(F.col("x.typed"))))
+    rows = rows.select("item_id", "item_text", "item_twin", "length", "n_words", "usable", "x.ipos", F.explode(fresh).alias("k"))
+    return rows.select("item_id", "item_text", "item_twin", "length", "n_words", "usable", "ipos", "k.key", "k.typed")
 
 
 def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -73,40 +110,61 @@ def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _reached(at: Column) -> Column:
+    """The places in windows of ``length`` words that begin at ``at``."""
+    return F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(p, p + F.col("length") - 1))))
+
+
+def _enough(at: Column, typed: Column) -> Column:
+    """Whether typed windows hold enough of the words they can hold, or all windows of all words."""
+    wanted = [F.least(F.lit(COVER), F.ceil(F.col(c) * SHARE)) for c in ("usable", "n_words")]
+    return ((F.size(typed) > 0) & (F.size(_reached(typed)) >= wanted[0])) | (F.size(_reached(at)) >= wanted[1])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, twin, item_id, covered, n_slots) of all leaks; ``docs`` has doc_id, twin and text."""
     windows = saved(benchmark_windows(benchmark, item_col, item_text), "bench-windows")
     lengths = [r.length for r in windows.select("length").distinct().orderBy("length").collect()]  # at most WINDOW values
     keys = _small(windows.drop("item_text"))
-    words = docs.select("doc_id", "twin", F.transform(template(F.col("text")), lambda w: F.xxhash64(w)).alias("codes"))
+    words = docs.select("doc_id", "twin", template(F.col("text")).alias("ws")).select("doc_id", "twin", *[c.alias(k) for k, c in _coded("ws").items()])
     found = None
     for length in lengths:
-        spots = words.select("doc_id", "twin", F.posexplode(_hashed("codes", length)).alias("pos", "key"))
+        spots = F.transform(
+            F.sequence(F.lit(0), F.size("kinds") - length),
+            lambda i: F.struct(i.alias("pos"), F.array_distinct(F.array_compact(F.array(*_keys(i, F.lit(length))))).alias("ks")),
+        )
+        spots = words.select("doc_id", "twin", F.explode(F.when(F.size("kinds") >= length, spots)).alias("x"))
+        spots = spots.select("doc_id", "twin", "x.pos", F.explode("x.ks").alias("key"))
         hits = spots.join(keys.filter(F.col("length") == length), "key")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, twin long, item_id long, covered int, n_slots int")
-    steps = F.array_sort(F.collect_set("pos"))
-    runs = found.groupBy("doc_id", "twin", "item_id", "n_words", "length", (F.col("pos") - F.col("ipos")).alias("shift")).agg(steps.alias("at"))
-    covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("length") - 1))))
-    runs = runs.withColumn("covered", covered).filter(F.size("covered") >= F.least("n_words", F.lit(COVER)))
-    runs = saved(runs.select("doc_id", "twin", "item_id", "shift", "covered"), "diagonals")
+    steps, typed = F.array_sort(F.collect_set("pos")), F.collect_set(F.when(F.col("typed"), F.col("pos")))
+    by = ["doc_id", "twin", "item_id", "item_twin", "n_words", "usable", "length"]
+    runs = found.groupBy(*by, (F.col("pos") - F.col("ipos")).alias("shift")).agg(steps.alias("at"), typed.alias("typed"))
+    runs = saved(runs.filter(_enough(F.col("at"), F.col("typed"))), "diagonals")
     # the values in the slots: texts of the documents on a diagonal only
     named = docs.withColumnsRenamed({"doc_id": "_id", "twin": "_twin"})
     hot = _small(runs.select("doc_id", "twin").distinct().withColumn("is_hit", F.lit(True)))
     texts = named.join(hot, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_twin") == F.col("twin")))
-    texts = texts.select("_id", "_twin", template(F.col("text"), True).alias("ws")).dropDuplicates(["_id", "_twin"])
-    items = windows.select("item_id", "item_text").distinct().select(
-        F.col("item_id").alias("_item"), template(F.col("item_text"), True).alias("iws")
+    texts = texts.select("_id", "_twin", template(F.col("text")).alias("ws")).dropDuplicates(["_id", "_twin"])
+    items = windows.select("item_id", "item_twin", "item_text").distinct().select(
+        F.col("item_id").alias("_item"), F.col("item_twin").alias("_item_twin"), template(F.col("item_text")).alias("iws")
     )
     both = runs.join(texts, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_twin") == F.col("twin")))
-    both = both.join(_small(items), F.col("item_id").eqNullSafe(F.col("_item")))
+    both = both.join(_small(items), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_twin") == F.col("_item_twin")))
+    both = both.withColumn("covered", _reached(F.col("at")))
+    # what may be a name is a slot too; without an exchange it holds the same word on both sides
     pairs = F.transform(
         "covered",
-        lambda p: F.struct(F.element_at("iws", p - F.col("shift") + 1).alias("i"), F.element_at("ws", p + 1).alias("d")),
+        lambda p: F.struct(
+            p.alias("p"),
+            F.regexp_replace(F.element_at("iws", p - F.col("shift") + 1), "^_(.*)$", "<p$1>").alias("i"),
+            _plain(F.element_at("ws", p + 1)).alias("d"),
+        ),
     )
-    slots = F.array_distinct(F.filter(pairs, lambda x: x["i"].startswith("<")))
-    both = both.withColumn("slots", slots)
+    both = both.withColumn("all_slots", F.filter(pairs, lambda x: x["i"].startswith("<")))
+    both = both.withColumn("slots", F.array_distinct(F.transform("all_slots", lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d")))))
     agree = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["i"])))
     return both.filter(agree).select(
         "doc_id", "twin", "item_id", F.size("covered").alias("covered"), F.size("slots").alias("n_slots")

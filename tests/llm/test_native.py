@@ -105,3 +105,16 @@ def test_line_windows(table, odd):
     assert len(lines.dedup_lines(table(odd)).collect()) == len(odd)
     assert lines.dedup_lines(table([])).collect() == []
     assert hashlib.md5(got[0].kept_text.encode()).hexdigest()
+
+
+def test_verbatim_copies_do_not_depend_on_what_stands_before(spark, table):
+    items = [(1, "Name the largest moon of Saturn now"), (2, "Which river flows through the old town of Basel and then on to the sea"), (3, "Seven grey geese fly over Lake Zurich every cold morning")]
+    rows = [(i, before + text + after) for i, text in items for before, after in (("", ""), ("Question ", " please"), ("and so\n", "."), ("x. ", "!"))]
+    rows += [(i, text.lower()) for i, text in items] + [(i, "so " + text.replace(" ", " \n ").upper()) for i, text in items]
+    got = decontaminate.decontaminate(table([*rows, (9, "Name the largest moon, of course; the old town of Basel")]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r.item_ids == str(r.doc_id) for r in got if r.doc_id != 9) and [r.contaminated for r in got if r.doc_id == 9] == [False]
+
+
+def test_exchanged_name_at_the_start_is_caught(spark, table):
+    rows = [(1, "It says: Carla has 40 apples in the basket"), (2, "Carla has 40 apples in the basket"), (3, "then Carla has 40 apples in the basket"), (4, "the cat has 40 apples in the basket")]
+    assert flagged(spark, table, rows, [(7, "Anna has 12 apples in the basket")]) == {(1, "7"), (2, "7"), (3, "7")}
