@@ -11,9 +11,13 @@ item's words, but no more than `COVER` are asked for, and the slots agree: where
 a value, the document repeats its own value. So a question whose numbers and names were exchanged is
 caught, a coincidence of placeholders isn't.
 
-Null and empty texts are never contaminated. Items with fewer than `LEAST` words cannot be told
-from ordinary text and are not searched; items between that and the window are one window of their
-own length. Benchmark windows with less than half literal words are not used. Repeated rows get the
+Null and empty texts are never contaminated. Windows with less than half literal words are found by
+their values only, the others on the template; either kind alone can reach its share, of all words
+or of the words in windows of the second kind. Items shorter than the window are one window of their
+own length. Items with fewer than `LEAST` words cannot be told from ordinary text by a template: they
+are found where their words stand in a row with the same values and the text holds the item with the
+signs between its words (case, blanks and signs at its ends aside), so an item of one word is found
+wherever that word stands. Items without a letter or digit are not searched. Repeated rows get the
 same answer each; rows that share an id are told apart by text. An empty benchmark flags nothing.
 A null id is an id.
 """
@@ -82,20 +86,19 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("item_text")).distinct()
     items = items.withColumn("ws", template(F.col("item_text"))).withColumn("n_words", F.size("ws"))
-    items = items.filter(F.col("n_words") >= LEAST).withColumn("length", F.least("n_words", F.lit(WINDOW)))
+    items = items.filter("n_words > 0").withColumn("length", F.least("n_words", F.lit(WINDOW)))
     items = items.withColumns({**_coded("ws"), "item_twin": F.xxhash64("item_text")})
 
     def spot(i: Column) -> Column:
         run = F.slice("ws", i + 1, F.col("length"))
         literal = F.size(F.filter(run, lambda w: ~w.startswith("<"))) * 2
         typed, named, plain = _keys(i, F.col("length"))
-        first = (i == 0) & (literal - 2 >= F.col("length"))
-        return F.struct(
-            i.alias("ipos"), F.when(literal >= F.col("length"), typed).alias("typed"), F.when(first, named).alias("named"), plain.alias("plain")
-        )
+        fine = (F.col("n_words") >= LEAST) & (literal >= F.col("length"))
+        first = fine & (i == 0) & (literal - 2 >= F.col("length"))
+        return F.struct(i.alias("ipos"), F.when(fine, typed).alias("typed"), F.when(first, named).alias("named"), plain.alias("plain"))
 
     spots = F.transform(F.sequence(F.lit(0), F.col("n_words") - F.col("length")), spot)
-    items = items.withColumn("spots", F.when(F.col("n_words") >= LEAST, spots))  # filters may move
+    items = items.withColumn("spots", F.when(F.col("n_words") > 0, spots))  # filters may move
     fine = F.transform(F.filter("spots", lambda x: x["typed"].isNotNull()), lambda x: F.sequence(x["ipos"], x["ipos"] + F.col("length") - 1))
     items = items.withColumn("usable", F.size(F.array_distinct(F.flatten(fine))))
     rows = items.select("item_id", "item_text", "item_twin", "length", "n_words", "usable", F.explode("spots").alias("x"))
@@ -105,6 +108,12 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     return rows.select("item_id", "item_text", "item_twin", "length", "n_words", "usable", "ipos", "k.key", "k.typed")
 
 
+def _bare(text: Column) -> Column:
+    """A text in lower case with single blanks, without what is no letter or number at its ends."""
+    low = F.lower(F.regexp_replace(text, r"\s+", " "))
+    return F.regexp_replace(low, r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", "")
+
+
 def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a saved table whose rows have been counted; a larger one joins by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -147,12 +156,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item
     named = docs.withColumnsRenamed({"doc_id": "_id", "twin": "_twin"})
     hot = _small(runs.select("doc_id", "twin").distinct().withColumn("is_hit", F.lit(True)))
     texts = named.join(hot, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_twin") == F.col("twin")))
-    texts = texts.select("_id", "_twin", template(F.col("text")).alias("ws")).dropDuplicates(["_id", "_twin"])
+    texts = texts.dropDuplicates(["_id", "_twin"]).select("_id", "_twin", template(F.col("text")).alias("ws"), _bare(F.col("text")).alias("bare"))
     items = windows.select("item_id", "item_twin", "item_text").distinct().select(
-        F.col("item_id").alias("_item"), F.col("item_twin").alias("_item_twin"), template(F.col("item_text")).alias("iws")
+        F.col("item_id").alias("_item"), F.col("item_twin").alias("_item_twin"), template(F.col("item_text")).alias("iws"), _bare(F.col("item_text")).alias("ibare")
     )
     both = runs.join(texts, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_twin") == F.col("twin")))
     both = both.join(_small(items), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_twin") == F.col("_item_twin")))
+    # the few words of a short item count only with the signs between them
+    both = both.filter((F.col("n_words") >= LEAST) | F.contains("bare", "ibare"))
     both = both.withColumn("covered", _reached(F.col("at")))
     # what may be a name is a slot too; without an exchange it holds the same word on both sides
     pairs = F.transform(

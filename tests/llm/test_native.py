@@ -118,3 +118,14 @@ def test_verbatim_copies_do_not_depend_on_what_stands_before(spark, table):
 def test_exchanged_name_at_the_start_is_caught(spark, table):
     rows = [(1, "It says: Carla has 40 apples in the basket"), (2, "Carla has 40 apples in the basket"), (3, "then Carla has 40 apples in the basket"), (4, "the cat has 40 apples in the basket")]
     assert flagged(spark, table, rows, [(7, "Anna has 12 apples in the basket")]) == {(1, "7"), (2, "7"), (3, "7")}
+
+
+def test_dense_and_short_items_are_found_by_their_values(spark, table):
+    items = [
+        (1, "Compute 3 + 4 * 12 - 7"), (2, "What is 2 + 2?"), (3, "Add 17 and 25, 38 and 41, 56 and 67 now"),
+        (4, "1 2 4 8 16 32 add the next two numbers here"), (5, "Paris"), (6, "?!"),
+    ]
+    rows = [(i, f"so here it is: {text} and more") for i, text in items[:5]]
+    rows += [(11, "so here it is: Compute 3 + 4 * 12 - 8"), (12, "what is 2 - 2"), (13, "Add 18 and 24, 39 and 40, 57 and 66 now"), (14, "comparison"), (15, "?!")]
+    rows += [(16, "so 3 5 7 9 11 13 add the next two numbers here")]
+    assert flagged(spark, table, rows, items) == {(i, str(i)) for i in range(1, 6)} | {(16, "4")}
