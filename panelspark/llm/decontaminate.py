@@ -9,7 +9,9 @@ opens a window, and runs of blanks are one blank. Windows that match at the same
 document and item lie on one diagonal; a diagonal counts when its windows cover `SHARE` of the
 item's words, but no more than `COVER` are asked for, and the slots agree: wherever the item repeats
 a value, the document repeats its own value. So a question whose numbers and names were exchanged is
-caught, a coincidence of placeholders isn't.
+caught, a coincidence of placeholders isn't. A slot that breaks this, where it isn't what the document
+mostly has for that value, takes only the windows around it away; the diagonal still counts if the
+others cover enough, or if there are `COVER` literal words without any slot.
 
 Null and empty texts are never contaminated. Windows with less than half literal words are found by
 their values only, the others on the template; either kind alone can reach its share, of all words
@@ -130,6 +132,11 @@ def _enough(at: Column, typed: Column) -> Column:
     return ((F.size(typed) > 0) & (F.size(_reached(typed)) >= wanted[0])) | (F.size(_reached(at)) >= wanted[1])
 
 
+def _value(x: Column) -> Column:
+    """What the item and the document have in a slot."""
+    return F.struct(x["i"].alias("i"), x["d"].alias("d"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, twin, item_id, covered, n_slots) of all leaks; ``docs`` has doc_id, twin and text."""
     windows = saved(benchmark_windows(benchmark, item_col, item_text), "bench-windows")
@@ -171,14 +178,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item
         lambda p: F.struct(
             p.alias("p"),
             F.regexp_replace(F.element_at("iws", p - F.col("shift") + 1), "^_(.*)$", "<p$1>").alias("i"),
+            F.element_at("iws", p - F.col("shift") + 1).startswith("_").alias("word"),
             _plain(F.element_at("ws", p + 1)).alias("d"),
         ),
     )
-    both = both.withColumn("all_slots", F.filter(pairs, lambda x: x["i"].startswith("<")))
-    both = both.withColumn("slots", F.array_distinct(F.transform("all_slots", lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d")))))
-    agree = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["i"])))
-    return both.filter(agree).select(
-        "doc_id", "twin", "item_id", F.size("covered").alias("covered"), F.size("slots").alias("n_slots")
+    both = both.withColumn("slots", F.filter(pairs, lambda x: x["i"].startswith("<")))
+    both = both.withColumn("values", F.array_distinct(F.transform("slots", _value)))
+    agree = F.size("values") == F.size(F.array_distinct(F.transform("values", lambda x: x["i"])))
+    exchanged = F.filter("slots", lambda x: ~x["word"] | (_plain(x["i"]) != x["d"]))
+    both = both.withColumns({"agree": agree, "literal": F.size("covered") - F.size(exchanged)})
+    # where they do not agree, slots go that hold something else than most slots of their value, with the windows around them
+    odd = F.filter(
+        "values",
+        lambda v: F.size(F.filter("slots", lambda x: _value(x) == v)) * 2 <= F.size(F.filter("slots", lambda x: x["i"] == v["i"])),
+    )
+    decided = F.col("agree") | (F.col("literal") >= COVER)
+    both = both.withColumn("odd", F.when(~decided, odd))
+    both = both.withColumn("away", F.transform(F.filter("slots", lambda x: F.array_contains("odd", _value(x))), lambda x: x["p"]))
+    for c in ("at", "typed"):
+        stays = F.filter(c, lambda p: ~F.exists("away", lambda q: (q >= p) & (q < p + F.col("length"))))
+        both = both.withColumn(c, F.when(decided, F.col(c)).otherwise(stays))
+    covered = F.when(F.col("agree"), F.size("covered")).when(decided, F.col("literal")).otherwise(F.size(_reached(F.col("at"))))
+    return both.filter(decided | _enough(F.col("at"), F.col("typed"))).select(
+        "doc_id", "twin", "item_id", covered.alias("covered"), F.size("values").alias("n_slots")
     )
 
 

@@ -129,3 +129,18 @@ def test_dense_and_short_items_are_found_by_their_values(spark, table):
     rows += [(11, "so here it is: Compute 3 + 4 * 12 - 8"), (12, "what is 2 - 2"), (13, "Add 18 and 24, 39 and 40, 57 and 66 now"), (14, "comparison"), (15, "?!")]
     rows += [(16, "so 3 5 7 9 11 13 add the next two numbers here")]
     assert flagged(spark, table, rows, items) == {(i, str(i)) for i in range(1, 6)} | {(16, "4")}
+
+
+def test_one_odd_slot_does_not_hide_a_long_copy(spark, table):
+    long = (
+        "In the year 1871 the old mill of Anna was sold to a baker, who kept the wheel turning for the whole village. "
+        "Later on it was Anna again who bought it back in 1871 and let the children of the village play on the stones."
+    )
+    slim = "from Anna 12 went to Bob 15 for Anna 12 and Bob 15 gave Carl 18 to Dora 21 with Emil 24 near Fred 27 by"
+    rows = [
+        (1, long), (2, long.replace("was Anna again", "was Anne again")), (3, long.replace("1871 and", "1781 and")),
+        (4, slim.replace("by", "on").replace("for Anna 12", "for Anna 13")),
+        (5, "In the year 1871 the old mill of Anna was gone. Nobody bought it back in 1900 or let it"),
+    ]
+    got = flagged(spark, table, rows, [(7, long), (8, slim)])
+    assert {d for d, _ in got} == {1, 2, 3, 4}
