@@ -4,8 +4,8 @@ The model: every character n-gram (1 to 4) of a word with borders is hashed into
 embedding table; a text is the mean of its rows, a linear layer and softmax give the language.
 Embeddings and layer are trained in numpy by stochastic gradient descent on pieces of labelled
 texts. The training pieces are a bounded sample (`PIECES`, a documented bound): all labelled texts
-are cut into pieces of `PIECE` characters, and pieces are drawn by hash so that every language
-gets the same expected number. One piece in five is held back: on these a temperature is fitted,
+are cut into pieces of `PIECE` characters, and of the different pieces of each language the same
+number is drawn by hash, at least one; copies do not count. One piece in five is held back: on these a temperature is fitted,
 and the confidence below which a text is rejected is set so that at most `REFUSE` of them go; it
 is never above `PRIOR` times the confidence of a text of which nothing is known, so that known but
 mixed texts stay.
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.shared import mix
@@ -37,6 +37,7 @@ DIM = 12
 GRAMS = (1, 2, 3, 4)
 PIECE = 200
 PIECES = 12_000
+MANY = 64
 REFUSE = 0.0005
 PRIOR = 1.1
 UNKNOWN = "und"
@@ -70,21 +71,26 @@ def _ngrams(text: str) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    """`weights` are per-bucket logits (embedding times layer), already divided by the temperature."""
+    """`weights` are per-bucket logits (embedding times layer), already divided by the temperature.
+
+    With many languages they are the embeddings, and `layer` (so divided) makes logits of their mean.
+    """
 
     languages: list[str]
     weights: np.ndarray
     bias: np.ndarray
     threshold: float
+    layer: np.ndarray | None = None
 
     def logits(self, text: str) -> np.ndarray:
         """Mean over all n-grams of the whole text, in steps of bounded size."""
-        total, n = np.zeros(len(self.languages)), 0
+        total, n = np.zeros(self.weights.shape[1]), 0
         for at in range(0, max(len(text), 1), STEP):
             grams = _ngrams(text[at : at + STEP])
             total += self.weights.take(grams, axis=0).sum(axis=0)
             n += len(grams)
-        return total / max(n, 1) + self.bias
+        mean = total / max(n, 1)
+        return (mean if self.layer is None else mean @ self.layer) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not self.languages or not LETTER.search(text):
@@ -132,8 +138,9 @@ def _train(texts: list[str], langs: list[str], seed: int = 11, epochs: int = 4,
             for d in range(DIM):
                 table[:, d] -= rate * 12 * np.bincount(flat, rows[:, d], minlength=BUCKETS)
         rng.shuffle(train)
-    weights = table @ layer
-    model = LanguageModel(names, weights, bias, 0.0)
+    last = layer if len(names) > MANY else None
+    weights = table @ layer if last is None else table
+    model = LanguageModel(names, weights, bias, 0.0, last)
     check = held if len(held) else train
     z = np.array([model.logits(texts[i]) for i in check])
     best_t, best = 1.0, np.inf
@@ -147,28 +154,29 @@ def _train(texts: list[str], langs: list[str], seed: int = 11, epochs: int = 4,
     sure = np.sort((q / q.sum(1, keepdims=True)).max(1))
     prior = np.exp((bias - bias.max()) / best_t)
     threshold = min(float(sure[int(len(sure) * REFUSE)]), PRIOR * float(prior.max() / prior.sum()))
+    if last is not None:
+        return LanguageModel(names, weights, bias / best_t, threshold, last / best_t)
     return LanguageModel(names, weights / best_t, bias / best_t, threshold)
 
 
 def train(docs: DataFrame, learn: Column | None = None, pieces: int = PIECES) -> LanguageModel:
-    """Fit on the rows of ``docs`` (text, lang) for which ``learn`` holds; at most ``pieces`` pieces."""
+    """Fit on the rows of ``docs`` (text, lang) for which ``learn`` holds; at most ``pieces`` pieces, or one for each language."""
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
     if learn is not None:
         rows = rows.filter(learn)
-    rows = rows.withColumn("_n", F.ceil(F.length("text") / PIECE).cast("int")).filter("_n > 0")
-    counts = rows.groupBy("lang").agg(F.sum("_n").alias("n")).orderBy(F.desc("n")).limit(1000).collect()
+    # extracting is linear in the text, substrings at all places are not
+    cut = rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("piece"))
+    cut = cut.withColumn("h", F.xxhash64("piece"))
+    counts = cut.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return _train([], [])
-    # a piece stays if its hash is under its language's rate
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, pieces / len(counts) / r.n))])
-    places = F.filter(
-        F.sequence(F.lit(0), F.col("_n") - 1),
-        lambda i: F.pmod(F.xxhash64(F.col("_h"), i), F.lit(1 << 30)) < F.col("_rate") * (1 << 30),
-    )
-    drawn = rows.withColumns({"_h": F.xxhash64("text"), "_rate": F.coalesce(rates[F.col("lang")], F.lit(0.0))})
-    drawn = drawn.select("lang", "text", F.explode(places).alias("i"))
-    sample = drawn.select("lang", F.substring("text", F.col("i") * PIECE + 1, F.lit(PIECE)).alias("piece"))
-    rows = sample.orderBy(F.xxhash64("piece"), "piece", "lang").limit(2 * pieces).collect()
+    share = max(1, pieces // len(counts))
+    # few pieces of each language are ranked; that fewer than its share pass is next to impossible
+    rates = docs.sparkSession.createDataFrame([(r.lang, min(1.0, (2 * share + 40) / r.n)) for r in counts], "lang string, rate double")
+    drawn = cut.join(F.broadcast(rates), "lang").filter(F.shiftrightunsigned("h", 11) < F.col("rate") * float(1 << 53))
+    drawn = drawn.select("lang", "h", "piece").distinct()
+    first = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "piece")))
+    rows = first.filter(F.col("r") <= share).orderBy("h", "piece", "lang").select("lang", "piece").collect()
     return _train([r.piece for r in rows], [r.lang for r in rows])
 
 

@@ -197,3 +197,25 @@ def test_neighbours_of_few(spark):
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == exact(rows, 20)[0]
     assert neighbours.nearest(vectors(spark, rows[:1])).collect() == []
     assert neighbours.nearest(vectors(spark, []).filter("true")).collect() == []
+
+
+def test_copies_and_many_languages_do_not_hide_a_language(table, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language, "_train", lambda texts, langs: seen.update(rows=list(zip(langs, texts, strict=True))))
+    rnd = random.Random(5)
+    words = lambda: " ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(20))
+    rows = [(i, "one text again and again", "cc") for i in range(600)] + [(1000 + i, words(), x) for x in ("aa", "bb", "cc") for i in range(60)]
+    language.train(table(rows), pieces=90)
+    assert len(seen["rows"]) == len(set(seen["rows"])) == 90
+    assert {x: sum(a == x for a, _ in seen["rows"]) for x in ("aa", "bb", "cc")} == {"aa": 30, "bb": 30, "cc": 30}
+    language.train(table([(i, f"text {i}", f"l{i}") for i in range(1100)]), pieces=90)
+    assert len({x for x, _ in seen["rows"]}) == 1100
+
+
+def test_layer_of_many_languages(monkeypatch):
+    rnd = random.Random(4)
+    texts, langs = [prose(rnd, x) for x in ("aa", "bb") * 30], ["aa", "bb"] * 30
+    whole = language._train(texts, langs)
+    monkeypatch.setattr(language, "MANY", 1)
+    split = language._train(texts, langs)
+    assert split.weights.shape[1] == language.DIM and np.allclose(split.logits(texts[0]), whole.logits(texts[0]))
