@@ -57,12 +57,14 @@ def template(text: Column) -> Column:
 
 def _plain(w: Column) -> Column:
     """A template word as it stands in the text."""
-    return F.regexp_replace(w, "^<[nup]|^_|>", "")
+    value = F.translate(F.substring(w, 3, 1 << 30), ">", "")
+    return F.when(w.startswith("<"), value).when(w.startswith("_"), F.substring(w, 2, 1 << 30)).otherwise(w)
 
 
 def _kind(w: Column) -> Column:
     """A template word without its value."""
-    return F.when(w.startswith("<"), F.concat(F.substring(w, 1, 2), F.lit(">"))).otherwise(F.ltrim(w, F.lit("_")))
+    kind = F.concat(F.substring(w, 1, 2), F.lit(">"))
+    return F.when(w.startswith("<"), kind).when(w.startswith("_"), F.substring(w, 2, 1 << 30)).otherwise(w)
 
 
 def _coded(ws: str) -> dict[str, Column]:
