@@ -67,6 +67,12 @@ def mix_sources(
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")
     )
+    return _drawn(rows, weights, most, seed)
+
+
+def _drawn(rows: DataFrame, weights: tuple[float, ...], most: float, seed: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """What ``mix_sources`` returns, for (doc_id, source, size) and further columns, which stay; equal ids are ordered by ``ties``."""
+    own = [c for c in rows.columns if c not in ("doc_id", "source", "size")]
     name = F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))
     ident = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     rows = rows.withColumns({"src": name, "h": _hex(ident, 8)}).withColumn("h", F.coalesce("h", F.lit(0)))
@@ -88,24 +94,20 @@ def mix_sources(
         "offset": _hex(F.concat_ws("|", F.lit(str(seed)), F.lit("offset"), name), 8) / 2**32,
     }).drop("source")
     ranked = rows.withColumn("slot", (F.col("h") * fine / 2**32).cast("int")).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("src", "size", "slot").orderBy("h", F.col("doc_id").asc_nulls_first()))
+        "rank", F.row_number().over(Window.partitionBy("src", "size", "slot").orderBy("h", F.col("doc_id").asc_nulls_first(), *ties))
     )
     placed = ranked.join(places, ["src", "size", "slot"]).join(targets, "src")
     place = F.col("size_start") + F.col("slot_start") + F.col("rank")
     crossed = F.floor(place * F.col("rate") + F.col("offset")) - F.floor((place - 1) * F.col("rate") + F.col("offset"))
     copies = F.least(crossed, F.lit(int(math.floor(most)))).cast("long")
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *own
     )
 
 
 def mix_stage(docs: DataFrame) -> DataFrame:
-    """The mixed rows of ``docs``: each document as often as it was drawn, with its own columns.
-
-    Rows that share an id share their number of copies (the largest of them).
-    """
-    drawn = mix_sources(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("_drawn")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("_drawn")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(
-        *[docs[c] for c in docs.columns]
-    )
+    """The mixed rows of ``docs``: each row as often as it was drawn itself, with its own columns."""
+    row = F.struct(*[docs[c] for c in docs.columns])
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row.alias("_row"), F.xxhash64("text").alias("_twin"))
+    drawn = _drawn(rows, WEIGHTS, MOST, 7, ("_twin",)).filter("copies > 0")
+    return drawn.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

@@ -95,7 +95,7 @@ def _class_of(found: np.ndarray) -> bytes:
 
 
 def described(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(doc_id, n, node, keys): set size, class and chunk keys; an empty set has no class."""
+    """(doc_id, twin, n, node, keys) of (doc_id, text, twin): set size, class and chunk keys; an empty set has no class."""
     cut = chunks(similarity)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,11 +114,11 @@ def described(docs: DataFrame, k: int, similarity: float) -> DataFrame:
                         nodes.append(None)
                         keys.append(None)
                 yield pa.record_batch(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "node", "keys"],
+                    [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "twin", "n", "node", "keys"],
                 )
 
-    return docs.mapInArrow(describe, "doc_id long, n long, node binary, keys array<long>")
+    return docs.mapInArrow(describe, "doc_id long, twin long, n long, node binary, keys array<long>")
 
 
 def _shingle_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -149,9 +149,9 @@ def _size_fits(n: Column, m: Column, percent: int) -> Column:
 
 
 def near_components(docs: DataFrame, k: int = 3, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, node) of ``docs`` (doc_id, text), and (node, root) of the linked classes."""
+    """Rows (doc_id, twin, n, node) of ``docs`` (doc_id, text, twin), and (node, root) of the linked classes."""
     told = saved(described(docs, k, percent / 100), "signatures")
-    rows = told.select("doc_id", "n", "node")
+    rows = told.select("doc_id", "twin", "n", "node")
     classes = told.filter("node IS NOT NULL").groupBy("node").agg(
         F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("doc_id").alias("at")
     )
@@ -220,17 +220,29 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 85) -> tuple[Dat
     return rows, roots
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
-    rows, roots = near_components(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), k, percent)
+def _decided(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, twin, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
+    rows, roots = near_components(docs.select("doc_id", "text", F.xxhash64("text").alias("twin")), k, percent)
     named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).filter("c > 1")
     joined = named.join(least, "root", "left")
     group = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(group).alias("kept")
+    return joined.select("doc_id", "twin", F.col("n").alias("n_shingles"), group.alias("component_id"), kept)
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    return _decided(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), k, percent).drop("twin")
 
 
 def near_duplicate_stage(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of ``docs`` for each group of near-duplicates, with its own columns; repeated rows stay once."""
-    kept = near_duplicates(docs, k, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """The kept rows of ``docs``, with their own columns; of rows that share id and text one stays.
+
+    A row with neither id nor text goes.
+    """
+    docs = docs.filter(docs["doc_id"].isNotNull() | docs["text"].isNotNull())
+    kept = _decided(docs, k, percent).filter("kept").select(F.col("doc_id").alias("_kept"), F.col("twin").alias("_kept_twin")).distinct()
+    rows = docs.withColumn("_twin", F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(F.col("_kept")) & (rows["_twin"] == F.col("_kept_twin"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_twin"]).drop("_twin")

@@ -144,3 +144,13 @@ def test_one_odd_slot_does_not_hide_a_long_copy(spark, table):
     ]
     got = flagged(spark, table, rows, [(7, long), (8, slim)])
     assert {d for d, _ in got} == {1, 2, 3, 4}
+
+
+def test_mixed_rows_are_those_drawn_even_under_one_id(table):
+    rows = [(None if i % 2 else 5, "w " * (1 + i % 7) + f"x{i}", "en", s) for i, s in enumerate(["a", "b", "b", "b", "b", "c"] * 60)]
+    docs, want, got = table(rows), {}, {}
+    for r in mixing.mix_sources(docs).collect():
+        want[r.source] = want.get(r.source, 0) + r.taken
+    for r in mixing.mix_stage(docs).collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    assert got == want

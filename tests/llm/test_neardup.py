@@ -93,3 +93,12 @@ def test_components_of_a_long_path(spark):
     got = dict(components(links).collect())
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
     assert components(links.filter("false")).collect() == []
+
+
+def test_stage_tells_rows_of_one_id_apart(table):
+    rnd = random.Random(8)
+    text = [" ".join(rnd.choices("abcdefghijklmnop", k=30)) for _ in range(6)]
+    near = text[0] + " q"
+    rows = [(None, text[1]), (None, text[2]), (None, None), (5, text[3]), (5, text[4]), (5, text[4]), (1, text[0]), (2, near), (2, text[5]), (7, ""), (7, None)]
+    got = sorted(((r.doc_id, r.text) for r in neardup.near_duplicate_stage(table(rows)).collect()), key=str)
+    assert got == sorted(set(rows) - {(2, near), (None, None)}, key=str)
