@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.text import label
-from panelspark.operators.layout import exact_median
+from panelspark.operators.layout import exact_medians
 from panelspark.params import ABLATIONS, BASELINE_MODELS, CONFIGS, FACTORS, METRICS
 
 CELL = ("currency", "horizon")
@@ -81,12 +81,10 @@ def delta_summary(deltas: DataFrame, by: Sequence[str] = ("model", "config")) ->
         F.avg("da_delta").alias("mean_da_delta"),
         F.count("rmse_delta").alias("n"),
     )
-    for metric in ("rmse_delta", "da_delta"):
-        middle = exact_median(deltas, by, metric, f"median_{metric}")
-        side = middle.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], f"median_{metric}")
-        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]
-        sums = sums.join(side, same, "left").drop(*[f"_k{i}" for i in range(len(by))])
-    return sums
+    middles = exact_medians(deltas, by, {"median_rmse_delta": "rmse_delta", "median_da_delta": "da_delta"})
+    side = middles.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "median_rmse_delta", "median_da_delta")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]
+    return sums.join(side, same, "left").drop(*[f"_k{i}" for i in range(len(by))])
 
 
 def best_config(summary: DataFrame) -> DataFrame:

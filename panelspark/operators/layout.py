@@ -8,7 +8,7 @@ small table with one row per chunk, or by a halo of neighbouring rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -17,7 +17,6 @@ from panelspark.session import cut
 
 CHUNK_DAYS = 1024
 CHUNK_ROWS = 8192
-ROWS_PER_RANGE = 200_000
 
 
 def day_chunk(day: Column | str, days: int = CHUNK_DAYS) -> Column:
@@ -101,64 +100,117 @@ def checked_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 6
     return small_side(cut(df), max_rows, max_bytes)
 
 
-def value_ranges(
-    df: DataFrame, by: Sequence[str], value: str, ranges: int | None = None, per_range: int = ROWS_PER_RANGE
-) -> DataFrame:
-    """Cut points per group that split its values into parts of about equal size.
+# ---- order statistics -------------------------------------------------------------------
+
+
+DIGIT_BITS = 22
+
 
-    Their number follows the largest group, so that a range holds about ``per_range`` rows.
+def order_key(value: Column) -> Column:
+    """A whole number that orders as the doubles do: their IEEE bits, negated below zero.
 
-    Approximate quantiles merge in arrival order, so the cut points are written
-    down once: every later task has to see the same ones.
+    Both zeros are 0 and NaN is above infinity. Scaling by a power of two is exact, so the 52 bits
+    of the fraction come out exactly; a logarithm that is off at a power of two is put right.
     """
-    if ranges is None:
-        largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-        ranges = max(2, -(-largest // per_range))
-    probs = [i / ranges for i in range(1, ranges)]
-    points = df.groupBy(*by).agg(F.percentile_approx(value, probs, max(10_000, 4 * ranges)).alias("_points"))
-    return small_side(cut(points))
+    size = F.abs(value)
+    guess = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(size))))
+    part = size / F.pow(F.lit(2.0), guess)
+    exponent = F.when((part >= 2) & (guess < 1023), guess + 1).when((part < 1) & (guess > -1022), guess - 1).otherwise(guess)
+    part = size / F.pow(F.lit(2.0), exponent)
+    # below 2^-1022 numbers have no leading one: their part is under 1 and their exponent field 0
+    bits = F.when(part >= 1, (exponent.cast("long") + 1022) * (1 << 52)).otherwise(F.lit(0).cast("long")) + (part * float(1 << 52)).cast("long")
+    top = 2047 << 52
+    bits = F.when(size == float("inf"), F.lit(top)).otherwise(bits)
+    return (
+        F.when(value.isNull(), F.lit(None).cast("long")).when(F.isnan(value), F.lit(top + 1)).when(value == 0, F.lit(0).cast("long"))
+        .when(value < 0, -bits).otherwise(bits)
+    )
 
 
-def range_of(value: str, points: str = "_points") -> Column:
-    """Index of the value range; equal values always share one."""
-    return F.size(F.filter(F.col(points), lambda p: p < F.col(value)))
+def _levels(bits: int) -> list[int]:
+    """Shifts from the last level (whole keys: 0) up to the first one."""
+    return list(range(0, 64, bits))
 
 
-def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str, accuracy: int = 10_000) -> DataFrame:
-    """Exact median per group (mean of the middle two), for groups of any size.
+def _matched(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str) -> DataFrame:
+    """Inner join on null-safe groups and one prefix; the columns of ``right`` are named apart before."""
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)] + [F.col(left_on) == F.col(right_on)]
+    named = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], *[c for c in right.columns if c not in by])
+    return left.join(named, same).drop(*[f"_k{i}" for i in range(len(by))], right_on)
 
-    Approximate quantiles bracket the middle.  Rows below and above the bracket
-    are only counted; values inside are counted per distinct value, so the one
-    ordered pass sees a small part of a group.
-    """
-    rows = df.filter(F.col(value).isNotNull()).select(*by, value)
-    slack = 4.0 / accuracy
-    bracket = cut(
-        rows.groupBy(*by).agg(
-            F.percentile_approx(value, [0.5 - slack, 0.5 + slack], accuracy).alias("_b"),
-            F.count(F.lit(1)).alias("_n"),
-        )
-    )
-    renamed = small_side(bracket.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], "_b", "_n"))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]
-    lo, hi = F.col("_b")[0], F.col("_b")[1]
-    zone = F.when(F.col(value) < lo, -1).when(F.col(value) > hi, 1).otherwise(0)
-    counts = (
-        rows.join(renamed, same)
-        .withColumn("_zone", zone)
-        .withColumn("_v", F.when(F.col("_zone") == 0, F.col(value)))
-        .groupBy(*by, "_n", "_zone", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    upto = (
-        Window.partitionBy(*by)
-        .orderBy("_zone", "_v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    low_rank, high_rank = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
-    ranked = counts.withColumn("_last", F.sum("_c").over(upto)).withColumn("_first", F.col("_last") - F.col("_c") + 1)
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_first") <= rank) & (rank <= F.col("_last")), F.col("_v")))
+def _counted(kinds: DataFrame, by: Sequence[str], size: str, bits: int) -> list[DataFrame]:
+    """Rows per group and key prefix, from whole keys (level 0) up to the first ``bits`` or fewer."""
+    tables = [kinds]
+    for shift in _levels(bits)[1:]:
+        last = tables[-1].select(*by, F.shiftright("_key", bits).alias("_key"), F.col(size))
+        tables.append(last.groupBy(*by, "_key").agg(F.sum(size).alias(size)))
+    return tables
+
 
-    return ranked.groupBy(*by).agg(((at(low_rank) + at(high_rank)) / 2).alias(name))
+def with_rows_below(kinds: DataFrame, by: Sequence[str], value: str, size: str, name: str, bits: int = DIGIT_BITS) -> DataFrame:
+    """Add to one row per group and value the number of rows of the group with a smaller value.
+
+    Values are read as 64-bit keys, a digit of ``bits`` bits at a time: rows are counted per prefix, and
+    a prefix sum over the digits under one prefix adds to what lies below that prefix. A task orders at
+    most 2^bits rows at once, whatever the size of a group; no value looks for its range, and there is
+    nothing to sample or to write down.
+    """
+    keyed = kinds.withColumn("_key", order_key(F.col(value).cast("double")))
+    tables = _counted(keyed.select(*by, "_key", size), by, size, bits)
+    below = None
+    for level in range(len(tables) - 1, -1, -1):
+        rows = tables[level] if level else keyed
+        if below is None:
+            digits = Window.partitionBy(*by).orderBy("_key")
+            start = F.lit(0).cast("long")
+        else:
+            rows = _matched(rows.withColumn("_up", F.shiftright("_key", bits)), below, by, "_up", "_at")
+            digits = Window.partitionBy(*by, "_up").orderBy("_key")
+            start = F.col("_start")
+        before = F.coalesce(F.sum(size).over(digits.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = rows.withColumn("_below", start + before)
+        below = placed.select(*by, F.col("_key").alias("_at"), F.col("_below").alias("_start"))
+    return placed.select(*kinds.columns, F.col("_below").alias(name))
+
+
+def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str, bits: int = DIGIT_BITS) -> DataFrame:
+    """Exact median per group (mean of the middle two), for groups of any size."""
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    return _medians(rows, by, bits).withColumnRenamed("_median", name)
+
+
+def exact_medians(df: DataFrame, by: Sequence[str], values: Mapping[str, str], bits: int = DIGIT_BITS) -> DataFrame:
+    """Exact medians of several columns per group (name -> column), selected together."""
+    long = F.inline(F.array(*[F.struct(F.lit(n).alias("_name"), F.col(c).cast("double").alias("_v")) for n, c in values.items()]))
+    rows = df.select(*by, long).filter(F.col("_v").isNotNull())
+    found = _medians(rows, [*by, "_name"], bits)
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, F.col("_median"))).alias(n) for n in values])
+
+
+def _medians(rows: DataFrame, by: Sequence[str], bits: int) -> DataFrame:
+    """Selection by counted histograms: a digit at a time, only the prefixes that hold a middle row stay.
+
+    The rows are counted per value once, with map-side sums; every level sums the one below it. A task
+    orders at most 2^bits counts of one group.
+    """
+    kinds = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_key", order_key(F.col("_v")))
+    tables = _counted(kinds.select(*by, "_key", "_n"), by, "_n", bits)
+    chosen = None
+    for level in range(len(tables) - 1, -1, -1):
+        counts = tables[level] if level else kinds
+        if chosen is None:
+            group = Window.partitionBy(*by)
+            counts = counts.withColumns({"_total": F.sum("_n").over(group), "_start": F.lit(0).cast("long")})
+        else:
+            counts = _matched(counts.withColumn("_up", F.shiftright("_key", bits)), chosen, by, "_up", "_at")
+            group = Window.partitionBy(*by, "_up")
+        last = F.sum("_n").over(group.orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        counts = counts.withColumn("_last", F.col("_start") + last).withColumn("_first", F.col("_last") - F.col("_n"))
+        # the middle rows, counted from 0, are (total - 1) / 2 and total / 2, rounded down
+        low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
+        has_low, has_high = ((F.col("_first") <= r) & (r < F.col("_last")) for r in (low, high))
+        held = counts.filter(has_low | has_high)
+        chosen = held.select(*by, F.col("_key").alias("_at"), "_total", F.col("_first").alias("_start"))
+    ends = held.withColumns({"_low": F.when(has_low, F.col("_v")), "_high": F.when(has_high, F.col("_v"))})
+    return ends.groupBy(*by).agg(((F.max("_low") + F.max("_high")) / 2).alias("_median"))

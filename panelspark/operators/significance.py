@@ -1,15 +1,15 @@
 """Paired tests and prediction-comparison tests as grouped aggregates.
 
-Differences are rows; a test is a group.  A test may own most of the rows, so ranks
-are built from value ranges: rows meet only inside a range, and ranges of a test are
-then stacked through a table of a few dozen rows.
+Differences are rows; a test is a group.  A test may own most of the rows, so ranks are
+built a digit of the value at a time: rows are counted per prefix, and a task orders the
+digits under one prefix, never a test.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.pvalues import (
@@ -20,7 +20,7 @@ from panelspark.functions.pvalues import (
     t_two_sided,
 )
 from panelspark.operators.compare import CELL, UNIT, best_by_mean, best_per_group, delta_vs_base
-from panelspark.operators.layout import ROWS_PER_RANGE, exact_median, range_of, value_ranges
+from panelspark.operators.layout import DIGIT_BITS, exact_median, with_rows_below
 
 ALPHA = 0.05
 
@@ -34,36 +34,24 @@ def t_statistics(df: DataFrame, by: Sequence[str], d: str = "d") -> DataFrame:
     return sums.withColumn("t", t).withColumn("t_p", t_two_sided(F.col("t"), F.col("n") - 1)).drop("_sd")
 
 
-def signed_rank_sums(df: DataFrame, by: Sequence[str], d: str = "d", per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def signed_rank_sums(df: DataFrame, by: Sequence[str], d: str = "d", bits: int = DIGIT_BITS) -> DataFrame:
     """Rank sums of positive and negative differences, zeros dropped, average ranks for ties."""
     rows = df.filter(F.col(d).isNotNull()).select(*by, F.col(d).alias("_d"), F.abs(d).alias("_a"))
-    ties = rows.filter("_a > 0").groupBy(*by, "_a").agg(
+    kinds = rows.groupBy(*by, "_a").agg(
         F.count(F.lit(1)).alias("_tie"), F.count_if(F.col("_d") > 0).alias("_pos")
     )
-    points = value_ranges(rows.filter("_a > 0"), by, "_a", per_range=per_range)
-    ranged = ties.join(points, list(by)).withColumn("_range", range_of("_a")).drop("_points")
-    inside = Window.partitionBy(*by, "_range").orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn(
-        "_rank", F.coalesce(F.sum("_tie").over(inside), F.lit(0)) + (F.col("_tie") + 1) / 2
+    zero = F.col("_a") == 0
+    # differences of zero have no rank: they count as no rows
+    sized = kinds.withColumn("_rows", F.when(zero, F.lit(0)).otherwise(F.col("_tie")))
+    ranked = with_rows_below(sized, by, "_a", "_rows", "_below", bits)
+    tie, pos, rank = F.col("_rows").cast("double"), F.when(zero, F.lit(0)).otherwise(F.col("_pos")), F.col("_below") + (F.col("_rows") + 1) / 2
+    return ranked.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(zero, F.col("_tie"))), F.lit(0)).alias("n_zero"),
+        F.nullif(F.sum("_rows"), F.lit(0)).alias("n_ranks"),
+        F.sum(F.when(~zero, rank * pos)).alias("w_plus"),
+        F.sum(F.when(~zero, rank * (tie - pos))).alias("w_minus"),
+        F.sum(F.when(~zero, tie * tie * tie - tie)).alias("tie_term"),
     )
-    tie, pos = F.col("_tie").cast("double"), F.col("_pos")
-    ranges = local.groupBy(*by, "_range").agg(
-        F.sum("_tie").alias("_n"),
-        F.sum("_pos").alias("_np"),
-        F.sum(F.col("_rank") * pos).alias("_wp"),
-        F.sum(F.col("_rank") * (F.col("_tie") - pos)).alias("_wn"),
-        F.sum(tie * tie * tie - tie).alias("_t3"),
-    )
-    below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    stacked = ranges.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0)))
-    sums = stacked.groupBy(*by).agg(
-        F.sum("_n").alias("n_ranks"),
-        F.sum(F.col("_wp") + F.col("_below") * F.col("_np")).alias("w_plus"),
-        F.sum(F.col("_wn") + F.col("_below") * (F.col("_n") - F.col("_np"))).alias("w_minus"),
-        F.sum("_t3").alias("tie_term"),
-    )
-    zeros = rows.groupBy(*by).agg(F.count_if(F.col("_a") == 0).alias("n_zero"))
-    return zeros.join(sums, list(by), "left")
 
 
 def wilcoxon(df: DataFrame, by: Sequence[str], d: str = "d", exact_ranks: int = EXACT_RANKS) -> DataFrame:

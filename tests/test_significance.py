@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import pvalues
 from panelspark.operators import compare, significance
-from panelspark.operators.layout import exact_median, range_of, value_ranges
+from panelspark.operators.layout import _counted, exact_median, exact_medians, order_key, with_rows_below
 
 
 def t_tail(t, df, steps=200_001):
@@ -70,19 +70,16 @@ def test_wilcoxon_equals_enumeration(spark):
 
 
 def test_rank_sums_of_a_large_group(spark):
-    """Many distinct values in one group, cut into value ranges."""
+    """Many distinct values in one group, ranked in digits of nine bits."""
     rng = np.random.default_rng(1)
     d = np.round(rng.normal(0.2, 5, 20_000), 2)
     df = spark.createDataFrame([(float(x),) for x in d], "d double").withColumn("g", F.lit("one"))
-    r = significance.signed_rank_sums(df, ["g"], per_range=400).first()
+    r = significance.signed_rank_sums(df, ["g"], bits=9).first()
     d = d[d != 0]
     order = np.abs(d)
     values, inverse, counts = np.unique(order, return_inverse=True, return_counts=True)
     ranks = (np.cumsum(counts) - counts + (counts + 1) / 2)[inverse]
     assert r.n_ranks == len(d)
-    points = value_ranges(df.select("g", F.abs("d").alias("a")), ["g"], "a", per_range=400)
-    parts = df.withColumn("a", F.abs("d")).join(points, "g").groupBy(range_of("a")).count()
-    assert parts.agg(F.max("count")).first()[0] < 1200  # the largest range of the only group
     assert r.w_plus == pytest.approx(ranks[d > 0].sum()) and r.w_minus == pytest.approx(ranks[d < 0].sum())
 
 
@@ -141,3 +138,49 @@ def test_forms_of_p_values_agree_at_the_border(spark):
     rows = spark.range(1, 60).selectExpr("id / 10.0D AS t").crossJoin(spark.createDataFrame([(999.0,), (1000.0,)], "df double"))
     both = rows.select(t_two_sided(F.col("t"), F.col("df"), 1000).alias("a"), t_two_sided(F.col("t"), F.col("df"), 10).alias("b")).collect()
     assert max(abs(r.a - r.b) for r in both) < 1e-10
+
+
+def bits_of(x):
+    n = int(np.array([abs(x)]).view(np.int64)[0])
+    return 0 if x == 0 else -n if x < 0 else n
+
+
+def test_keys_order_as_doubles_do(spark):
+    rng = np.random.default_rng(5)
+    powers = [2.0**k for k in range(-1074, 1024)]
+    near = [np.nextafter(p, d) for p in powers[::7] for d in (0, np.inf)]
+    some = np.array(rng.integers(-(2**63), 2**63 - 1, 20_000), np.int64).view(np.float64)
+    values = [0.0, -0.0, math.inf, -math.inf, 5e-324, -5e-324, 1.7976931348623157e308, *powers, *near, *map(float, some[~np.isnan(some)])]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = df.select("v", order_key(F.col("v")).alias("k")).collect()
+    assert all(r.k == bits_of(r.v) for r in got)
+    odd = spark.createDataFrame([(math.nan,), (None,)], "v double").select(order_key(F.col("v")).alias("k")).collect()
+    assert odd[0].k > bits_of(math.inf) and odd[1].k is None
+
+
+HOT = [("hot", float(v)) for v in np.round(np.random.default_rng(6).lognormal(0, 0.01, 9_000), 5)]
+GROUPS = HOT + [("a", v) for v in (3.0, -1.0, -1.0, 0.0, -0.0, 1e300, -1e-300)] + [("b", 2.5)] + [(None, 1.0), (None, 4.0)] + [("none", None)]
+
+
+@pytest.mark.parametrize("bits", [9, 22, 64])
+def test_ranks_and_medians_a_digit_at_a_time(spark, bits):
+    df = spark.createDataFrame(GROUPS, "g string, v double")
+    values = {g: np.array([v for k, v in GROUPS if k == g and v is not None]) for g in ("hot", "a", "b", None)}
+    got = {r.g: r.m for r in exact_median(df, ["g"], "v", "m", bits).collect()}
+    assert got == {g: pytest.approx(float(np.median(v)), rel=1e-15) for g, v in values.items()}
+    both = exact_medians(df.withColumn("w", -F.col("v")), ["g"], {"x": "v", "y": "w"}, bits).collect()
+    assert all(r.x == got[r.g] and r.y == -r.x for r in both) and len(both) == 4
+    kinds = df.filter("v IS NOT NULL").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    for r in with_rows_below(kinds, ["g"], "v", "n", "below", bits).collect():
+        assert r.below == (values[r.g] < r.v).sum(), r
+
+
+def test_no_task_orders_more_than_the_digits_under_one_prefix(spark):
+    """One group holds nearly all rows; what a window orders is bounded by the digit, not by the group."""
+    bits = 6
+    kinds = spark.createDataFrame(HOT, "g string, v double").groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    assert kinds.count() > 40 * 2**bits
+    tables = _counted(kinds.select("g", order_key(F.col("v")).alias("_key"), "n"), ["g"], "n", bits)
+    for table in tables:
+        largest = table.groupBy("g", F.shiftright("_key", bits)).count().agg(F.max("count")).first()[0]
+        assert largest <= 2**bits
