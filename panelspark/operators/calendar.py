@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.layout import CHUNK_DAYS, day_chunk
+from panelspark.operators.layout import CHUNK_DAYS, CHUNK_ROWS, day_chunk, with_range
 
 
 def weekdays_through(day: Column) -> Column:
@@ -67,6 +67,7 @@ def fill_days(
     weekdays_only: bool = False,
     dense: bool = False,
     chunk_days: int = CHUNK_DAYS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """One row per day (or weekday) between first and last day, last values carried forward.
 
@@ -77,7 +78,10 @@ def fill_days(
 
     Every row covers the days up to the next row, so the calendar is never joined.
     Rows are ordered inside (series, time bucket); the next day and the last known
-    values cross bucket borders through a table with one row per bucket.
+    values cross bucket borders through a table with one row per bucket. With ``order``
+    a bucket is cut again into ranges of about ``chunk_rows`` rows by day and first order column (a
+    number or a time), so a single day may hold most rows; values cross ranges inside
+    a bucket first and buckets after that.
     """
     keys = list(series)
     weekday = F.weekday(F.col(day)) < 5
@@ -87,29 +91,48 @@ def fill_days(
         *[c for c in order],
         *[F.when(weekday, F.col(v)).alias(v) if weekdays_only else F.col(v) for v in values],
     ).withColumn("_chunk", day_chunk(day, chunk_days)).filter(F.col("_chunk").isNotNull())
+    cells = ["_chunk"]
+    if order:
+        rows = with_range(rows, [*keys, "_chunk"], [day, order[0]], "_part", chunk_rows)
+        cells += ["_day", "_part"]
 
     stamp = F.struct(day, *order) if order else F.col(day)
-    summary = rows.groupBy(*keys, "_chunk").agg(
+    summary = rows.groupBy(*keys, *cells).agg(
         F.min(day).alias("_from"),
         F.max(day).alias("_to"),
         *[F.max_by(F.col(v), F.when(F.col(v).isNotNull(), stamp)).alias(f"_last_{v}") for v in values],
     )
     whole = Window.partitionBy(*keys)
-    chunks = whole.orderBy("_chunk")
-    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
-    borders = summary.select(
-        *keys,
-        "_chunk",
-        F.lead("_from").over(chunks).alias("_next_from"),
-        F.min("_from").over(whole).alias("_start"),
-        F.max("_to").over(whole).alias("_end"),
-        *[F.last(f"_last_{v}", ignorenulls=True).over(earlier).alias(f"_carry_{v}") for v in values],
-    )
 
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(day, *order)
+    def crossed(table: DataFrame, within: list[str], by: list[str]) -> DataFrame:
+        """What crosses into each row of ``table`` from the rows before and after it, ordered by ``by``."""
+        line = Window.partitionBy(*within).orderBy(*by)
+        earlier = line.rowsBetween(Window.unboundedPreceding, -1)
+        return table.select(
+            *table.columns,
+            F.lead("_from").over(line).alias("_next_from"),
+            *[F.last(f"_last_{v}", ignorenulls=True).over(earlier).alias(f"_carry_{v}") for v in values],
+        )
+
+    lasts = [f"_last_{v}" for v in values]
+    if order:
+        # ranges inside their bucket, then buckets: no task orders all ranges of a series
+        ranges = crossed(summary, [*keys, "_chunk"], ["_day", "_part"])
+        at = F.struct("_day", "_part")
+        summary = summary.groupBy(*keys, "_chunk").agg(
+            F.min("_from").alias("_from"), F.max("_to").alias("_to"),
+            *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c in lasts],
+        )
+    borders = crossed(summary, keys, ["_chunk"]).withColumns({"_start": F.min("_from").over(whole), "_end": F.max("_to").over(whole)}).drop("_from", "_to", *lasts)
+    if order:
+        outer = {"_next_from": "_next_bucket", **{f"_carry_{v}": f"_before_{v}" for v in values}}
+        borders = ranges.drop("_from", "_to", *lasts).join(borders.withColumnsRenamed(outer), [*keys, "_chunk"])
+        borders = borders.withColumns({c: F.coalesce(c, o) for c, o in outer.items()}).drop(*outer.values())
+
+    inside = Window.partitionBy(*keys, *cells).orderBy(day, *order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # rows are shuffled by (series, bucket) for the window anyway; the small side is hashed per partition
-    carried = rows.join(borders.hint("shuffle_hash"), [*keys, "_chunk"]).select(
+    carried = rows.join(borders.hint("shuffle_hash"), [*keys, *cells]).select(
         *keys,
         day,
         "_start",

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.session import cut
 
@@ -214,3 +215,29 @@ def _medians(rows: DataFrame, by: Sequence[str], bits: int) -> DataFrame:
         chosen = held.select(*by, F.col("_key").alias("_at"), "_total", F.col("_first").alias("_start"))
     ends = held.withColumns({"_low": F.when(has_low, F.col("_v")), "_high": F.when(has_high, F.col("_v"))})
     return ends.groupBy(*by).agg(((F.max("_low") + F.max("_high")) / 2).alias("_median"))
+
+
+def as_number(df: DataFrame, name: str) -> Column:
+    """A number that does not decrease where the column grows; null for columns that are no number, date or time."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(name).cast("double")
+    if isinstance(kind, (T.NumericType, T.TimestampType)):
+        return F.col(name).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    return F.lit(None).cast("double")
+
+
+def with_range(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, rows: int = CHUNK_ROWS, bits: int = DIGIT_BITS) -> DataFrame:
+    """Add ``_day`` and ``name``: ranges of about ``rows`` rows per group along a day and a second column.
+
+    A range is a part of one day. Rows of equal order share one; nulls come first. A second
+    column that is no number or time leaves days whole.
+    """
+    day, second = order
+    placed = df.withColumns({"_day": F.unix_date(F.col(day).cast("date")), "_along": F.coalesce(as_number(df, second), F.lit(float("-inf")))})
+    kinds = placed.groupBy(*by, "_day", "_along").agg(F.count(F.lit(1)).alias("_size"))
+    ranked = with_rows_below(kinds, [*by, "_day"], "_along", "_size", "_before", bits)
+    parts = ranked.select(*by, "_day", "_along", F.floor(F.col("_before") / rows).cast("int").alias(name))
+    return placed.join(parts, [*by, "_day", "_along"]).drop("_along")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import calendar
-from panelspark.operators.layout import day_chunk, with_position
+from panelspark.operators.layout import day_chunk, with_position, with_range
 
 SCHEMA = "series string, day date, k int, a double, b double"
 
@@ -124,3 +124,28 @@ def test_positions_across_chunks(spark):
     got = with_position(df, ["series"], ["day", "k"], day_chunk("day", 9)).toPandas()
     for _, g in got.sort_values(["day", "k"]).groupby("series"):
         assert list(g["pos"]) == list(range(1, len(g) + 1)) and (g["n"] == len(g)).all()
+
+
+def test_a_day_with_most_rows_is_split(spark):
+    """One series and day with nine rows in ten: same rows as pandas, and no range holds many of them."""
+    d = dt.date
+    rng = np.random.default_rng(7)
+    rows = [("hot", d(2024, 3, 4), i, None if rng.random() < 0.7 else float(i), None if i < 1500 else 1.0) for i in range(2_000)]
+    rows += [("hot", d(2024, 3, 1), 5, 9.0, None), ("hot", d(2024, 3, 9), 1, None, None), ("cold", d(2024, 3, 1), 0, 1.0, 2.0), ("cold", d(2024, 3, 4), 0, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for chunk_days in (1, 64):
+        got = calendar.fill_days(df, ["a", "b"], order=["k"], chunk_days=chunk_days, chunk_rows=100)
+        want = pandas_fill(pd.DataFrame(rows, columns=["series", "day", "k", "a", "b"]).assign(day=lambda x: pd.to_datetime(x["day"])), False)
+        key = lambda f: sorted(map(str, f.assign(day=pd.to_datetime(f["day"]))[["series", "day", "a", "b"]].astype({"a": float, "b": float}).fillna(-1).itertuples(index=False)))
+        assert key(got.toPandas()) == key(want)
+    ranged = with_range(df.withColumn("c", day_chunk("day", 64)), ["series", "c"], ["day", "k"], "_part", 100)
+    assert ranged.groupBy("series", "c", "_day", "_part").count().agg(F.max("count")).first()[0] <= 100
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "date", "decimal(10,2)", "long", "string"])
+def test_ranges_by_any_order_column(spark, kind):
+    value = {"timestamp": "timestamp_seconds(k)", "date": "date_add(date'2024-01-01', k)", "string": "lpad(k, 5, '0')"}.get(kind, f"cast(k as {kind})")
+    df = spark.range(500).selectExpr("'s' AS series", "date'2024-01-01' AS day", "CASE WHEN id = 3 THEN NULL ELSE cast(id as int) END AS k", "id").selectExpr("*", f"{value} AS o")
+    got = with_range(df, ["series"], ["day", "o"], "_part", 50).orderBy("k").collect()
+    assert len(got) == 500 and [r._part for r in got] == sorted(r._part for r in got)
+    assert (max(r._part for r in got) == 9) == (kind != "string")
