@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.text import SPACE
+from panelspark.functions.text import stripped
 
 # fixed values: what counts as a number list in a response
 LEADING_RUN = r"^[\d\s.,]+"
@@ -36,27 +38,30 @@ def with_numbers(df: DataFrame, text: str = "response", max_decimals: int | None
     4 decimals anywhere. ``max_decimals`` keeps the first of them (20 as the study does; None: all).
     White space around the text does not count.  A list with an element that is no number is no list.
     """
-    t = F.regexp_replace(F.col(text), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    t = F.col("_t")
     lead = _numbers(F.regexp_extract_all(F.regexp_extract(t, LEADING_RUN, 0), F.lit(NUMBER), F.lit(1)))
     obj = F.from_json(F.regexp_extract(t, OBJECT_WITH_PREDICTIONS, 1), "predictions array<double>")["predictions"]
-    obj = F.when(~F.exists(obj, lambda v: v.isNull()), obj)
     found = F.regexp_extract_all(t, F.lit(DECIMAL), F.lit(1))
     anywhere = _numbers(found if max_decimals is None else F.slice(found, 1, max_decimals))
-    tried = df.withColumns({"_c1": lead, "_c2": obj, "_c3": number_list(t), "_c4": anywhere})
-    case = (
-        F.when(F.size("_c1") > 0, 1)
-        .when(F.col("_c2").isNotNull(), 2)
-        .when(F.col("_c3").isNotNull(), 3)
-        .when(F.size("_c4") > 0, 4)
-    )
-    picked = tried.withColumn("parse_case", case)
-    numbers = (
-        F.when(F.col("parse_case") == 1, F.col("_c1"))
-        .when(F.col("parse_case") == 2, F.col("_c2"))
-        .when(F.col("parse_case") == 3, F.col("_c3"))
-        .when(F.col("parse_case") == 4, F.col("_c4"))
-    )
-    return picked.withColumn("numbers", numbers).drop("_c1", "_c2", "_c3", "_c4")
+    tries = [
+        (lead, lambda v: F.size(v) > 0), (obj, lambda v: v.isNotNull() & ~F.exists(v, lambda x: x.isNull())),
+        (number_list(t), lambda v: v.isNotNull()), (anywhere, lambda v: F.size(v) > 0),
+    ]
+    # one after another: a reading is made once, and only where those before it found nothing
+    best = F.lit(None).cast("struct<case:int,numbers:array<double>>")
+    for case, (reading, holds) in reversed(list(enumerate(tries, 1))):
+        best = _tried(reading, holds, case, best)
+    read = df.withColumn("_t", stripped(F.col(text))).withColumn("_best", best)
+    return read.withColumns({"parse_case": F.col("_best.case"), "numbers": F.col("_best.numbers")}).drop("_t", "_best")
+
+
+def _tried(reading: Column, holds: Callable[[Column], Column], case: int, otherwise: Column) -> Column:
+    """(case, numbers) if a reading holds, else what comes after; the reading is evaluated once."""
+
+    def choose(v: Column) -> Column:
+        return F.when(holds(v), F.struct(F.lit(case).alias("case"), v.alias("numbers"))).otherwise(otherwise)
+
+    return F.element_at(F.transform(F.array(reading), choose), 1)
 
 
 def split_parsed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,8 +87,7 @@ def with_explanation(df: DataFrame, text: str = "response") -> DataFrame:
     with confidence 0.5, and its first numeric list gives the predictions. A prediction that
     is no number makes ``bad_predictions`` true and the list empty: such rows are for quarantine.
     """
-    whole = F.regexp_replace(F.col(text), f"^[{SPACE}]+|[{SPACE}]+$", "")
-    read = df.withColumn("_text", whole).withColumn("_body", F.regexp_extract("_text", FIRST_OBJECT, 1))
+    read = df.withColumn("_text", stripped(F.col(text))).withColumn("_body", F.regexp_extract("_text", FIRST_OBJECT, 1))
     read = read.withColumn("_json", F.try_parse_json("_body"))
 
     def field(path: str, kind: str) -> Column:

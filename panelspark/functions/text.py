@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,15 @@ NOT_SPACE = (
 )
 
 
+# the same white space, character by character
+SPACES = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def stripped(text: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def base_of(pair: Column) -> Column:
     """First three letters of a pair name."""
     return F.substring(pair, 1, 3)
@@ -58,29 +69,64 @@ def shorten(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, cut).otherwise(text)
 
 
-def _hits(lowered: Column, terms: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.contains(lowered, F.lit(t)).cast("int") for t in terms])
+@lru_cache(maxsize=16)
+def _automaton(terms: tuple[str, ...]):
+    import ahocorasick
 
+    made = ahocorasick.Automaton()
+    for k, term in enumerate(terms):
+        made.add_word(term, k)
+    made.make_automaton()
+    return made
 
-def factor_types(lowered: Column, terms: Mapping[str, Sequence[str]] = FACTOR_TERMS) -> Column:
-    """Categories with at least one term in the lower-cased text, as substrings."""
-    named = [
-        F.when(reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(t)) for t in ts]), F.lit(c))
-        for c, ts in terms.items()
-    ]
+
+def found_terms(lowered: Column, terms: Sequence[str]) -> Column:
+    """(terms, words): the different terms that occur in a lower-cased text, as substrings, and its number of words.
+
+    One automaton reads each text once, whatever the number of terms, in Arrow batches; built-in
+    expressions would read it once per term. Terms inside other terms are found as well. The terms are in the
+    order given; null texts give null.
+    """
+    known = tuple(dict.fromkeys(terms))
+
+    @F.pandas_udf("terms array<string>, words int")
+    def find(texts: pd.Series) -> pd.DataFrame:
+        automaton = _automaton(known) if known else None
+        rows = [
+            (None, None) if t is None
+            else ([known[k] for k in sorted({k for _, k in automaton.iter(t)})] if automaton else [], len(t.split()))
+            for t in texts
+        ]
+        return pd.DataFrame(rows, columns=["terms", "words"]).astype({"words": "Int32"})
+
+    return find(lowered)
+
+
+def factor_types(found: Column, terms: Mapping[str, Sequence[str]] = FACTOR_TERMS) -> Column:
+    """Categories with at least one term among the terms found."""
+    named = [F.when(F.arrays_overlap(found, F.array(*[F.lit(t) for t in ts])), F.lit(c)) for c, ts in terms.items()]
     return F.array_compact(F.array(*named))
 
 
+def _hits(found: Column, terms: Sequence[str]) -> Column:
+    """How many of the terms, repeats counted, are among those found."""
+    weights = Counter(terms)
+    if max(weights.values(), default=0) < 2:
+        return F.size(F.array_intersect(found, F.array(*[F.lit(t) for t in weights])))
+    return reduce(lambda a, b: a + b, [F.array_contains(found, t).cast("int") * n for t, n in weights.items()])
+
+
 def coherence(
     text: Column,
-    lowered: Column,
+    n_words: Column,
+    found: Column,
     terms: Mapping[str, Sequence[str]] = FACTOR_TERMS,
     connectors: Sequence[str] = CONNECTORS,
 ) -> Column:
-    """0-1 score from length, connectors and terms; texts under ten characters score 0."""
-    length = F.least(F.lit(0.3), word_count(text) / F.lit(50) * 0.3)
-    links = F.least(F.lit(0.4), _hits(lowered, connectors) * 0.1)
-    domain = F.least(F.lit(0.3), _hits(lowered, [t for ts in terms.values() for t in ts]) * 0.05)
+    """0-1 score from length, connectors and terms found; texts under ten characters score 0."""
+    length = F.least(F.lit(0.3), n_words / F.lit(50) * 0.3)
+    links = F.least(F.lit(0.4), _hits(found, connectors) * 0.1)
+    domain = F.least(F.lit(0.3), _hits(found, [t for ts in terms.values() for t in ts]) * 0.05)
     return F.when(F.length(text) < 10, F.lit(0.0)).otherwise(F.round(length + links + domain, 3))
 
 

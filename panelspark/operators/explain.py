@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.extract import with_numbers
-from panelspark.functions.text import coherence, factor_types, grounding, title_heads, word_count
+from panelspark.functions.text import coherence, factor_types, found_terms, grounding, title_heads
 from panelspark.functions.tokens import has_tokens
 from panelspark.operators.metrics import direction_of_steps
 from panelspark.params import CONNECTORS, FACTOR_TERMS
@@ -27,18 +27,20 @@ def with_explanation_scores(
 
     ``heads`` names a column of title heads made beforehand, instead of ``titles``.
     """
-    low = df.withColumn("_low", F.lower(text))
+    wanted = [*(t for ts in terms.values() for t in ts), *connectors]
+    low = df.withColumn("_low", F.lower(text)).withColumn("_found", found_terms(F.col("_low"), wanted))
+    found, n_words = F.col("_found.terms"), F.col("_found.words")
     scored = low.withColumns(
         {
-            "explanation_len": word_count(F.col(text)),
-            "factor_types": factor_types(F.col("_low"), terms),
-            "coherence_score": coherence(F.col(text), F.col("_low"), terms, connectors),
+            "explanation_len": n_words,
+            "factor_types": factor_types(found, terms),
+            "coherence_score": coherence(F.col(text), n_words, found, terms, connectors),
         }
     ).withColumn("n_factors_cited", F.size("factor_types"))
     if titles or heads:
         cited = F.col(refs) if refs else F.array().cast("array<int>")
         scored = scored.withColumn("news_grounding_rate", grounding(F.col("_low"), cited, F.col(heads) if heads else title_heads(F.col(titles))))
-    return scored.drop("_low")
+    return scored.drop("_low", "_found")
 
 
 def with_prediction_error(df: DataFrame, truth: str = "truth", pred: str = "predictions") -> DataFrame:

@@ -237,3 +237,29 @@ def test_retries(spark):
     df = spark.createDataFrame(rows, "q string, attempt int, response string")
     out = {r.q: (r.attempts, r.valid, r.response) for r in explain.retry_outcomes(df, ["q"]).collect()}
     assert out == {"q1": (3, True, "###0.1###"), "q2": (2, False, "b")}
+
+
+def test_found_terms_are_the_substrings(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from panelspark.functions.text import SPACES, found_terms, stripped
+
+    terms = ["war", "warm", "a", "ar", "interest rate", "rate", "é", "aa", "war"]
+    parts = st.sampled_from(["w", "a", "r", "m", "rate", "interest ", " ", "\x85", "\u2003", "\x1c", "é", "x", "\n"])
+    cases = [None, ""]
+
+    @settings(max_examples=200, deadline=None, database=None)
+    @given(st.lists(parts, max_size=12))
+    def gather(xs):
+        cases.append("".join(xs))
+
+    gather()
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    for r in df.select("i", found_terms(F.col("t"), terms).alias("f"), stripped(F.col("t")).alias("s")).collect():
+        t = cases[r.i]
+        if t is None:
+            assert r.f is None or (r.f.terms is None and r.f.words is None)
+        else:
+            assert set(r.f.terms) == {x for x in terms if x in t} and len(r.f.terms) == len(set(r.f.terms))
+            assert r.f.words == len(t.split()) and r.s == t.strip() == t.strip(SPACES)
