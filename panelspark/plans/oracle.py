@@ -303,6 +303,38 @@ ends AS (SELECT series, arg_max(close, pos) AS level, arg_max(y, pos) AS y1, arg
 path AS (SELECT series, pairs, c1, c2, my - c1 * m1 - c2 * m2 AS c0, 0 AS step, level, y1, y2 FROM fits JOIN ends USING (series)
   UNION ALL SELECT series, pairs, c1, c2, c0, step + 1, level + c0 + c1 * y1 + c2 * y2, c0 + c1 * y1 + c2 * y2, y1 FROM path WHERE step < 10)
 SELECT series, pairs, round(c1, 6) AS c1, round(c2, 6) AS c2, round(c0, 3) AS intercept, step, round(level, 3) AS pred FROM path WHERE step > 0"""
+
+
+def _regression(source: str, names: list[str], to: str) -> str:
+    """CTEs ``to``_0, ``to``_1, ... ending in ``to``: coefficients b0.. of the last name on the others, by elimination, and the intercept."""
+    p = len(names) - 1
+    cov = {(i, j): f"c_{i}_{j}" for i in range(p + 1) for j in range(i, p + 1)}
+    sums = ", ".join([f"covar_pop({names[i]}, {names[j]}) AS {c}" for (i, j), c in cov.items()] + [f"avg({x}) AS m{i}" for i, x in enumerate(names)])
+    ctes = [f"{to}_0 AS (SELECT series, count(*) AS pairs, {sums} FROM {source} GROUP BY series)"]
+    for k in range(p):
+        new = {(i, j): f"s{k}_{i}_{j}" for i in range(k + 1, p + 1) for j in range(i, p + 1)}
+        made = ", ".join(f"{cov[i, j]} - {cov[k, i]} * {cov[k, j]} / {cov[k, k]} AS {x}" for (i, j), x in new.items())
+        ctes.append(f"{to}_{k + 1} AS (SELECT *, {made} FROM {to}_{k})")
+        cov |= new
+    last = f"{to}_{p}"
+    for k in reversed(range(p)):
+        rest = "".join(f" - {cov[k, j]} * b{j}" for j in range(k + 1, p))
+        ctes.append(f"{to}_b{k} AS (SELECT *, ({cov[k, p]}{rest}) / {cov[k, k]} AS b{k} FROM {last})")
+        last = f"{to}_b{k}"
+    slopes = "".join(f" - b{k} * m{k}" for k in range(p))
+    return ", ".join([*ctes, f"{to} AS (SELECT series, pairs, m{p}{slopes} AS b, {', '.join(f'b{k}' for k in range(p))} FROM {last})"])
+
+
+SQL["arma_prediction"] = f"""WITH RECURSIVE {ORDER_PANEL.removeprefix('WITH ')},
+diffs AS (SELECT series, pos, close, close - lag(close) OVER (PARTITION BY series ORDER BY pos) AS y FROM panel WHERE pos <= floor(n * 0.8::DOUBLE)),
+lags AS (SELECT *, {', '.join(f'lag(y, {i}) OVER w AS l{i}' for i in range(1, 6))} FROM diffs WINDOW w AS (PARTITION BY series ORDER BY pos)),
+used AS (SELECT * FROM lags WHERE pos > 6), {_regression('used', ['l1', 'l2', 'l3', 'l4', 'y'], 'far')},
+shocks AS (SELECT lags.*, y - b - b0 * l1 - b1 * l2 - b2 * l3 - b3 * l4 AS e, l1 - b - b0 * l2 - b1 * l3 - b2 * l4 - b3 * l5 AS e1 FROM lags JOIN far USING (series)),
+later AS (SELECT * FROM shocks WHERE pos > 6), {_regression('later', ['l1', 'e1', 'y'], 'fit')},
+ends AS (SELECT series, arg_max(close, pos) AS level, arg_max(y, pos) AS y, arg_max(e, pos) AS e FROM shocks GROUP BY series),
+path AS (SELECT series, pairs, b, b0, b1, 0 AS step, level, y, e FROM fit JOIN ends USING (series)
+  UNION ALL SELECT series, pairs, b, b0, b1, step + 1, level + b + b0 * y + b1 * e, b + b0 * y + b1 * e, 0.0 FROM path WHERE step < 10)
+SELECT series, pairs, round(b0, 5) AS ar1, round(b1, 5) AS ma1, round(b, 3) AS intercept, step, round(level, 2) AS pred FROM path WHERE step > 0"""
 SQL["order_select"] = f"""{ORDER_PANEL}, {_order_scores(3, 2)}
 SELECT series, p, d, pairs, round(aic, 3) AS aic FROM aics
 QUALIFY row_number() OVER (PARTITION BY series ORDER BY aic, p, d) = 1"""

@@ -293,6 +293,16 @@ def arp_prediction(spark, sf):
     ).select("series", "pairs", "c1", "c2", "intercept", (F.col("step") + 1).alias("step"), _r("pred", 3))
 
 
+@query
+def arma_prediction(spark, sf):
+    """First differences with one autoregressive and one moving-average term; shocks from four lags."""
+    path = predict.predict_arma(_order_panel(spark, sf), 10, p=1, q=1, d=1, long=4)
+    return path.select(
+        "series", "pairs", F.round(F.col("ar")[0], 5).alias("ar1"), F.round(F.col("ma")[0], 5).alias("ma1"),
+        _r("intercept", 3), F.posexplode("pred").alias("step", "pred"),
+    ).select("series", "pairs", "ar1", "ma1", "intercept", (F.col("step") + 1).alias("step"), _r("pred", 2))
+
+
 @query
 def order_select(spark, sf):
     scores = predict.order_scores(_order_panel(spark, sf), max_p=3, max_d=2)

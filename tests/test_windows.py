@@ -219,6 +219,72 @@ def test_ar_p_equals_least_squares(spark, p, d):
         assert r.pred == pytest.approx(out, rel=1e-6)
 
 
+@pytest.mark.parametrize("p, q, d, long", [(1, 1, 0, 4), (2, 1, 1, 5), (0, 2, 1, 3), (1, 0, 0, 4)])
+def test_arma_equals_two_stages_of_least_squares(spark, p, q, d, long):
+    df = panel(spark, {"a": 200, "b": 90}, seed=8).cache()
+    for r in predict.predict_arma(df, 4, p, q, d, long, chunk_rows=40).collect():
+        v = values(df, r.series)
+        v = v[:int(len(v) * 0.8)]
+        y = np.diff(v, n=d)
+        rows = np.arange(long + q, len(y))
+        x = np.column_stack([np.ones(len(rows))] + [y[rows - i] for i in range(1, long + 1)])
+        alpha = np.linalg.lstsq(x, y[rows], rcond=None)[0]
+        e = np.full(len(y), np.nan)
+        for t in range(long, len(y)):
+            e[t] = y[t] - alpha[0] - sum(alpha[i] * y[t - i] for i in range(1, long + 1))
+        x = np.column_stack([np.ones(len(rows))] + [y[rows - i] for i in range(1, p + 1)] + [e[rows - j] for j in range(1, q + 1)])
+        beta = np.linalg.lstsq(x, y[rows], rcond=None)[0]
+        assert r.pairs == len(rows) and r.intercept == pytest.approx(beta[0], rel=1e-5, abs=1e-7)
+        assert [*r.ar, *r.ma] == pytest.approx(list(beta[1:]), rel=1e-5, abs=1e-7)
+        path, shocks = list(y), list(e)
+        for _ in range(4):
+            nxt = beta[0] + sum(beta[i] * path[-i] for i in range(1, p + 1)) + sum(beta[p + j] * shocks[-j] for j in range(1, q + 1))
+            path.append(nxt), shocks.append(0.0)
+        out = np.array(path[-4:])
+        for k in reversed(range(d)):
+            out = np.diff(v, n=k)[-1] + np.cumsum(out)
+        assert r.pred == pytest.approx(out, rel=1e-5)
+
+
+def test_orders_of_short_series(spark):
+    """Series too short for some orders keep the others; nothing is scored twice."""
+    df = panel(spark, {"a": 9, "b": 7, "c": 4}, seed=9).cache()
+    got = {(r.series, r.p, r.d): r.pairs for r in predict.order_scores(df, max_p=3, max_d=2, chunk_rows=3).collect()}
+    want = {(s, p, d): int(n * 0.8) - 3 - d for s, n in (("a", 9), ("b", 7), ("c", 4)) for d in range(3) for p in range(4) if int(n * 0.8) > 3 + d}
+    assert got == want
+
+
+def test_trees_as_an_expression_equal_the_fitted_model(spark):
+    rng = np.random.default_rng(10)
+    rows = [(*map(float, rng.normal(0, 1, 4)), 7.0, float(rng.normal())) for _ in range(600)]
+    names = ["x0", "x1", "x2", "x3", "same"]
+    df = spark.createDataFrame(rows, " double, ".join([*names, "close"]) + " double")
+    model = predict.fit_trees(df, names, rounds=12, depth=4)
+    both = model.transform(df).select("prediction", predict.tree_values(model, F.array(*names)).alias("own")).collect()
+    assert len({r.own for r in both}) > 50 and all(r.own == pytest.approx(r.prediction, rel=1e-12) for r in both)
+
+
+def test_no_job_after_the_fit_of_trees(spark):
+    df = panel(spark, {"a": 150, "b": 150}, seed=11).cache()
+    train = df.filter(predict.is_train())
+    columns = [f"lag_{i}" for i in range(1, 7)] + ["rolling_mean_7", "rolling_std_7"]
+    model = predict.fit_trees(predict.lag_features(train, n_lags=6, rolling=(7,)).select(*columns, "close"), columns, rounds=5, depth=3)
+    context = spark.sparkContext
+    context.setJobGroup("trees", "steps")
+    path = predict.trees_path(model, df, 3, n_lags=6, rolling=(7,))
+    assert not context.statusTracker().getJobIdsForGroup("trees")
+    got = {(r.series, r.step): r.pred for r in path.collect()}
+    context.setLocalProperty("spark.jobGroup.id", None)
+    # step by step with the fitted model itself
+    for s in ("a", "b"):
+        hist = list(values(df, s)[:120])
+        for step in (1, 2, 3):
+            last = hist[::-1][:7]
+            row = spark.createDataFrame([(*map(float, last[:6]), float(np.mean(last)), float(np.std(last, ddof=1)))], " double, ".join(columns) + " double")
+            hist.append(model.transform(row).first().prediction)
+            assert got[(s, step)] == pytest.approx(hist[-1], rel=1e-9)
+
+
 def test_blocks_cover_the_horizon(spark):
     df = spark.createDataFrame([([1.0, 2.0],)], "hist array<double>")
     out = predict.in_blocks(
