@@ -751,6 +751,11 @@ _MARKED = f"""marked AS (SELECT *, {_words('text')} AS words, list_filter([{_FAC
 DOCS = f"docs AS (SELECT doc_id, lang, text, lower(text) AS low FROM documents), {_MARKED}"
 SQL["text_words"] = f"""SELECT 'document' AS kind, doc_id AS id, CAST({_words('text')} AS BIGINT) AS explanation_len FROM documents
 UNION ALL SELECT 'conversation', CAST(conv_id AS BIGINT), CAST(sum({_words('text')}) AS BIGINT) FROM conversations GROUP BY conv_id"""
+SQL["events_asof"] = """WITH found AS (SELECT p.event_id AS purchase_id, e.event_id, e.event_type,
+  CAST(row_number() OVER (PARTITION BY p.event_id ORDER BY e.ts DESC, e.event_id) AS INTEGER) AS rank
+  FROM events p JOIN events e ON e.user_id = p.user_id AND e.event_type <> 'purchase' AND e.ts < p.ts AND e.ts >= p.ts - INTERVAL 7 DAY
+  WHERE p.event_type = 'purchase')
+SELECT purchase_id, rank, event_id, event_type FROM found WHERE rank <= 8"""
 SQL["factor_terms"] = f"""WITH {DOCS}
 SELECT doc_id, CAST(len(factors) AS INTEGER) AS n_factors_cited, coalesce(array_to_string(factors, ','), '') AS factor_types FROM marked"""
 SQL["coherence"] = f"WITH {DOCS} SELECT doc_id, score AS coherence_score FROM marked"

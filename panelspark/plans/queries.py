@@ -698,6 +698,18 @@ def news_asof(spark, sf):
     return _news_for_windows(spark, sf, ()).select(*WINDOW, "rank", "article_id", _day("published_on"))
 
 
+@query
+def events_asof(spark, sf):
+    """The eight events of a user in the seven days before each of the user's purchases, to the microsecond."""
+    events = t.table(spark, sf, "events")
+    bought = events.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("bought_ts"))
+    others = events.filter("event_type <> 'purchase'").select("user_id", "event_id", "ts", "event_type")
+    found = context.articles_asof(
+        bought, others, window_keys=("user_id", "purchase_id"), series="user_id", window_ts="bought_ts", ts="ts", tie="event_id"
+    )
+    return found.select("purchase_id", "rank", "event_id", "event_type")
+
+
 @query
 def news_leaky(spark, sf):
     """Every window with the newest articles of its series, future ones included."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,38 +57,61 @@ def read_prices(spark: SparkSession, path: str, pair: str | None = None) -> Data
     return normalise_bars(rows.withColumn("pair", file_key()))
 
 
-def read_prices_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_prices_checked(spark: SparkSession, path: str, broken: bool = False) -> tuple[DataFrame, ...]:
     """Bars of files in any column order, and a quarantine table (pair, reason).
 
-    Lines are read as text and matched to the header line of their own file, so one
-    unusable file does not stop the others.  Spark does not list files of zero bytes.
+    A line with one of the bar names as a field and no field that begins like a number is the header of its file; every other line is read by the CSV
+    parser under that header, so quoted fields, commas inside them and further columns land
+    right. Files are read by header shape, one reading per shape: shapes are counted first, and there are as
+    many as ways of writing a header, not as files. A day or a number that does not parse is dropped or null.
+    Lines the parser cannot match to the header (a quote left open, too few or too many fields) are
+    broken; with ``broken`` a third table (pair, line) holds them, in any case they are no bars.
+    One unusable file does not stop the others. Spark does not list files of zero bytes.
     """
     lines = spark.read.text(f"{path}/*.csv").select(file_key().alias("pair"), F.trim("value").alias("line"))
     lines = lines.filter(F.col("line") != "")
-    is_header = F.lower("line").rlike(r"(^|,)\s*\"?(date|open|high|low|close)\"?\s*(,|$)")
-    clean = F.transform(F.split(F.lower("line"), ","), lambda x: F.regexp_replace(F.trim(x), " ", "_"))
-    headers = lines.filter(is_header).groupBy("pair").agg(F.first(clean).alias("_names"))
+    names = "|".join((*DAY_NAMES, *(c.replace("_", "[ _]") for c in BAR_COLUMNS[1:])))
+    is_header = F.lower("line").rlike(rf"(^|,)\s*\"?({names})\"?\s*(,|$)") & ~F.col("line").rlike(r"(^|,)\s*\"?[-+.0-9]")
+    headers = lines.filter(is_header).groupBy("pair").agg(F.min("line").alias("_header"))
     seen = spark.read.format("binaryFile").load(f"{path}/*.csv").select(
         F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.csv$", "").alias("pair"), "length"
     )
-    rows = lines.filter(~is_header).join(headers, "pair").withColumn("_v", F.split("line", ","))
+    rows = lines.filter(~is_header).join(headers, "pair")
+    shapes = sorted(r[0] for r in headers.select("_header").distinct().collect())
+    read = [_under_header(rows.filter(F.col("_header") == h), h) for h in shapes]
+    empty = spark.createDataFrame([], T.StructType([T.StructField("pair", T.StringType()), T.StructField("line", T.StringType()),
+                                                    T.StructField("_broken", T.BooleanType()), T.StructField("_known", T.BooleanType()), *BAR_SCHEMA]))
+    parsed = reduce(DataFrame.unionByName, read, empty.withColumn("date", F.col("date").cast("date")).withColumn("volume", F.col("volume").cast("double")))
+    bars = parsed.filter(~F.col("_broken") & F.col("date").isNotNull()).select("pair", *BAR_COLUMNS)
+    counts = parsed.groupBy("pair").agg(F.count(F.lit(1)).alias("rows"), F.bool_or("_known").alias("known"), F.bool_and("_broken").alias("all_broken"))
+    reason = (
+        F.when(F.coalesce("rows", F.lit(0)) == 0, F.lit("empty")).when(~F.col("known"), F.lit("no date column"))
+        .when(F.col("all_broken"), F.lit("no readable line"))
+    )
+    bad = seen.join(counts, "pair", "left").select("pair", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    if not broken:
+        return bars, bad
+    return bars, bad, parsed.filter("_broken").select("pair", "line")
+
+
+def _under_header(rows: DataFrame, header: str) -> DataFrame:
+    """Lines of files with one header as (pair, line, _broken, _known, bar columns)."""
+    plain = [x.strip().lower().replace(" ", "_") for x in next(csv.reader([header]))]
+    names = ["date" if n == "datetime" and "date" not in plain else n for n in plain]
+    # positions as names: a header may repeat one or leave one out
+    fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_corrupt", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    read = rows.withColumn("_f", F.from_csv("line", fields.simpleString()[7:-1].replace(":", " "), options))
 
     def column(name: str) -> Column:
-        return F.get("_v", F.array_position("_names", name).cast("int") - 1)
-
-    day = F.try_to_date(F.substring(F.trim(column("date")), 1, 10))
-    bars = rows.filter(F.array_contains("_names", "date")).select(
-        "pair", day.alias("date"), *[column(c).try_cast("double").alias(c) for c in BAR_COLUMNS[1:]]
-    ).filter(F.col("date").isNotNull())
-    counts = rows.groupBy("pair").agg(F.count(F.lit(1)).alias("rows"))
-    reason = F.when(F.coalesce("rows", F.lit(0)) == 0, F.lit("empty")).when(
-        ~F.array_contains("_names", "date"), F.lit("no date column")
-    )
-    bad = (
-        seen.join(headers, "pair", "left").join(counts, "pair", "left")
-        .select("pair", reason.alias("reason")).filter(F.col("reason").isNotNull())
+        return F.col(f"_f.c{names.index(name)}") if name in names else F.lit(None).cast("string")
+
+    open_quote = (F.regexp_count("line", F.lit('"')) % 2) == 1
+    return read.select(
+        "pair", "line", (F.col("_f._corrupt").isNotNull() | open_quote).alias("_broken"), F.lit("date" in names).alias("_known"),
+        F.try_to_date(F.substring(F.trim(column("date")), 1, 10)).alias("date"),
+        *[column(c).try_cast("double").alias(c) for c in BAR_COLUMNS[1:]],
     )
-    return bars, bad
 
 
 def write_prices(df: DataFrame, path: str, by: Sequence[str] = ("pair",)) -> None:

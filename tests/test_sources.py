@@ -34,6 +34,18 @@ def test_unusable_files_go_to_quarantine(spark, tmp_path):
     assert {r.pair: r.reason for r in bad.collect()} == {"EMPTY": "empty", "HEAD": "empty", "NODATE": "no date column"}
 
 
+def test_quotes_further_columns_and_broken_lines(spark, tmp_path):
+    (tmp_path / "A.csv").write_text('Date,"Adj Close",Note,Close\n2024-01-01,1.5,"one, two",9\n"2024-01-02","1,6","say ""hi""",8\n2024-01-03,1.7,"open,7\n')
+    (tmp_path / "B.csv").write_text("close,note,datetime\n1,x,2024-01-01 10:00:00\n2,2024-01-02\n3,x,2024-01-03,more\n4,,2024-01-04\n")
+    (tmp_path / "C.csv").write_text('Date,"Adj Close",Note,Close\n2024-02-01,2.5,,7\n')
+    (tmp_path / "D.csv").write_text('close,date\n"1,2024-01-01\n')
+    bars, bad, lines = prices.read_prices_checked(spark, str(tmp_path), broken=True)
+    got = sorted((r.pair, r.date.day, r.adj_close, r.close) for r in bars.collect())
+    assert got == [("A", 1, 1.5, 9.0), ("A", 2, None, 8.0), ("B", 1, None, 1.0), ("B", 4, None, 4.0), ("C", 1, 2.5, 7.0)]
+    assert sorted((r.pair, r.line[0]) for r in lines.collect()) == [("A", "2"), ("B", "2"), ("B", "3"), ("D", '"')]
+    assert {r.pair: r.reason for r in bad.collect()} == {"D": "no readable line"}
+
+
 @pytest.mark.parametrize("day", ["Date", "Datetime", "Index"])
 def test_normalise_bars(spark, day):
     df = spark.createDataFrame([("2024-01-02 10:00:00", 1.0, 2.0, "x"), ("nope", 1.0, 2.0, "x")], [day, "Adj Close", "('Open', 'T')", "Extra"])

@@ -263,3 +263,27 @@ def test_found_terms_are_the_substrings(spark):
         else:
             assert set(r.f.terms) == {x for x in terms if x in t} and len(r.f.terms) == len(set(r.f.terms))
             assert r.f.words == len(t.split()) and r.s == t.strip() == t.strip(SPACES)
+
+
+@pytest.mark.parametrize("chunk_seconds", [50, 3_600, 10**9])
+def test_articles_asof_to_the_microsecond(spark, chunk_seconds):
+    import random
+
+    from panelspark.operators.context import articles_asof
+
+    draw = random.Random(3)
+    times = [draw.randrange(0, 4000) for _ in range(400)]
+    news = [("hot" if i % 10 else "cold", i, t, "clash") for i, t in enumerate(times)] + [("none", 900, None, "x"), ("hot", 901, 2000, "x")]
+    asks = [(s, w, t) for w, t in enumerate([0, 1, 500, 500, 2000, 2001, 3999, 9999, None]) for s in ("hot", "cold", "none", "new")]
+    as_time = F.expr("timestamp_micros(t * 1000000 + 7)")
+    n = spark.createDataFrame(news, "series string, article_id long, t long, rank string").withColumn("published_ts", as_time).drop("t", "rank")
+    w = spark.createDataFrame(asks, "series string, window int, t long").withColumn("window_ts", as_time).drop("t")
+    got = {}
+    for r in articles_asof(w, n, 5, 300, ("series", "window"), chunk_seconds=chunk_seconds).collect():
+        got.setdefault((r.series, r.window), {})[r["rank"]] = r.article_id
+    want = {}
+    for s, win, t in asks:
+        near = sorted((-x, i) for q, i, x, _ in news if q == s and x is not None and t is not None and t - 300 <= x < t)[:5]
+        if near:
+            want[(s, win)] = {k: i for k, (_, i) in enumerate(near, 1)}
+    assert got == want
