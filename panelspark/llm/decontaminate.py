@@ -26,6 +26,8 @@ A null id is an id.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,22 +38,24 @@ COVER = 13
 SHARE = 0.8
 LEAST = 5
 BROADCAST_ROWS = 1_000_000
+MOST_BITS = 20
 UNITS = (
     "mm cm dm m km mg g kg t ml cl l s ms min h km/h mph ft inch inches mile miles yard yards pound pounds ounce ounces "
     "litre litres liter liters gram grams metre metres meter meters second seconds minute minutes hour hours day days "
     "week weeks month months year years dollar dollars euro euros cent cents percent degree degrees"
-)
+).split()
 
 
-def template(text: Column) -> Column:
+def template(text: Column, units: Sequence[str] = UNITS) -> Column:
     """The template words of a text: <n..>, <u..> and <p..> around a value, _ before a capital that begins a sentence."""
     marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "<>_", "   "), r"\s+", " ")
-    marked = F.regexp_replace(marked, r"(?<=[0-9])[.,](?=[0-9])", "_")
+    # patterns test a character before they look behind it, which is what most places fail at
+    marked = F.regexp_replace(marked, r"[.,](?<=[0-9][.,])(?=[0-9])", "_")
     marked = F.regexp_replace(marked, r"[0-9][0-9_]*", " <n$0> ")
-    units = "|".join(sorted(UNITS.split(), key=len, reverse=True))
-    marked = F.regexp_replace(marked, rf"(?<=>\s{{1,3}})(?:{units})(?![\p{{L}}\p{{N}}])", "<u$0>")
-    marked = F.regexp_replace(marked, r"(?<=[\p{L},;]\s)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "<p$0>")
-    marked = F.regexp_replace(marked, r"(?<![\p{L}\p{M}\p{N}<>_])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "_$0")
+    names = "|".join(sorted(units, key=len, reverse=True))
+    marked = F.regexp_replace(marked, rf"(>\s{{1,3}})({names})(?![\p{{L}}\p{{N}}])", "$1<u$2>")
+    marked = F.regexp_replace(marked, r"(?=\p{Lu})(?<=[\p{L},;]\s)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "<p$0>")
+    marked = F.regexp_replace(marked, r"(?=\p{Lu})(?<![\p{L}\p{M}\p{N}<>_])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "_$0")
     return F.filter(F.split(F.lower(marked), r"[^\p{L}\p{M}\p{N}<>_]+"), lambda w: w != "")
 
 
@@ -83,9 +87,9 @@ def _keys(i: Column, n: Column) -> tuple[Column, Column, Column]:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, item_text, item_twin, length, n_words, usable, ipos, key, typed) for the windows that can show a leak.
+    """(item_id, item_text, item_twin, length, n_words, usable, ipos, key, typed, pairs) for the windows that can show a leak.
 
-    A window whose values may differ is ``typed``; the others match the same words only. ``usable``
+    ``pairs`` has the codes that :func:`places` looks for. A window whose values may differ is ``typed``; the others match the same words only. ``usable``
     is the number of words in windows that are typed.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("item_text")).distinct()
@@ -93,13 +97,19 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     items = items.filter("n_words > 0").withColumn("length", F.least("n_words", F.lit(WINDOW)))
     items = items.withColumns({**_coded("ws"), "item_twin": F.xxhash64("item_text")})
 
+    def pairs(i: Column) -> Column:
+        """Second and third word as they stand and as template; the first word of windows of one or two."""
+        two = [F.struct(F.get(c, i + 1).alias("a"), F.get(c, i + 2).alias("b")) for c in ("plain", "kinds")]
+        word = F.get("plain", i)
+        return F.when(F.col("length") < 3, F.array(F.struct(word.alias("a"), word.alias("b")))).otherwise(F.array(*two))
+
     def spot(i: Column) -> Column:
         run = F.slice("ws", i + 1, F.col("length"))
         literal = F.size(F.filter(run, lambda w: ~w.startswith("<"))) * 2
         typed, named, plain = _keys(i, F.col("length"))
         fine = (F.col("n_words") >= LEAST) & (literal >= F.col("length"))
         first = fine & (i == 0) & (literal - 2 >= F.col("length"))
-        return F.struct(i.alias("ipos"), F.when(fine, typed).alias("typed"), F.when(first, named).alias("named"), plain.alias("plain"))
+        return F.struct(i.alias("ipos"), F.when(fine, typed).alias("typed"), F.when(first, named).alias("named"), plain.alias("plain"), pairs(i).alias("pairs"))
 
     spots = F.transform(F.sequence(F.lit(0), F.col("n_words") - F.col("length")), spot)
     items = items.withColumn("spots", F.when(F.col("n_words") > 0, spots))  # filters may move
@@ -108,8 +118,8 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     rows = items.select("item_id", "item_text", "item_twin", "length", "n_words", "usable", F.explode("spots").alias("x"))
     keys = F.array(*[F.struct(F.col(f"x.{c}").alias("key"), F.lit(c != "plain").alias("typed")) for c in ("typed", "named", "plain")])
     fresh = F.filter(keys, lambda k: k["key"].isNotNull() & (k["typed"] | ~k["key"].eqNullSafe(F.col("x.typed"))))
-    rows = rows.select("item_id", "item_text", "item_twin", "length", "n_words", "usable", "x.ipos", F.explode(fresh).alias("k"))
-    return rows.select("item_id", "item_text", "item_twin", "length", "n_words", "usable", "ipos", "k.key", "k.typed")
+    rows = rows.select("item_id", "item_text", "item_twin", "length", "n_words", "usable", "x.ipos", "x.pairs", F.explode(fresh).alias("k"))
+    return rows.select("item_id", "item_text", "item_twin", "length", "n_words", "usable", "ipos", "k.key", "k.typed", "pairs")
 
 
 def _bare(text: Column) -> Column:
@@ -139,24 +149,73 @@ def _value(x: Column) -> Column:
     return F.struct(x["i"].alias("i"), x["d"].alias("d"))
 
 
+def _pair(a: Column, b: Column, bits: int) -> Column:
+    """The bit of two neighbouring codes."""
+    return a.bitwiseXOR(F.shiftleft(b, 1)).bitwiseAND(F.lit(bits - 1))
+
+
+def places(windows: DataFrame) -> Callable[[Column], Column]:
+    """A test whether a window of the benchmark can begin at a place of a text (columns kinds and plain).
+
+    Windows of three and more words are known by their second and third word, whose codes as template and as
+    they stand set one bit each; shorter ones by their first word. A place without its bit holds
+    no window, so nothing is lost, and hardly any place of other texts is hashed. The bits grow with the
+    benchmark up to 2^``MOST_BITS``; beyond that more places pass, to the same result.
+    """
+    pairs = windows.select("length", F.explode("pairs").alias("pair"))
+    n = pairs.count()
+    bits = 1 << min(MOST_BITS, max(12, (16 * n).bit_length()))
+    marked = pairs.select(
+        (F.col("length") < 3).alias("short"), F.when(F.col("length") < 3, F.col("pair.a").bitwiseAND(F.lit(bits - 1))).otherwise(_pair(F.col("pair.a"), F.col("pair.b"), bits)).alias("bit")
+    ).distinct().collect()  # at most 2 * bits numbers
+    maps = {}
+    for short in (True, False):
+        cells = [0] * (bits >> 6)
+        for r in marked:
+            if r.short == short:
+                cells[r.bit >> 6] |= 1 << (r.bit & 63)
+        signed = [c - (1 << 64) if c >> 63 else c for c in cells]
+        # literals, which are folded into one constant when the query is planned
+        maps[short] = F.expr(f"array({','.join(f"bigint('{c}')" if c == -(1 << 63) else f'{c}L' for c in signed)})") if any(cells) else None
+
+    def held(cells: Column | None, bit: Column) -> Column:
+        if cells is None:
+            return F.lit(False)
+        cell = F.get(cells, F.shiftright(bit, 6).cast("int"))
+        return F.coalesce(F.getbit(cell, bit.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+
+    def test(i: Column) -> Column:
+        out = held(maps[False], _pair(F.get("plain", i + 1), F.get("plain", i + 2), bits))
+        out = out | held(maps[False], _pair(F.get("kinds", i + 1), F.get("kinds", i + 2), bits))
+        return out | held(maps[True], F.get("plain", i).bitwiseAND(F.lit(bits - 1)))
+
+    return test
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, twin, item_id, covered, n_slots) of all leaks; ``docs`` has doc_id, twin and text."""
     windows = saved(benchmark_windows(benchmark, item_col, item_text), "bench-windows")
     lengths = [r.length for r in windows.select("length").distinct().orderBy("length").collect()]  # at most WINDOW values
-    keys = _small(windows.drop("item_text"))
-    words = docs.select("doc_id", "twin", template(F.col("text")).alias("ws")).select("doc_id", "twin", *[c.alias(k) for k, c in _coded("ws").items()])
-    found = None
-    for length in lengths:
-        spots = F.transform(
-            F.sequence(F.lit(0), F.size("kinds") - length),
-            lambda i: F.struct(i.alias("pos"), F.array_distinct(F.array_compact(F.array(*_keys(i, F.lit(length))))).alias("ks")),
-        )
-        spots = words.select("doc_id", "twin", F.explode(F.when(F.size("kinds") >= length, spots)).alias("x"))
-        spots = spots.select("doc_id", "twin", "x.pos", F.explode("x.ks").alias("key"))
-        hits = spots.join(keys.filter(F.col("length") == length), "key")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
+    if not lengths:
         return docs.sparkSession.createDataFrame([], "doc_id long, twin long, item_id long, covered int, n_slots int")
+    keys = _small(windows.drop("item_text", "pairs"))
+    words = docs.select("doc_id", "twin", template(F.col("text")).alias("ws")).select("doc_id", "twin", *[c.alias(k) for k, c in _coded("ws").items()])
+    may = places(windows)
+    starts = F.filter(F.sequence(F.lit(0), F.size("kinds") - lengths[0]), lambda i: may(i))
+
+    def runs_from(i: Column) -> Column:
+        """The windows of every length that begin at a place, with their keys."""
+        made = [
+            F.when(i + n <= F.size("kinds"), F.struct(F.lit(n).alias("length"), F.array_distinct(F.array_compact(F.array(*_keys(i, F.lit(n))))).alias("ks")))
+            for n in lengths
+        ]
+        return F.transform(F.array_compact(F.array(*made)), lambda x: F.struct(i.alias("pos"), x["length"].alias("length"), x["ks"].alias("ks")))
+
+    # an outer explode: no filter on its input may be derived, which would move below the codes and repeat them per place
+    held = F.when(F.size("kinds") >= lengths[0], F.flatten(F.transform(starts, lambda i: runs_from(i))))
+    spots = words.select("doc_id", "twin", F.explode_outer(held).alias("x")).filter("x IS NOT NULL")
+    spots = spots.select("doc_id", "twin", "x.pos", "x.length", F.explode("x.ks").alias("key"))
+    found = spots.join(keys, ["key", "length"])
     steps, typed = F.array_sort(F.collect_set("pos")), F.collect_set(F.when(F.col("typed"), F.col("pos")))
     by = ["doc_id", "twin", "item_id", "item_twin", "n_words", "usable", "length"]
     runs = found.groupBy(*by, (F.col("pos") - F.col("ipos")).alias("shift")).agg(steps.alias("at"), typed.alias("typed"))

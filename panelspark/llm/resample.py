@@ -74,12 +74,18 @@ def offsets(text: str, split=None) -> list[tuple[int, int]]:
 
 
 def feature_counts(text: str, split, max_run: int = 1) -> tuple[Counter, int]:
-    """How often each feature occurs, and the number of words."""
+    """How often each feature occurs, and the number of words.
+
+    A single word is what the split returns for its offsets; longer runs are windows over the offset pairs.
+    """
+    found: Counter = Counter()
+    if max_run == 1:
+        for _, part in sections(text):
+            found.update([word for word, _ in split.pre_tokenize_str(part)])
+        return found, found.total()
     pairs = offsets(text, split)
-    found = Counter(text[a:b] for a, b in pairs)
-    if max_run > 1:
-        for n in range(2, max_run + 1):
-            found.update(" ".join(text[a:b] for a, b in pairs[i : i + n]) for i in range(len(pairs) - n + 1))
+    for n in range(1, max_run + 1):
+        found.update(" ".join([text[a:b] for a, b in pairs[i : i + n]]) for i in range(len(pairs) - n + 1))
     return found, len(pairs)
 
 
