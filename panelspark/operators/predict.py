@@ -6,9 +6,8 @@ gathered for its fit; predictions are short array recursions inside a row.
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -512,9 +511,6 @@ def fit_trees(
     return Pipeline(stages=stages).fit(features.select(*columns, value))
 
 
-NODES = "array<struct<weight:double,feature:array<int>,threshold:array<double>,left:array<int>,right:array<int>,value:array<double>>>"
-
-
 def _parsed_trees(text: str, weights: Sequence[float]) -> list[dict]:
     """The trees of an ensemble's debug text as node lists; a leaf is its own child."""
     trees: list[dict] = []
@@ -547,6 +543,10 @@ def _parsed_trees(text: str, weights: Sequence[float]) -> list[dict]:
     return trees
 
 
+def _array(parts: Iterable[str]) -> str:
+    return f"array({', '.join(parts)})"
+
+
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is evaluated once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -559,12 +559,14 @@ def tree_values(model, features: Column) -> Column:
     """
     scaler, ensemble = model.stages[-2], model.stages[-1]
     low, high = scaler.originalMin.toArray().tolist(), scaler.originalMax.toArray().tolist()
-    ranges = F.from_json(
-        F.lit(json.dumps([{"low": a, "scale": 1.0 / (b - a) if b > a else None} for a, b in zip(low, high)])),
-        "array<struct<low:double,scale:double>>",
-    )
+    # literals, which are folded into constants when the query is planned
+    ranges = F.expr(_array(f"named_struct('low', {a!r}D, 'scale', {f'{1.0 / (b - a)!r}D' if b > a else 'CAST(NULL AS DOUBLE)'})" for a, b in zip(low, high)))
     trees = _parsed_trees(ensemble.toDebugString, list(ensemble.treeWeights))
-    nodes = F.from_json(F.lit(json.dumps(trees)), NODES)
+    kinds = {"feature": "{}", "threshold": "{!r}D", "left": "{}", "right": "{}", "value": "{!r}D"}
+    nodes = F.expr(_array(
+        f"named_struct('weight', {t['weight']!r}D, " + ", ".join(f"'{k}', {_array(f.format(x) for x in t[k])}" for k, f in kinds.items()) + ")"
+        for t in trees
+    ))
     depth = F.sequence(F.lit(1), F.lit(max(1, max(t.depth for t in ensemble.trees))))
     scaled = F.zip_with(features, ranges, lambda v, r: F.coalesce((v - r["low"]) * r["scale"], F.lit(0.5)))
 
