@@ -2,16 +2,18 @@
 
 The base rules find e-mail and IP addresses, card and phone numbers exactly; their spans always
 stay. The network is trained in numpy on labelled windows: a bounded sample (`WINDOWS`, drawn by
-hash) of windows around digits and at-signs, labelled by the base rules, half of them with a
-labelled span rewritten in a form that the rules miss (dotted card numbers, phone numbers without
-plus, bracketed at-signs and dots).
+hash) of windows around digits and at-signs, labelled by the base rules, and `INVENTED` windows made from it:
+values of a labelled span's kind and shape with other digits and names, in a form that the rules miss (dotted card
+numbers, phone numbers without plus, bracketed at-signs and dots), at any place of another window's text,
+at times cut by its ends.
 
 A text is cut into windows of `WIDTH` characters that overlap by half. Only windows with a digit,
 an at-sign or a bracketed "at" are read: every span must hold one of these, so the others have
-none. Each is decoded with the CRF; spans that touch a border inside the text are left to the next
-window, which sees them whole. Over the whole text, candidates that pass their kind's test (digits,
-Luhn, parts under 256) and a confidence calibrated on held-back windows compete: the surest first,
-none may overlap a base span or another. So the network adds to the rules, never takes away.
+none. Each is decoded with the CRF. Overlapping windows are stitched to one line of tags, each position from
+the window in which it lies most central, so spans may cross borders and be longer than a window.
+Over the whole text, candidates that pass their kind's test (digits, Luhn, parts under 256) and a
+confidence calibrated per kind on held-back windows compete: the surest first, none may overlap a base span
+or another. So the network adds to the rules, never takes away.
 
 Null and empty texts have no spans. Positions are code points, ends exclusive. Repeated rows get
 equal answers; ties between candidates go to the earlier, then to the longer one. Without any
@@ -23,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +36,16 @@ KINDS = ("email", "ip", "card", "phone")
 WIDTH = 96
 STRIDE = WIDTH // 2
 WINDOWS = 3_000
-HIDDEN, DIM = 14, 10
+INVENTED = 4_000
+HIDDEN, DIM = 20, 12
 EPOCHS = 8
-PRECISION = 0.995
+PRECISION = 0.99
+BLOCK, MOST = 1_024, 960
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+# a match begins where its digits begin, and digits are not given back: linear on long runs of them
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -160,7 +165,7 @@ class Tagger:
     """Weights; windows are padded on the right to WIDTH, pads are outside."""
 
     w: dict[str, np.ndarray]
-    threshold: float = 1.1
+    thresholds: list[float] = field(default_factory=lambda: [1.1] * len(KINDS))
 
     def forward(self, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Tag scores (time, batch, tags) of codes (batch, time)."""
@@ -252,9 +257,9 @@ def _padded(texts: list[str]) -> np.ndarray:
 def _tags(spans: list[Span]) -> np.ndarray:
     out = np.zeros(WIDTH, np.int64)
     for kind, a, b in spans:
-        if a < WIDTH:
+        out[max(a, 0) : min(b, WIDTH)] = 2 + 2 * kind
+        if 0 <= a < WIDTH:
             out[a] = 1 + 2 * kind
-            out[a + 1 : min(b, WIDTH)] = 2 + 2 * kind
     return out
 
 
@@ -298,10 +303,43 @@ def rewritten(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[s
     return "".join(parts), out
 
 
-def fit(windows: list[str], epochs: int = EPOCHS, seed: int = 3) -> Tagger:
-    """Train on windows labelled by the base rules and on rewritten ones."""
-    rng = np.random.default_rng(seed)
-    examples: list[tuple[str, list[Span]]] = []
+def fresh(kind: int, own: str, words: list[str], rng: np.random.Generator) -> str:
+    """Another value of the same kind and shape: new digits that pass the kind's test, another name and host."""
+    if kind == 0:
+        name, host = own.split("@", 1)
+        tail = host.split(".")[-1]
+        parts = [words[rng.integers(len(words))] for _ in range(rng.integers(2, 4))]
+        name = ["", ".", "_", "-"][rng.integers(4)].join(parts[:-1]) + ("" if rng.random() < 0.5 else str(rng.integers(1, 1000)))
+        more = [parts[-1], *(words[rng.integers(len(words))] for _ in range(rng.integers(0, 2)))]
+        return f"{name}@{'.'.join(more)}.{tail if rng.random() < 0.5 else words[rng.integers(len(words))][:3]}"
+    if kind == 1:
+        return ".".join(str(rng.integers(0, 256)) for _ in range(4))
+    digits = [str(d) for d in rng.integers(0, 10, len(_digits(own)))]
+    if kind == 2:
+        digits[-1] = next(d for d in "0123456789" if luhn("".join(digits[:-1]) + d))
+    given = iter(digits)
+    return "".join(next(given) if c.isascii() and c.isdigit() else c for c in own)
+
+
+def invented(kind: int, own: str, filler: str, words: list[str], rng: np.random.Generator) -> tuple[str, list[Span]]:
+    """A window of foreign text around a fresh value, hidden from the base rules, anywhere in it and at times cut by its ends."""
+    value = fresh(kind, own, words, rng)
+    hidden, _ = rewritten(value, [(kind, 0, len(value))], rng)
+    gaps = [i for i, c in enumerate(filler) if c == " "] or [0]
+    cut = gaps[rng.integers(len(gaps))]
+    glue = ["", " ", ": ", " (", ", ", "\n"][rng.integers(1, 6)]
+    text = filler[:cut] + glue + hidden + ["", ".", ",", ")", ""][rng.integers(5)] + " " + filler[cut:].lstrip()
+    start = cut + len(glue)
+    # a window is WIDTH long: it may begin inside the value or end there
+    shift = int(rng.integers(max(0, start + len(hidden) // 2 - WIDTH), start + 1)) if rng.random() < 0.5 else max(0, start + len(hidden) - WIDTH)
+    return text[shift : shift + WIDTH], [(kind, start - shift, start + len(hidden) - shift)]
+
+
+def examples_of(windows: list[str], rng: np.random.Generator, size: int = INVENTED) -> list[tuple[str, list[Span]]]:
+    """Windows with their base spans, and ``size`` invented ones, as many of each kind that has a labelled span."""
+    out: list[tuple[str, list[Span]]] = []
+    by_kind: dict[int, list[str]] = {}
+    fillers = []
     for text in windows:
         spans = base_spans(text)
         # of overlapping spans the network learns the earlier
@@ -309,11 +347,24 @@ def fit(windows: list[str], epochs: int = EPOCHS, seed: int = 3) -> Tagger:
         for s in sorted(spans, key=lambda s: (s[1], -s[2])):
             if not apart or s[1] >= apart[-1][2]:
                 apart.append(s)
-        examples.append((text, apart))
-        if apart:
-            changed = rewritten(text, apart, rng)
-            if all(b <= WIDTH for *_, b in changed[1]):
-                examples.append(changed)
+        out.append((text, apart))
+        for kind, a, b in apart:
+            by_kind.setdefault(kind, []).append(text[a:b])
+        if not spans:
+            fillers.append(text)
+    fillers = fillers or [re.sub(r"[^\s]*[0-9@][^\s]*", "", t) for t in windows]
+    words = sorted({w.lower() for t in fillers for w in re.findall(r"[A-Za-z]{2,12}", t)}) or ["name", "host", "mail"]
+    for k in range(size if by_kind else 0):
+        kind = sorted(by_kind)[k % len(by_kind)]
+        values = by_kind[kind]
+        out.append(invented(kind, values[rng.integers(len(values))], fillers[rng.integers(len(fillers))], words, rng))
+    return out
+
+
+def fit(windows: list[str], epochs: int = EPOCHS, seed: int = 3) -> Tagger:
+    """Train on windows labelled by the base rules and on invented ones; thresholds from a sixth held back."""
+    rng = np.random.default_rng(seed)
+    examples = examples_of(windows, rng)
     tagger = new_tagger(seed)
     if not any(spans for _, spans in examples):
         return tagger
@@ -336,24 +387,39 @@ def fit(windows: list[str], epochs: int = EPOCHS, seed: int = 3) -> Tagger:
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g**2
                 tagger.w[k] = (tagger.w[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    # the confidence from which on held-back spans are right
-    seen: list[tuple[float, bool]] = []
+    # per kind, the confidence from which on held-back spans are right: what the operator would accept counts
+    seen: dict[int, list[tuple[float, bool]]] = {}
     check = np.flatnonzero(held)
     for at in range(0, len(check), 256):
         some = check[at : at + 256]
         found, sure = tagger.decode(ids[some])
-        for row, line, truth in zip(found, sure, tags[some], strict=True):
-            right = set(tagged_spans(truth))
-            seen += [(float(line[a:b].min()), (k, a, b) in right) for k, a, b in tagged_spans(row)]
-    seen.sort(reverse=True)
-    good = 0
-    for n, (sure, ok) in enumerate(seen, 1):
-        good += ok
-        if good / n >= PRECISION:
-            tagger.threshold = max(sure, 0.5)
+        for i, row, line in zip(some, found, sure, strict=True):
+            text, spans = examples[order[i]]
+            right = {(k, max(a, 0), min(b, WIDTH)) for k, a, b in spans}
+            for k, a, b in tagged_spans(row):
+                b = min(b, len(text))
+                if (k, a, b) in right or acceptable(k, text, a, b):
+                    seen.setdefault(k, []).append((float(line[a:b].min()), (k, a, b) in right))
+    for kind, rows in seen.items():
+        good = 0
+        for n, (sure, ok) in enumerate(sorted(rows, reverse=True), 1):
+            good += ok
+            if good / n >= PRECISION:
+                tagger.thresholds[kind] = max(sure, 0.5)
     return tagger
 
 
+def acceptable(kind: int, text: str, a: int, b: int) -> bool:
+    """Whether a candidate passes the tests of its kind and stands alone in its text."""
+    own = text[a:b]
+    if not own or own != own.strip() or not ANCHOR.search(own) or not fits(kind, own):
+        return False
+    if kind == 0:
+        return bool(re.search(r"[^\s@(\[][ ]?(?:@|[(\[] ?at ?[)\]]) ?[A-Za-z0-9].*[A-Za-z0-9]", own))
+    # a number is whole: no digit before or after it
+    return not (text[a - 1 : a].isalnum() if a else False) and not text[b : b + 1].isalnum()
+
+
 # ---- texts ----------------------------------------------------------------------------------
 
 
@@ -369,34 +435,55 @@ def window_starts(text: str) -> list[int]:
     return out
 
 
+def stitched(starts: list[int], tags: np.ndarray, sure: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(offset, tags, confidence) of each run of overlapping windows of one text.
+
+    A position is taken from the window in which it lies most central, so a span may cross any
+    number of window borders.
+    """
+    edge, at = (WIDTH - STRIDE) // 2, 0
+    while at < len(starts):
+        end = at + 1
+        while end < len(starts) and starts[end] - starts[end - 1] == STRIDE:
+            end += 1
+        cuts = [(0 if k == at else edge, WIDTH if k == end - 1 else edge + STRIDE) for k in range(at, end)]
+        yield (
+            starts[at],
+            np.concatenate([tags[k][a:b] for k, (a, b) in zip(range(at, end), cuts)]),
+            np.concatenate([sure[k][a:b] for k, (a, b) in zip(range(at, end), cuts)]),
+        )
+        at = end
+
+
 def added_spans(texts: list[str | None], base: list[list[Span]], tagger: Tagger) -> list[list[Span]]:
     """What the network adds to the base spans of each text."""
     out: list[list[Span]] = [[] for _ in texts]
-    if tagger.threshold > 1:
+    if min(tagger.thresholds) > 1:
         return out
     places = [(i, start) for i, text in enumerate(texts) if text for start in window_starts(text)]
     candidates: list[dict[Span, float]] = [{} for _ in texts]
-    for at in range(0, len(places), 256):
-        some = places[at : at + 256]
-        found, sure = tagger.decode(_padded([texts[i][s : s + WIDTH] for i, s in some]))
-        for (i, start), tags, line in zip(some, found, sure, strict=True):
-            size = len(texts[i])
-            for kind, a, b in tagged_spans(tags):
-                b = min(b, size - start)
-                if b <= a or (a == 0 and start > 0) or (b == WIDTH and start + WIDTH < size):
-                    continue
-                span = (kind, start + a, start + b)
-                candidates[i][span] = max(candidates[i].get(span, 0.0), float(line[a:b].min()))
+    for at in range(0, len(places), BLOCK):
+        # windows of all texts share batches; blocks overlap by MOST characters, so no span is lost at their borders
+        low, high = max(0, at - MOST // STRIDE), min(len(places), at + BLOCK)
+        some = places[low:high]
+        decoded = [tagger.decode(_padded([texts[i][s : s + WIDTH] for i, s in some[k : k + 256]])) for k in range(0, len(some), 256)]
+        found, sure = (np.concatenate(x) for x in zip(*decoded))
+        k = 0
+        while k < len(some):
+            i, end = some[k][0], k
+            while end < len(some) and some[end][0] == i:
+                end += 1
+            for start, tags, line in stitched([s for _, s in some[k:end]], found[k:end], sure[k:end]):
+                cut_off = end == len(some) and high < len(places) and start + len(tags) == some[-1][1] + WIDTH
+                for kind, a, b in tagged_spans(tags[: len(texts[i]) - start]):
+                    if not (cut_off and b == len(tags)):
+                        span = (kind, start + a, start + b)
+                        candidates[i][span] = max(candidates[i].get(span, 0.0), float(line[a:b].min()))
+            k = end
     for i, text in enumerate(texts):
         taken = [(a, b) for _, a, b in base[i]]
         for (kind, a, b), sure in sorted(candidates[i].items(), key=lambda x: (-x[1], x[0][1], -x[0][2])):
-            own = text[a:b]
-            if sure < tagger.threshold or own != own.strip() or not ANCHOR.search(own) or not fits(kind, own):
-                continue
-            if kind == 0 and not re.search(r"\S(?:@|[(\[] ?at ?[)\]]).*[A-Za-z0-9]", own):
-                continue
-            # a number is whole: no digit before or after it
-            if kind and (text[a - 1 : a].isalnum() or text[b : b + 1].isalnum()):
+            if sure < tagger.thresholds[kind] or not acceptable(kind, text, a, b):
                 continue
             if all(b <= c or a >= d for c, d in taken):
                 taken.append((a, b))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -95,6 +96,35 @@ def test_base_rules():
     assert personal.base_spans("a" * 200_000 + "@") == []
 
 
+RULES = (
+    (1, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+    (2, r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= sum(c.isdigit() for c in m) <= 19 and plain_luhn([int(c) for c in m if c.isdigit()])),
+    (3, r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= sum(c.isdigit() for c in m) <= 15),
+)
+
+
+def plain_luhn(digits):
+    doubled = [d if k % 2 == 0 else (2 * d if d < 5 else 2 * d - 9) for k, d in enumerate(digits[::-1])]
+    return sum(doubled) % 10 == 0
+
+
+def test_numbers_follow_the_contracts_expressions():
+    rnd = random.Random(8)
+    pieces = ["4111 1111 1111 1111", "1.2.3.4", "+1 (408) 555-7800", "256.0.0.1", "5500-0000-0000-0004", "12", ".", " ", "-", "+", "7", "x", "é"]
+    for _ in range(6000):
+        text = "".join(rnd.choice(pieces) if rnd.random() < 0.5 else rnd.choice("0123456789. +-()") for _ in range(rnd.randint(0, 20)))
+        want = sorted((kind, m.start(), m.end()) for kind, rule, fine in RULES for m in re.finditer(rule, text) if fine(m[0]))
+        assert [s for s in sorted(personal.base_spans(text)) if s[0]] == want, text
+
+
+def test_long_runs_of_digits_end_in_time():
+    start = time.time()
+    for text in ("7" * 1_000_000, "+" + "7 " * 500_000, "7-" * 500_000):
+        assert personal.base_spans(text) == []
+    assert len(personal.base_spans("7." * 500_000)) == 125_000
+    assert time.time() - start < 20
+
+
 def test_gradients():
     tagger = personal.new_tagger()
     tagger.w = {k: v.astype(float) for k, v in tagger.w.items()}
@@ -136,7 +166,7 @@ def people():
 def test_network_adds_and_never_takes(table, people, odd):
     docs = table([*people, *[(None if i is None else 1000 + i, t) for i, t in odd]])
     tagger = personal.train(docs)
-    assert tagger.threshold <= 1
+    assert max(tagger.thresholds) <= 1
     got = personal.find_personal(docs, tagger).collect()
     for r in got:
         if r.doc_id is not None and r.doc_id < 1000:
@@ -144,12 +174,53 @@ def test_network_adds_and_never_takes(table, people, odd):
             assert set(personal.span_text(base).split(",")) <= set(r.spans.split(","))
             assert r.n_email == sum(s[0] == 0 for s in base)
             assert r.doc_id % 2 or r.spans == ""
-    hidden = [f"Kalo mita {x} talo kami" for x in ("ann.42(at)mail3.example.com", "10[.]20[.]30[.]40", "bnn.7[at]mail1.example.com", "dnn.77(at)mail5.example.com")]
-    found = personal.added_spans(hidden, [[] for _ in hidden], tagger)
-    assert sum(map(bool, found)) >= 2
+    # held-out values in held-out text of the language trained on: each kind is found where it stands, and little else
+    rng, rnd = np.random.default_rng(21), random.Random(22)
+    values = {0: "kim.77@mail3.example.com", 1: "10.20.30.40", 2: "4111111111111111", 3: "+1 (408) 555-7800"}
+    texts, truth = [], []
+    for n in range(240):
+        kind, words = n % 4, prose(rnd, "aa", 40).split()
+        value = personal.fresh(kind, values[kind], ["kalo", "mitaka", "talo", "kami"], rng)
+        hidden, _ = personal.rewritten(value, [(kind, 0, len(value))], rng)
+        before = " ".join(words[: rnd.randint(0, 39)])
+        texts.append(f"{before} {hidden} {words[-1]}".strip())
+        truth.append((kind, texts[-1].index(hidden), texts[-1].index(hidden) + len(hidden)))
+    found = personal.added_spans(texts, [[] for _ in texts], tagger)
+    for kind in values:
+        own = [(t, f) for t, f in zip(truth, found) if t[0] == kind]
+        assert np.mean([t in f for t, f in own]) >= 0.9, personal.KINDS[kind]
+    wrong = sum(x != t for t, f in zip(truth, found) for x in f)
+    assert wrong <= 0.03 * sum(map(len, found))
+    # the operator itself reports them
+    rows = personal.find_personal(table([(i, t) for i, t in enumerate(texts)]), tagger).collect()
+    assert sum(r.n_added for r in rows) > 200
     assert personal.find_personal(table([]), tagger).collect() == []
 
 
+def test_blocks_of_windows_find_the_same(monkeypatch, people):
+    """Spans in a long text, over block borders too, and longer than a window."""
+
+    class Marks:
+        """Tags runs of @ as e-mail: a stand-in for the network that only sees its window."""
+
+        thresholds = [0.5] * 4
+
+        def decode(self, ids):
+            at = ids == ord("@")
+            tags = np.where(at, 2, 0)
+            tags[:, 1:][at[:, 1:] & ~at[:, :-1]] = 1
+            tags[:, 0][at[:, 0]] = 2
+            return tags, np.ones(ids.shape)
+
+    monkeypatch.setattr(personal, "acceptable", lambda *_: True)
+    rnd = random.Random(9)
+    text = "".join(" " * rnd.randint(1, 60) + "@" * rnd.randint(1, 300) for _ in range(200)) + " "
+    want = [(0, m.start(), m.end()) for m in re.finditer("@+", text)]
+    for block in (7, 64, 5_000):
+        monkeypatch.setattr(personal, "BLOCK", block)
+        assert sorted(personal.added_spans([text, "x", text], [[], [], []], Marks())[2]) == want
+
+
 def test_windows_hold_every_anchor():
     rnd = random.Random(7)
     for _ in range(200):
