@@ -31,7 +31,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.shared import saved
+from panelspark.llm.shared import fresh_name, saved
 
 WINDOW = 8
 COVER = 13
@@ -287,7 +287,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminate_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item of the benchmark was found, with their own columns."""
     rows = docs.select("doc_id", "text").withColumn("twin", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = leaks(rows, benchmark).select(F.col("doc_id").alias("_leak"), F.col("twin").alias("_twin")).distinct()
+    leak, own = fresh_name(docs, "leak_id"), fresh_name(docs, "leak_twin")
+    found = leaks(rows, benchmark).select(F.col("doc_id").alias(leak), F.col("twin").alias(own)).distinct()
     found = _small(saved(found, "leaks"))
     twin = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_leak")) & (twin == F.col("_twin")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(F.col(leak)) & (twin == F.col(own)), "left_anti")

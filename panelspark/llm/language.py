@@ -204,8 +204,10 @@ def is_held_out(id_col: str = "doc_id") -> Column:
 
 
 def language_stage(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised, with their own columns."""
+    """The rows of ``docs`` whose language is recognised, with their own columns; all of them if no row has a language."""
     model = train(docs)
+    if not model.languages:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema, at = docs.schema, docs.columns.index("text")
 

@@ -38,9 +38,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.components import components
-from panelspark.llm.shared import batch_word_hashes, mix, saved
+from panelspark.llm.shared import batch_word_hashes, fresh_name, mix, saved
 
 HASHES = 48
+SALTS = 16
 
 _rng = np.random.default_rng(7141)
 _XOR = _rng.integers(1, 2**63, HASHES, dtype=np.uint64)
@@ -153,14 +154,17 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 85) -> tuple[Dat
     told = saved(described(docs, k, percent / 100), "signatures")
     rows = told.select("doc_id", "twin", "n", "node")
     classes = told.filter("node IS NOT NULL").groupBy("node").agg(
-        F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("doc_id").alias("at")
+        F.first("n").alias("n"), F.first("keys").alias("keys"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "twin")).alias("at"),
     )
     spots = classes.select("node", "n", "at", F.explode("keys").alias("key"))
     shared = spots.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     members = saved(spots.join(shared, "key"), "members")
     # texts of one document per class that shares a key
     lead = members.select("node", "at").distinct()
-    texts = docs.join(lead, docs["doc_id"].eqNullSafe(F.col("at"))).select("node", "text")
+    lead = lead.select("node", F.col("at.doc_id").alias("at_id"), F.col("at.twin").alias("at_twin"))
+    # by id and text: rows without id meet only their own class
+    texts = docs.join(lead, docs["doc_id"].eqNullSafe(F.col("at_id")) & (docs["twin"] == F.col("at_twin"))).select("node", "text")
     sets = saved(_shingle_sets(texts, k), "sets")
 
     def with_sets(pairs: DataFrame) -> DataFrame:
@@ -223,9 +227,13 @@ def near_components(docs: DataFrame, k: int = 3, percent: int = 85) -> tuple[Dat
 def _decided(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, twin, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     rows, roots = near_components(docs.select("doc_id", "text", F.xxhash64("text").alias("twin")), k, percent)
-    named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).filter("c > 1")
-    joined = named.join(least, "root", "left")
+    # groups are decided on classes, one row each; a group of many classes meets its row in SALTS parts
+    classes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
+    rooted = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("c").alias("c")).filter("c > 1")
+    parts = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    decided = rooted.select("node", "root", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")).join(parts, ["root", "salt"])
+    joined = rows.join(decided.select("node", "component_id", "c"), "node", "left")
     group = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.col("doc_id").eqNullSafe(group).alias("kept")
     return joined.select("doc_id", "twin", F.col("n").alias("n_shingles"), group.alias("component_id"), kept)
@@ -242,7 +250,8 @@ def near_duplicate_stage(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
     A row with neither id nor text goes.
     """
     docs = docs.filter(docs["doc_id"].isNotNull() | docs["text"].isNotNull())
-    kept = _decided(docs, k, percent).filter("kept").select(F.col("doc_id").alias("_kept"), F.col("twin").alias("_kept_twin")).distinct()
-    rows = docs.withColumn("_twin", F.xxhash64("text"))
-    same = rows["doc_id"].eqNullSafe(F.col("_kept")) & (rows["_twin"] == F.col("_kept_twin"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_twin"]).drop("_twin")
+    own, twin, key = (fresh_name(docs, n) for n in ("kept_id", "kept_twin", "text_twin"))
+    kept = _decided(docs.select("doc_id", "text"), k, percent).filter("kept").select(F.col("doc_id").alias(own), F.col("twin").alias(twin)).distinct()
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(F.col(own)) & (rows[key] == F.col(twin))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
