@@ -67,3 +67,19 @@ def experiment_documents(results: DataFrame, by: Sequence[str] = ("currency",))
 
 def write_documents(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def write_bucketed(
+    df: DataFrame, name: str, path: str, by: Sequence[str] = ("currency", "horizon"), order: Sequence[str] = ("model", "window"), buckets: int = 200
+) -> None:
+    """Window table as a bucketed, sorted table of the catalogue, with its files under ``path``.
+
+    Comparisons group and join by the bucket columns and more, so they read the table without shuffling
+    it; joins by more columns than these need ``BUCKETED``. Each task writes whole buckets, one file each.
+    """
+    dealt = df.repartition(buckets, *by).sortWithinPartitions(*by, *order)
+    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, *by).sortBy(*by, *order).saveAsTable(name)
+
+
+# joins by (currency, horizon, ...) may use a distribution by (currency, horizon)
+BUCKETED = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}

@@ -104,3 +104,36 @@ def test_sinks(spark, data, tmp_path):
     results.write_documents(results.experiment_documents(rows), str(tmp_path / "docs"))
     docs = spark.read.json(str(tmp_path / "docs"))
     assert sorted((r.currency, len(r.baseline_results), len(r.llm_results)) for r in docs.collect())[0] == ("USDAUD", 12, 36)
+
+
+def test_comparisons_read_a_bucketed_table_without_exchange(spark, tmp_path):
+    import random
+
+    from panelspark.operators import significance
+
+    draw, rows = random.Random(4), []
+    for currency in ("A", "B", "C"):
+        for horizon in (1, 5):
+            runs = [("baseline", m, "baseline") for m in ("n", "m")]
+            runs += [("llm", m, c) for m in ("x", "y") for c in ("baseline_llm", "news_only", "prompt_only", "full_model")]
+            rows += [(t, m, c, currency, horizon, w, draw.random() * 9, draw.random() * 100) for t, m, c in runs for w in range(12)]
+    schema = "type string, model string, config string, currency string, horizon int, window int, window_rmse double, window_da double"
+    df = spark.createDataFrame(rows, schema)
+    results.write_bucketed(df, "window_table", str(tmp_path / "windows"), buckets=4)
+    before = {k: spark.conf.get(k, None) for k in (*results.BUCKETED, "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in {**results.BUCKETED, "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}.items():
+            spark.conf.set(k, v)
+        table = spark.table("window_table")
+        tests = significance.dm_statistics(significance.dm_losses(table), ["rq", *compare.UNIT])
+        plan = tests._jdf.queryExecution().executedPlan().toString()
+        exchanged = [x for x in plan.splitlines() if "Exchange" in x]
+        # only partial sums of the losses move; nothing reads the window table through an exchange
+        assert "Bucketed: true" in plan and len(exchanged) == 1 and "(rq#" in exchanged[0], exchanged
+        got = {(r.rq, r.currency, r.horizon, r.model): round(r.mean_d, 9) for r in tests.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        spark.sql("DROP TABLE window_table")
+    want = significance.dm_statistics(significance.dm_losses(df), ["rq", *compare.UNIT]).collect()
+    assert got == {(r.rq, r.currency, r.horizon, r.model): round(r.mean_d, 9) for r in want} and len(got) == 4 * 6 * 2
