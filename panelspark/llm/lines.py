@@ -8,7 +8,7 @@ one covered window holds. Lines that only occur in shorter repeats stay.
 Null and empty texts have no window; a text of fewer than three lines neither. Windows of nothing
 but white space are not counted. Windows of one text repeat as well. Rows that share an id are told
 apart by their text's hash; identical rows are one occurrence at the same place, the later ones
-are not removed. A null id comes first. Extra columns pass through `dedup_stage` untouched.
+are not removed. A null id comes first. Extra columns are not read.
 """
 
 from __future__ import annotations
