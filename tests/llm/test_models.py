@@ -82,6 +82,47 @@ def test_pool_rows_teach(monkeypatch):
     assert gap(with_pool) > gap(without) + 0.5
 
 
+def test_picks_of_parts_hold_the_picks_of_all():
+    rng = np.random.default_rng(12)
+    keys, p = rng.integers(0, 300, 1_000), rng.random((2, 1_000))
+    p[:, 500:] = p[:, :500]
+    keys[500:] = keys[:500]  # copies have equal keys and strengths
+
+    def picked(parts):
+        found = {}
+        for part in parts:
+            picks = cotrain.Picks(20, 0.6)
+            for at in range(0, len(part), 64):
+                some = part[at : at + 64]
+                picks.add(keys[some], [p[0][some], p[1][some]], lambda i: None)
+            for view, label, key, strength, _ in picks.rows():
+                found.setdefault((view, label), {})[key] = strength
+        return {g: sorted(rows.items(), key=lambda x: (-x[1], x[0]))[:20] for g, rows in found.items()}
+
+    ids = np.unique(keys, return_index=True)[1]  # one strength per key, as equal rows have
+    whole = np.concatenate([ids, ids + 0])
+    assert picked([whole]) == picked(np.array_split(rng.permutation(whole), 7)) and len(picked([whole])[(0, 1.0)]) == 20
+
+
+def test_rare_rows_of_a_large_table_teach(spark, table):
+    """Confident rows are found wherever they stand among the unlabelled ones."""
+    rnd = random.Random(14)
+    labelled = [(i, ("good " if i % 2 else "bad!! ") * 20, "en", f"g{i % 2}") for i in range(80)]
+    dull = [(100 + i, f"plain{i % 50} words " * 10, "en", "other") for i in range(3_000)]
+    rare = [(9_000 + i, (f"fresh{rnd.randint(0, 9)} " if i % 2 else f"stale{rnd.randint(0, 9)} ") * 20, "en", f"g{i % 2}") for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    test = [["fresh1 fresh2 " * 10, "stale1 stale2 " * 10], [None, None], ["en", "en"], [100, 100]]
+    dense, sparse = cotrain.text_features(test[0])
+
+    def gap(model):
+        z = dense @ model.text[: dense.shape[1]] + np.array([model.text[dense.shape[1] + b] @ w for b, w in sparse])
+        return z[0] - z[1]
+
+    with_rare = gap(cotrain.train(table([*labelled, *dull, *rare]).repartition(9), labels))
+    without = gap(cotrain.train(table([*labelled, *dull]).repartition(9), labels))
+    assert with_rare > without + 0.5
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
