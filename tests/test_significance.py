@@ -184,3 +184,14 @@ def test_no_task_orders_more_than_the_digits_under_one_prefix(spark):
     for table in tables:
         largest = table.groupBy("g", F.shiftright("_key", bits)).count().agg(F.max("count")).first()[0]
         assert largest <= 2**bits
+
+
+def test_keys_are_made_per_value_and_not_per_row(spark):
+    """Rows are counted per value first: nothing below the counts computes a key, neither to filter nor to group."""
+    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") % 7 - 3.0).alias("d"))
+    for made in (significance.signed_rank_sums(rows, ["g"]), exact_median(rows, ["g"], "d", "m")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        below = [x for x in plan if "Filter" in x or "Project [(id" in x]
+        assert below and not any("log2" in x.lower() for x in below), below
+    got = {(r.g, r.n_zero, r.n_ranks) for r in significance.signed_rank_sums(rows, ["g"]).collect()}
+    assert sum(n for _, n, _ in got) == 143 and sum(n for _, _, n in got) == 857
