@@ -43,6 +43,7 @@ PRIOR = 1.1
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 STEP = 1 << 20
+ROWS = 512
 
 
 def _ngrams(text: str) -> np.ndarray:
@@ -212,8 +213,10 @@ def language_stage(docs: DataFrame) -> DataFrame:
     schema, at = docs.schema, docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([not shared.value.predict(x.as_py())[2] for x in batch.column(at)], pa.bool_()))
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):  # no second copy of all texts of a batch
+                batch = whole.slice(start, ROWS)
+                yield batch.filter(pa.array([not shared.value.predict(x.as_py())[2] for x in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(keep, schema)
 

@@ -85,7 +85,7 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(20240229).integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-SECTION = 1 << 21
+SECTION = 1 << 18  # bytes hashed at once; each takes some tens of bytes of memory meanwhile
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -23,13 +23,13 @@ then text, so repeated rows follow each other. An empty table gives no rows. Ext
 from __future__ import annotations
 
 import gc
-import itertools
 import json
 import os
 import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,11 +188,16 @@ def _parts(word: str) -> tuple[str, str]:
     end = word[len(core) :]
     if end and not (core and core[-1].isalnum() and core[-1].lower().isalnum()):
         core, end = word, ""
-    return (core.lower() if core.isalpha() and "Σ" not in core else core), end
+    low = core.lower() if core.isalpha() and "Σ" not in core else core
+    return (core if low == core else low), end
 
 
 class WordTable:
-    """The ids of the words met so far, in arrays; emptied when it holds CACHE words."""
+    """The ids of the words met so far, in arrays; emptied when it holds CACHE words.
+
+    Ids of parts of words are kept as bytes, 4 an id: a table lives as long as its worker, next to
+    the tasks of other stages, and lists of numbers take four times as much.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -203,7 +208,7 @@ class WordTable:
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.core: dict[str, list[int]] = {"": []}
+        self.core: dict[str, bytes] = {"": b""}
         self.n_ids = 0
         self.starts, self.lengths, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
 
@@ -214,15 +219,15 @@ class WordTable:
         for at in range(0, len(groups), 256):
             some = groups[at : at + 256]
             for group, found in zip(some, self.encoder.encode_batch([" ".join(x) for x in some], add_special_tokens=False), strict=True):
-                ids, of = found.ids, np.array(found.word_ids, np.int64)
-                ends = np.cumsum(np.bincount(of)).tolist() if len(of) else []
+                ids, of = np.array(found.ids, np.uint32).tobytes(), np.array(found.word_ids, np.int64)
+                ends = (4 * np.cumsum(np.bincount(of))).tolist() if len(of) else []
                 if len(ends) == len(group):
                     self.core.update(zip(group, (ids[a:b] for a, b in zip([0, *ends], ends)), strict=True))
         rest = [x for x in parts if x not in self.core]
         for at in range(0, len(rest), 1 << 14):
             some = rest[at : at + (1 << 14)]
             for part, found in zip(some, self.encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.core[part] = found.ids
+                self.core[part] = array("I", found.ids).tobytes()
 
     def codes(self, words: list[str]) -> np.ndarray:
         """A number for each word; `starts`, `lengths` and `ids` hold the ids of these numbers."""
@@ -233,11 +238,11 @@ class WordTable:
             gc.disable()  # many small lists, no cycles
             pairs = list(map(_parts, new))
             self._encode(list({x for pair in pairs for x in pair if x not in self.core}))
-            made = [self.core[a] + self.core[b] if b else self.core[a] for a, b in pairs]
+            made = [self.core[a] + self.core[b] for a, b in pairs]
             first, n = len(self.code), len(self.code) + len(new)
             self.code.update(zip(new, range(first, n), strict=True))
-            lengths = np.fromiter(map(len, made), np.int64, len(made))
-            flat = np.fromiter(itertools.chain.from_iterable(made), np.uint32, int(lengths.sum()))
+            lengths = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            flat = np.frombuffer(b"".join(made), np.uint32)
             self.starts, self.lengths = _room(self.starts, n), _room(self.lengths, n)
             self.ids = _room(self.ids, self.n_ids + len(flat))
             self.lengths[first:n] = lengths
@@ -248,12 +253,12 @@ class WordTable:
         return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
 
 
-def _room(array: np.ndarray, n: int) -> np.ndarray:
+def _room(old: np.ndarray, n: int) -> np.ndarray:
     """The array, or a larger copy with room for n."""
-    if n <= len(array):
-        return array
-    out = np.zeros(max(n, 2 * len(array)), array.dtype)
-    out[: len(array)] = array
+    if n <= len(old):
+        return old
+    out = np.zeros(max(n, 2 * len(old)), old.dtype)
+    out[: len(old)] = old
     return out
 
 
@@ -325,6 +330,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end:
             out.close()
             _publish(trial, final)
             n_bytes = writer.at
+            pa.default_memory_pool().release_unused()  # the worker goes on with tasks of other stages
             yield pa.RecordBatch.from_pylist(
                 [{"shard": shard, "path": final, "n_docs": len(writer.docs), "n_ids": sum(writer.lengths), "n_bytes": n_bytes}],
                 pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]),

@@ -1,10 +1,11 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from panelspark.llm import neardup
+from panelspark.llm import neardup, shared
 from panelspark.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -102,3 +103,16 @@ def test_stage_tells_rows_of_one_id_apart(table):
     rows = [(None, text[1]), (None, text[2]), (None, None), (5, text[3]), (5, text[4]), (5, text[4]), (1, text[0]), (2, near), (2, text[5]), (7, ""), (7, None)]
     got = sorted(((r.doc_id, r.text) for r in neardup.near_duplicate_stage(table(rows)).collect()), key=str)
     assert got == sorted(set(rows) - {(2, near), (None, None)}, key=str)
+
+
+def test_hashing_words_takes_little_memory_and_sections_do_not_change_them(monkeypatch):
+    texts = [f"Word{i} " * 6 + "x" * (i % 50) for i in range(40_000)]
+    texts += [" ".join(texts[:20_000]), "y" * 700_000 + " z", None]
+    tracemalloc.start()
+    hashes, counts = shared.batch_word_hashes(texts)
+    taken = tracemalloc.get_traced_memory()[1] - hashes.nbytes
+    tracemalloc.stop()
+    monkeypatch.setattr(shared, "SECTION", 1 << 23)
+    whole, same = shared.batch_word_hashes(texts)
+    assert (hashes == whole).all() and (counts == same).all()
+    assert taken < 40 << 20, taken

@@ -1,5 +1,6 @@
 import io
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -58,3 +59,17 @@ def test_table_from_files(table, odd, plain):
     crcs = sorted((-1 if i is None else i, len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for (i, _), w in zip(rows, want))
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == crcs
     assert tokens.token_table(table([])).collect() == []
+
+
+def test_a_known_word_takes_little_memory():
+    """The table stays in a worker while tasks of other stages run there."""
+    rnd = random.Random(8)
+    words = list({"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(40_000)})
+    tracemalloc.start()
+    table = tokens.WordTable(PATH)
+    before = tracemalloc.get_traced_memory()[0]
+    codes = table.codes(words)
+    taken = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert codes.tolist() == list(range(len(words)))
+    assert taken < 270 * len(words), taken / len(words)
