@@ -46,8 +46,8 @@ MAGIC = b"BITPLN01"
 BLOCK = 1 << 16
 END = 2
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 1_000_000
-SLICE_BYTES = 4 << 20
+CACHE = 48 << 20  # bytes
+SLICE_BYTES = 2 << 20
 LEVEL = 1
 
 
@@ -192,11 +192,58 @@ def _parts(word: str) -> tuple[str, str]:
     return (core if low == core else low), end
 
 
+class _Known:
+    """Texts and their ids in Arrow and numpy, some 40 bytes for a word.
+
+    No hash table is kept: what is looked for is hashed, and the known texts are run past it.
+    """
+
+    def __init__(self):
+        self.texts = pa.chunked_array([], pa.string())
+        self.borders, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    @property
+    def nbytes(self) -> int:
+        return self.texts.nbytes + self.borders.nbytes + self.ids.nbytes
+
+    def find(self, texts: pa.Array) -> np.ndarray:
+        """The place of each of these different texts, -1 if not known."""
+        out, first = np.full(len(texts), -1, np.int64), 0
+        for chunk in self.texts.chunks:
+            at = pc.fill_null(pc.index_in(chunk, value_set=texts), -1).to_numpy()
+            hit = np.flatnonzero(at >= 0)
+            out[at[hit]] = first + hit
+            first += len(chunk)
+        return out
+
+    def add(self, texts: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The places of texts that were not known."""
+        first, chunks = len(self.texts), self.texts.chunks
+        # a chunk is joined to those no larger than twice its size, so there are few
+        while chunks and len(chunks[-1]) <= 2 * len(texts):
+            texts = pa.concat_arrays([chunks.pop(), texts])
+        self.texts = pa.chunked_array([*chunks, texts], pa.string())
+        self.borders = np.concatenate([self.borders, self.borders[-1] + np.cumsum(lengths)])
+        self.ids = np.concatenate([self.ids, ids])
+        return np.arange(first, len(self.texts))
+
+    def lengths(self, places: np.ndarray) -> np.ndarray:
+        return self.borders[places + 1] - self.borders[places]
+
+    def take(self, places: np.ndarray) -> np.ndarray:
+        """The ids of the texts at these places, one after another."""
+        each = self.lengths(places)
+        ends = np.cumsum(each)
+        pick = np.arange(ends[-1] if len(ends) else 0)
+        pick += np.repeat(self.borders[places] - ends + each, each)
+        return self.ids[pick]
+
+
 class WordTable:
-    """The ids of the words met so far, in arrays; emptied when it holds CACHE words.
+    """The ids of the words met so far, and of their parts; emptied when it holds CACHE bytes.
 
-    Ids of parts of words are kept as bytes, 4 an id: a table lives as long as its worker, next to
-    the tasks of other stages, and lists of numbers take four times as much.
+    A table lives as long as its worker, next to the tasks of other stages, and its size does not
+    follow the input: a corpus has ever more rare words.
     """
 
     def __init__(self, path: str):
@@ -207,13 +254,11 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.core: dict[str, bytes] = {"": b""}
-        self.n_ids = 0
-        self.starts, self.lengths, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.words, self.parts = _Known(), _Known()
 
-    def _encode(self, parts: list[str]) -> None:
-        """Add parts to `core`. Those of letters alone are one word each to the tokenizer, so many go in one text."""
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids, and the ids, of parts. Those of letters alone are one word each to the tokenizer, so many go in one text."""
+        known: dict[str, bytes] = {}
         plain = [x for x in parts if x.isalpha() and x.isascii() or x.isalpha() and unicodedata.is_normalized("NFC", x) and x.lower().isalpha()]
         groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
         for at in range(0, len(groups), 256):
@@ -222,44 +267,35 @@ class WordTable:
                 ids, of = np.array(found.ids, np.uint32).tobytes(), np.array(found.word_ids, np.int64)
                 ends = (4 * np.cumsum(np.bincount(of))).tolist() if len(of) else []
                 if len(ends) == len(group):
-                    self.core.update(zip(group, (ids[a:b] for a, b in zip([0, *ends], ends)), strict=True))
-        rest = [x for x in parts if x not in self.core]
+                    known.update(zip(group, (ids[a:b] for a, b in zip([0, *ends], ends)), strict=True))
+        rest = [x for x in parts if x not in known]
         for at in range(0, len(rest), 1 << 14):
             some = rest[at : at + (1 << 14)]
             for part, found in zip(some, self.encoder.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.core[part] = array("I", found.ids).tobytes()
-
-    def codes(self, words: list[str]) -> np.ndarray:
-        """A number for each word; `starts`, `lengths` and `ids` hold the ids of these numbers."""
-        if len(self.code) > CACHE:
+                known[part] = array("I", found.ids).tobytes()
+        made = [known[x] for x in parts]
+        return np.fromiter(map(len, made), np.int64, len(made)) // 4, np.frombuffer(b"".join(made), np.uint32)
+
+    def codes(self, words: pa.Array | list[str]) -> np.ndarray:
+        """The place in `words`, which holds its ids, of each of these different words."""
+        words = words.cast(pa.string()) if isinstance(words, pa.Array) else pa.array(words, pa.string())
+        if self.words.nbytes + self.parts.nbytes > CACHE:
             self.clear()
-        new = [w for w in words if w not in self.code]
-        if new:
+        out = self.words.find(words)
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
             gc.disable()  # many small lists, no cycles
-            pairs = list(map(_parts, new))
-            self._encode(list({x for pair in pairs for x in pair if x not in self.core}))
-            made = [self.core[a] + self.core[b] for a, b in pairs]
-            first, n = len(self.code), len(self.code) + len(new)
-            self.code.update(zip(new, range(first, n), strict=True))
-            lengths = np.fromiter(map(len, made), np.int64, len(made)) // 4
-            flat = np.frombuffer(b"".join(made), np.uint32)
-            self.starts, self.lengths = _room(self.starts, n), _room(self.lengths, n)
-            self.ids = _room(self.ids, self.n_ids + len(flat))
-            self.lengths[first:n] = lengths
-            self.starts[first:n] = self.n_ids + np.cumsum(lengths) - lengths
-            self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-            self.n_ids += len(flat)
+            new = words.take(pa.array(missing))
+            pairs = pa.array([x for word in new.to_pylist() for x in _parts(word)], pa.string()).dictionary_encode()
+            places = self.parts.find(pairs.dictionary)
+            unmet = np.flatnonzero(places < 0)
+            if len(unmet):
+                parts = pairs.dictionary.take(pa.array(unmet))
+                places[unmet] = self.parts.add(parts, *self._encode(parts.to_pylist()))
+            places = places[pairs.indices.to_numpy()]
+            out[missing] = self.words.add(new, self.parts.lengths(places).reshape(-1, 2).sum(axis=1), self.parts.take(places))
             gc.enable()
-        return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-
-
-def _room(old: np.ndarray, n: int) -> np.ndarray:
-    """The array, or a larger copy with room for n."""
-    if n <= len(old):
-        return old
-    out = np.zeros(max(n, 2 * len(old)), old.dtype)
-    out[: len(old)] = old
-    return out
+        return out
 
 
 def encode_texts(texts: pa.Array, path: str, end: int = END) -> tuple[np.ndarray, np.ndarray]:
@@ -273,17 +309,14 @@ def encode_texts(texts: pa.Array, path: str, end: int = END) -> tuple[np.ndarray
     split = pc.split_pattern(plain, " ")
     borders = split.offsets.to_numpy()
     coded = split.values.slice(borders[0], borders[-1] - borders[0]).dictionary_encode()
-    codes = table.codes(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-    each = table.lengths[codes]
-    total = np.concatenate([[0], np.cumsum(each)])
+    codes = table.codes(coded.dictionary)[coded.indices.to_numpy()]
+    total = np.concatenate([[0], np.cumsum(table.words.lengths(codes))])
     n = np.diff(total[borders[1:] - borders[0]], prepend=0) + 1
     # every text's end id moves the ids after it on by one
     ids = np.full(int(n.sum()), end, np.uint32)
     spot = np.ones(len(ids), bool)
     spot[np.cumsum(n) - 1] = False
-    pick = np.arange(total[-1])
-    pick += np.repeat(table.starts[codes] - total[:-1], each)
-    ids[spot] = table.ids[pick]
+    ids[spot] = table.words.take(codes)
     return ids, n
 
 

@@ -1,3 +1,4 @@
+import gc
 import io
 import random
 import tracemalloc
@@ -73,3 +74,39 @@ def test_a_known_word_takes_little_memory():
     tracemalloc.stop()
     assert codes.tolist() == list(range(len(words)))
     assert taken < 270 * len(words), taken / len(words)
+
+
+def held(table, batches):
+    """Bytes that a table keeps after these words, in Python, numpy and Arrow."""
+    gc.collect()
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+    for words in batches:
+        table.codes(words)
+    gc.collect()
+    taken = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    return taken
+
+
+def random_words(n, length, seed):
+    rnd = random.Random(seed)
+    return list({"".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=length)) for _ in range(n)})
+
+
+def test_a_known_word_takes_tens_of_bytes():
+    """Corpora have ever more rare words, and a worker has room for little beside its task's rows."""
+    words = random_words(40_000, 9, 9)
+    words = [w.title() if i % 3 == 0 else w + ",." if i % 3 == 1 else w for i, w in enumerate(words)]
+    assert held(tokens.WordTable(PATH), [words]) < 100 * len(words)
+
+
+def test_known_words_are_bounded_in_bytes(monkeypatch, plain):
+    monkeypatch.setattr(tokens, "CACHE", 200_000)
+    table = tokens.WordTable(PATH)
+    batches = [random_words(300, 300, seed) for seed in range(20)]
+    assert held(table, batches) < 1_500_000
+    monkeypatch.setitem(tokens._tables, PATH, table)
+    for words in (batches[0], batches[19], batches[19] + ["New", "new.", "new"]):
+        ids, n = tokens.encode_texts(pa.array([" ".join(words), None, words[0]]), PATH)
+        assert ids.tolist() == [*plain(" ".join(words)), *plain(None), *plain(words[0])] and n.sum() == len(ids)
